@@ -22,13 +22,6 @@ def sample_kurtosis(value: Column) -> Column:
 
 def pairwise_correlation(left: Column, right: Column) -> Column:
     """Pearson correlation over the rows where both sides are present; null for a constant side."""
-    left, right = F.when(right.isNotNull(), left), F.when(left.isNotNull(), right)
-    return F.try_divide(
-        F.covar_samp(left, right),
-        F.stddev_samp(left) * F.stddev_samp(right),
-    )
-
-
-def self_correlation(value: Column) -> Column:
-    """Diagonal of the matrix: 1 unless the column is constant or has a single value."""
-    return F.when(F.stddev_samp(value) > 0, F.lit(1.0))
+    # regr_r2 is null for a constant right side and 1 for a constant left side.
+    square, together = F.regr_r2(left, right), F.covar_samp(left, right)
+    return F.when((together != 0) | (square != 1), F.signum(together) * F.sqrt(square))

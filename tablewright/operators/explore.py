@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -21,7 +21,6 @@ from tablewright.functions.moments import (
     pairwise_correlation,
     sample_kurtosis,
     sample_skewness,
-    self_correlation,
 )
 from tablewright.operators.quantiles import exact_quantiles
 
@@ -44,8 +43,8 @@ def describe(
 
     Positions are the 0-based places of the first minimum and maximum in the order of `order_by`,
     a unique key; without one a Spark table has no row order and they stay null. NaN counts as
-    null. All columns share their passes: one for the moments and extremes, one for the mean
-    absolute deviation, the quartiles and the positions, and narrowing passes for large columns.
+    null. All columns share their passes: one for the moments, one for the mean absolute deviation
+    and the quartiles, one for the positions, and narrowing passes for large columns.
     """
     rows = [
         tuple(s.get(field) for field in T.StructType.fromDDL(DESCRIBE_SCHEMA).fieldNames())
@@ -85,65 +84,68 @@ def _statistics(
 ) -> list[dict]:
     names = resolve_all(df, columns)
     numbers = [name for name in names if is_numeric(df, name)]
-    key = None
-    if order_by is not None:
-        refs = [order_by] if isinstance(order_by, str) else list(order_by)
-        key = F.struct(*[quoted(resolve(df, ref)) for ref in refs])
-
-    aggregates: dict[str, Column] = {}
-    for i, name in enumerate(names):
-        if name in numbers:
-            aggregates.update(_moments(clean_double(df, name), key, i))
-        else:
-            aggregates[f"count{i}"] = F.count(quoted(name))
-    first = df.agg(*[column.alias(alias) for alias, column in aggregates.items()]).head()
-
+    moments = _moments(df, names, numbers)
     found = []
-    second: dict[str, Column] = {}
-    for i, name in enumerate(names):
-        s = {"column": name, "type": "number" if name in numbers else "text", "count": first[f"count{i}"]}
-        found.append(s)
-        if name not in numbers or not s["count"]:
-            continue
-        for field in ("mean", "variance", "std", "skewness", "kurtosis"):
-            s[field] = first[f"{field}{i}"]
-        s["min"], s["max"] = first[f"min{i}"], first[f"max{i}"]
-        second[f"mean_abs_dev{i}"] = F.avg(F.abs(clean_double(df, name) - F.lit(s["mean"])))
-        if key is not None:
+    for name in names:
+        kind = "number" if name in numbers else "text"
+        found.append({"column": name, "type": kind, **moments.get(name, {"count": 0})})
+    filled = [s for s in found if s["type"] == "number" and s["count"]]
+
+    keys = [] if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
+    further: dict[str, Column] = {}
+    for i, s in enumerate(filled):
+        value = clean_double(df, s["column"])
+        further[f"mean_abs_dev{i}"] = F.avg(F.abs(value - F.lit(s["mean"])))
+        if keys:
+            key = F.struct(*[quoted(resolve(df, ref)) for ref in keys])
             for field in ("min", "max"):
-                second[f"{field}_position{i}"] = _rows_before(df, refs, first[f"{field}_key{i}"])
+                further[f"{field}_key{i}"] = F.min(F.when(value == F.lit(s[field]), key))
+    counts = {s["column"]: s["count"] for s in filled}
     quartiles, row = exact_quantiles(
-        df,
-        {name: QUARTILES for name in numbers},
-        counts={name: first[f"count{i}"] for i, name in enumerate(names)},
-        also=second,
+        df, {name: QUARTILES for name in counts}, counts=counts, also=further
     )
-    for i, s in enumerate(found):
-        if s["type"] == "number" and s["count"]:
-            s["q25"], s["median"], s["q75"] = quartiles[s["column"]]
-            s["mean_abs_dev"] = row[f"mean_abs_dev{i}"]
-            if key is not None:
-                s["min_position"], s["max_position"] = row[f"min_position{i}"], row[f"max_position{i}"]
+    for i, s in enumerate(filled):
+        s["q25"], s["median"], s["q75"] = quartiles[s["column"]]
+        s["mean_abs_dev"] = row[f"mean_abs_dev{i}"]
+    if keys and filled:
+        places = df.agg(
+            *[
+                _rows_before(df, keys, row[f"{field}_key{i}"]).alias(f"{field}{i}")
+                for i in range(len(filled))
+                for field in ("min", "max")
+            ]
+        ).head()
+        for i, s in enumerate(filled):
+            s["min_position"], s["max_position"] = places[f"min{i}"], places[f"max{i}"]
     return found
 
 
-def _moments(value: Column, key: Column | None, i: int) -> dict[str, Column]:
-    aggregates = {
-        f"count{i}": F.count(value),
-        f"mean{i}": F.avg(value),
-        f"variance{i}": F.var_samp(value),
-        f"std{i}": F.stddev_samp(value),
-        f"skewness{i}": sample_skewness(value),
-        f"kurtosis{i}": sample_kurtosis(value),
-        f"min{i}": F.min(value),
-        f"max{i}": F.max(value),
-    }
-    if key is not None:
-        # The least (value, key) pair holds the first row of the minimum; negated, of the maximum.
-        for field, ranked in (("min", value), ("max", -value)):
-            pair = F.struct(ranked.alias("value"), key.alias("key"))
-            aggregates[f"{field}_key{i}"] = F.min(F.when(value.isNotNull(), pair))["key"]
-    return aggregates
+def _moments(df: DataFrame, names: Sequence[str], numbers: Sequence[str]) -> dict[str, dict]:
+    """Counts, extremes and moments by column.
+
+    One row per cell, grouped by column, keeps the aggregate equally small for any number of
+    columns; each task sends one row per column on.
+    """
+    cells = [
+        F.struct(
+            F.lit(name).alias("column"),
+            (clean_double(df, name) if name in numbers else F.lit(None).cast("double")).alias("value"),
+            (clean_double(df, name) if name in numbers else quoted(name)).isNotNull().alias("present"),
+        )
+        for name in dict.fromkeys(names)
+    ]
+    value = F.col("value")
+    grouped = df.select(F.inline(F.array(*cells))).groupBy("column").agg(
+        F.count_if("present").alias("count"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.avg(value).alias("mean"),
+        F.var_samp(value).alias("variance"),
+        sample_skewness(value).alias("skewness"),
+        sample_kurtosis(value).alias("kurtosis"),
+    )
+    rows = grouped.withColumn("std", F.sqrt("variance")).collect()  # one row per column
+    return {row["column"]: row.asDict() for row in rows}
 
 
 def _rows_before(df: DataFrame, refs: Sequence[str], key: tuple) -> Column:
@@ -170,45 +172,54 @@ def frequency(df: DataFrame, column: str | int, count_name: str = FREQUENCY_LABE
 def correlation(df: DataFrame, columns: Sequence[str | int]) -> DataFrame:
     """Pearson correlations in long form: left, right, correlation, for every ordered pair.
 
-    All pairs are aggregated in one pass, each unordered pair once.
+    A pair is correlated over the rows where both sides are present; a constant side gives null.
     """
-    names, aggregated = _correlations(df, columns)
-    rows = [
-        F.struct(
-            F.lit(left).alias("left"),
-            F.lit(right).alias("right"),
-            F.col(_cell(i, j)).alias("correlation"),
-        )
-        for i, left in enumerate(names)
-        for j, right in enumerate(names)
+    names, cells = _correlations(df, columns)
+    pairs = [
+        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(_cell(i, j)).alias("cell"))
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
     ]
-    return aggregated.select(F.inline(F.array(*rows)))
+    found = cells.select(F.inline(F.array(*pairs)), "cells")
+    return found.select("left", "right", F.try_element_at("cells", F.col("cell")).alias("correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str | int]) -> DataFrame:
     """Pearson correlations as a matrix: one row and one column per chosen column."""
-    names, aggregated = _correlations(df, columns)
+    names, cells = _correlations(df, columns)
     rows = [
         F.struct(
-            F.lit(left).alias("column"),
-            *[F.col(_cell(i, j)).alias(right) for j, right in enumerate(names)],
+            F.lit(a).alias("column"),
+            *[F.try_element_at("cells", F.lit(_cell(i, j))).alias(b) for j, b in enumerate(names)],
         )
-        for i, left in enumerate(names)
+        for i, a in enumerate(names)
     ]
-    return aggregated.select(F.inline(F.array(*rows)))
+    return cells.select(F.inline(F.array(*rows)))
 
 
 def _cell(i: int, j: int) -> str:
-    return f"r{min(i, j)}_{max(i, j)}"
+    return f"{min(i, j)},{max(i, j)}"
 
 
 def _correlations(df: DataFrame, columns: Sequence[str | int]) -> tuple[list[str], DataFrame]:
+    """One row with a map from each unordered pair of columns to its correlation.
+
+    Grouping by pair keeps the aggregate small for any number of columns; each task sends on one
+    row per pair, and only the pairs' results meet in the map.
+    """
     names = resolve_all(df, columns)
     require_numeric(df, names)
-    values = [clean_double(df, name) for name in names]
-    cells = [self_correlation(v).alias(_cell(i, i)) for i, v in enumerate(values)]
-    cells += [
-        pairwise_correlation(values[i], values[j]).alias(_cell(i, j))
-        for i, j in combinations(range(len(names)), 2)
+    pairs = [
+        F.struct(
+            F.lit(_cell(i, j)).alias("cell"),
+            clean_double(df, names[i]).alias("left"),
+            clean_double(df, names[j]).alias("right"),
+        )
+        for i, j in combinations_with_replacement(range(len(names)), 2)
     ]
-    return names, df.agg(*cells)
+    value = pairwise_correlation(F.col("left"), F.col("right"))
+    each = df.select(F.inline(F.array(*pairs))).groupBy("cell").agg(value.alias("value"))
+    itself = F.col("cell").isin([_cell(i, i) for i in range(len(names))])
+    each = each.withColumn("value", F.when(itself, F.signum("value")).otherwise(F.col("value")))
+    entries = F.collect_list(F.struct("cell", "value"))
+    return names, each.agg(F.map_from_entries(entries).alias("cells"))

@@ -1,20 +1,21 @@
 """Feature engineering: fitted once, applied to any table with the same columns.
 
-Every feature has a `fit_*` function that returns a `FittedFeature` and a plain one that fits and
-transforms the same table. Vectors come out as arrays of float.
+Operators that learn from the table have a `fit_*` function for the fitted feature and a plain one
+that fits and transforms the same table. Vectors come out as arrays of float.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import NamedTuple
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations_with_replacement
 
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model, Transformer
 from pyspark.ml.feature import (
     PCA,
     Bucketizer,
     OneHotEncoder,
-    PolynomialExpansion,
     QuantileDiscretizer,
     StandardScaler,
     StringIndexerModel,
@@ -24,9 +25,10 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import (
+    clean_double,
     free_name,
     quoted,
     require_numeric,
@@ -44,60 +46,84 @@ LABEL_LIMIT = 100_000
 HOT_SHARE = 1e-4
 
 
-class FittedFeature(NamedTuple):
-    """Fitted stages, the temporary vectors they use, and the vector columns to return as arrays."""
+@dataclass(frozen=True)
+class FittedFeature:
+    """New columns as expressions of a table's columns, and the fitted model behind them.
+
+    The expressions are made from the model's parameters, so applying a feature is an ordinary
+    projection. `filter` keeps the rows without missing inputs where these are to be skipped.
+    """
+
+    columns: dict[str, Column]
+    model: Model | Transformer | None = None
+    filter: Column | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        kept = df if self.filter is None else df.where(self.filter)
+        return kept.withColumns(self.columns)
 
-    model: Model
-    arrays: tuple[str, ...] = ()
-    temporary: tuple[str, ...] = ()
+
+@dataclass(frozen=True)
+class FittedStage:
+    """A fitted Spark ML stage that writes its own output columns, arrays included."""
+
+    model: Model | Transformer
 
     def transform(self, df: DataFrame) -> DataFrame:
-        result = self.model.transform(df)
-        if self.arrays:
-            result = result.withColumns(
-                {name: vector_to_array(quoted(name), "float32") for name in self.arrays}
-            )
-        return result.drop(*self.temporary)
+        return self.model.transform(df)
 
 
 def assemble(
     df: DataFrame, columns: Sequence[str | int], new_column: str, handle_invalid: str = "error"
 ) -> DataFrame:
     """Numeric columns as one vector column; `handle_invalid` is error, skip or keep."""
-    return _assembler(df, columns, new_column, handle_invalid).transform(df)
+    names = resolve_all(df, columns)
+    require_numeric(df, names)
+    assembler = VectorAssembler(inputCols=names, outputCol=new_column, handleInvalid=handle_invalid)
+    return assembler.transform(df)
 
 
 def assemble_array(
     df: DataFrame, columns: Sequence[str | int], new_column: str, handle_invalid: str = "error"
 ) -> DataFrame:
     """Numeric columns as one array of float."""
-    assembled = assemble(df, columns, new_column, handle_invalid)
-    return assembled.withColumn(new_column, to_array(new_column))
+    inputs, present = _inputs(df, columns, handle_invalid)
+    return FittedFeature({new_column: _floats(inputs)}, filter=present).transform(df)
 
 
-def to_array(column: str):
+def to_array(column: str) -> Column:
     """A vector column as an array of float; null stays null."""
     return vector_to_array(quoted(column), "float32")
 
 
-def _assembler(
-    df: DataFrame, columns: Sequence[str | int], output: str, handle_invalid: str
-) -> VectorAssembler:
+def _floats(values: Sequence[Column]) -> Column:
+    return F.array(*[value.cast("float") for value in values])
+
+
+def _inputs(
+    df: DataFrame, columns: Sequence[str | int], handle_invalid: str
+) -> tuple[list[Column], Column | None]:
+    """The columns as doubles without nulls, and the filter that skips rows with missing values."""
     names = resolve_all(df, columns)
     require_numeric(df, names)
-    return VectorAssembler(inputCols=names, outputCol=output, handleInvalid=handle_invalid)
+    values = [clean_double(df, name) for name in names]
+    if handle_invalid == "skip":
+        return values, reduce(Column.__and__, [value.isNotNull() for value in values])
+    if handle_invalid == "keep":
+        return [F.coalesce(value, F.lit(float("nan"))) for value in values], None
+    if handle_invalid == "error":
+        text = "column {} holds a null or NaN; set handle_invalid to skip or keep"
+        stops = [F.raise_error(F.lit(text.format(name))).cast("double") for name in names]
+        return [F.coalesce(value, stop) for value, stop in zip(values, stops)], None
+    raise ValueError(f"handle_invalid is error, skip or keep, not {handle_invalid!r}")
 
 
-def _fit_on_vector(
-    df: DataFrame, columns: Sequence[str | int], stage, new_column: str, handle_invalid: str
-) -> FittedFeature:
-    """Fit a vector stage behind an assembler whose vector column is temporary."""
-    vector = free_name(df, "features")
-    assembler = _assembler(df, columns, vector, handle_invalid)
-    stage.setInputCol(vector).setOutputCol(new_column)
-    narrow = assembler.transform(df.select(*[quoted(name) for name in assembler.getInputCols()]))
-    fitted = stage.fit(narrow) if hasattr(stage, "fit") else stage
-    return FittedFeature(PipelineModel([assembler, fitted]), (new_column,), (vector,))
+def _fit_stage(df: DataFrame, columns: Sequence[str | int], stage, handle_invalid: str):
+    """Fit a Spark ML vector stage on the assembled columns."""
+    names = resolve_all(df, columns)
+    narrow = df.select(*[quoted(name) for name in dict.fromkeys(names)])
+    vector = free_name(narrow, "features")
+    return stage.setInputCol(vector).fit(assemble(narrow, names, vector, handle_invalid))
 
 
 def fit_quantile_bins(
@@ -108,7 +134,7 @@ def fit_quantile_bins(
     *,
     relative_error: float = 0.01,
     handle_invalid: str = "error",
-) -> FittedFeature:
+) -> FittedStage:
     """Bins of about equal size; with relative_error 0 the splits are exact at any table size."""
     name = resolve(df, column)
     require_numeric(df, [name])
@@ -121,14 +147,14 @@ def fit_quantile_bins(
             relativeError=relative_error,
             handleInvalid=handle_invalid,
         )
-        return FittedFeature(discretizer.fit(df.select(quoted(name))))
+        return FittedStage(discretizer.fit(df.select(quoted(name))))
     shares = [i / num_buckets for i in range(1, num_buckets)]
     found, _ = exact_quantiles(df, {name: shares}, method="disc")
     inner = sorted({value for value in found[name] if value is not None})
     splits = [float("-inf"), *inner, float("inf")]
     if len(splits) < 3:
         splits.insert(1, 0.0)
-    return FittedFeature(
+    return FittedStage(
         Bucketizer(splits=splits, inputCol=name, outputCol=output, handleInvalid=handle_invalid)
     )
 
@@ -148,8 +174,24 @@ def fit_vector_index(
     """Columns with few distinct values become category indices (0.0 always 0), others stay."""
     names = resolve_all(df, columns)
     output = new_column or "_".join(names) + "_vectorIndexer"
-    stage = VectorIndexer(maxCategories=max_categories)
-    return _fit_on_vector(df, names, stage, output, handle_invalid)
+    inputs, present = _inputs(df, names, handle_invalid)
+    fitted = _fit_stage(df, names, VectorIndexer(maxCategories=max_categories), handle_invalid)
+    categories = {int(i): dict(found) for i, found in fitted.categoryMaps.items()}
+    indexed = [
+        _category_index(value, categories[i]) if i in categories else value
+        for i, value in enumerate(inputs)
+    ]
+    return FittedFeature({output: _floats(indexed)}, fitted, present)
+
+
+def _category_index(value: Column, categories: Mapping[float, int]) -> Column:
+    """The category's index; a value that was not there when fitting is an error."""
+    index = F.lit(None)
+    known = [(float(category), float(i)) for category, i in categories.items()]
+    for category, i in known:
+        index = F.when(value == F.lit(category), F.lit(i)).otherwise(index)
+    unseen = F.raise_error(F.lit("a value was not among the categories when fitting"))
+    return F.coalesce(index, F.when(~F.isnan(value), unseen.cast("double")).otherwise(value))
 
 
 def vector_index(df: DataFrame, columns: Sequence[str | int], new_column: str | None = None,
@@ -169,8 +211,15 @@ def fit_standard_scale(
     """Divide by the sample standard deviation; centre only on request. A constant becomes 0."""
     names = resolve_all(df, columns)
     output = new_column or "_".join(names) + "_standardScaler"
-    stage = StandardScaler(withMean=with_mean, withStd=with_std)
-    return _fit_on_vector(df, names, stage, output, handle_invalid)
+    inputs, present = _inputs(df, names, handle_invalid)
+    fitted = _fit_stage(df, names, StandardScaler(withMean=with_mean, withStd=with_std), handle_invalid)
+    scaled = inputs
+    if with_mean:
+        scaled = [value - F.lit(float(mean)) for value, mean in zip(scaled, fitted.mean)]
+    if with_std:
+        factors = [1.0 / float(std) if std else 0.0 for std in fitted.std]
+        scaled = [value * F.lit(factor) for value, factor in zip(scaled, factors)]
+    return FittedFeature({output: _floats(scaled)}, fitted, present)
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str | int], new_column: str | None = None,
@@ -189,7 +238,14 @@ def fit_pca(
     names = resolve_all(df, columns)
     if k >= len(names):
         raise ValueError(f"k = {k} must be less than the number of columns, {len(names)}")
-    return _fit_on_vector(df, names, PCA(k=k), new_column or PCA_NAME, handle_invalid)
+    inputs, present = _inputs(df, names, handle_invalid)
+    fitted = _fit_stage(df, names, PCA(k=k), handle_invalid)
+    components = fitted.pc.toArray().T
+    projected = [
+        reduce(Column.__add__, [value * F.lit(float(w)) for value, w in zip(inputs, weights)])
+        for weights in components
+    ]
+    return FittedFeature({new_column or PCA_NAME: _floats(projected)}, fitted, present)
 
 
 def pca(df: DataFrame, columns: Sequence[str | int], new_column: str | None = None, k: int = 3,
@@ -199,27 +255,36 @@ def pca(df: DataFrame, columns: Sequence[str | int], new_column: str | None = No
 
 def pca_variance(df: DataFrame, columns: Sequence[str | int], k: int = 3) -> DataFrame:
     """Share of the variance that each of the first k components explains."""
-    fitted = fit_pca(df, columns, "projected", k).model.stages[-1]
-    rows = [(i, float(share)) for i, share in enumerate(fitted.explainedVariance.toArray())]
+    shares = fit_pca(df, columns, k=k).model.explainedVariance.toArray()
+    rows = [(i, float(share)) for i, share in enumerate(shares)]
     return df.sparkSession.createDataFrame(rows, "component int, explained_variance double")
 
 
-def fit_polynomial(
+def polynomial(
     df: DataFrame,
     columns: Sequence[str | int],
     new_column: str | None = None,
     degree: int = 2,
     handle_invalid: str = "error",
-) -> FittedFeature:
+) -> DataFrame:
     """Products of the columns up to a degree: (x, y) gives (x, x*x, y, x*y, y*y)."""
     names = resolve_all(df, columns)
     output = new_column or "_".join(names) + "_PolynomialExpansion"
-    return _fit_on_vector(df, names, PolynomialExpansion(degree=degree), output, handle_invalid)
+    inputs, present = _inputs(df, names, handle_invalid)
+    terms = [
+        reduce(Column.__mul__, [inputs[i] for i, power in enumerate(powers) for _ in range(power)])
+        for powers in _powers(len(names), degree)
+    ]
+    return FittedFeature({output: _floats(terms)}, filter=present).transform(df)
 
 
-def polynomial(df: DataFrame, columns: Sequence[str | int], new_column: str | None = None,
-               degree: int = 2, handle_invalid: str = "error") -> DataFrame:
-    return fit_polynomial(df, columns, new_column, degree, handle_invalid).transform(df)
+def _powers(n: int, degree: int) -> list[tuple[int, ...]]:
+    """Exponents of all terms, in the order in which each column adds its terms to those before."""
+    if n == 0:
+        return []
+    picks = combinations_with_replacement(range(n + 1), degree)
+    found = {tuple(pick.count(i) for i in range(n)) for pick in picks}
+    return sorted((powers for powers in found if any(powers)), key=lambda powers: powers[::-1])
 
 
 def fit_one_hot(
@@ -229,7 +294,7 @@ def fit_one_hot(
     *,
     drop_last: bool = True,
     as_array: bool = False,
-) -> FittedFeature:
+) -> FittedFeature | FittedStage:
     """Unit vectors of non-negative integers; the last category is all zeros.
 
     The vectors are sparse. `as_array` writes out every zero, for columns with few categories.
@@ -241,7 +306,17 @@ def fit_one_hot(
         raise ValueError("one-hot needs one new name per column")
     encoder = OneHotEncoder(inputCols=names, outputCols=outputs, dropLast=drop_last)
     fitted = encoder.fit(df.select(*[quoted(name) for name in dict.fromkeys(names)]))
-    return FittedFeature(fitted, tuple(outputs) if as_array else ())
+    if not as_array:
+        return FittedStage(fitted)
+    stop = "a value of {} was not among the categories when fitting"
+    columns_out = {}
+    for name, output, size in zip(names, outputs, fitted.categorySizes):
+        value = quoted(name).cast("int")
+        unseen = F.raise_error(F.lit(stop.format(name))).cast("int")
+        value = F.when((value >= 0) & (value < size), value).otherwise(unseen)
+        width = size - 1 if drop_last else size
+        columns_out[output] = _floats([(value == i) for i in range(width)])
+    return FittedFeature(columns_out, fitted)
 
 
 def one_hot(df: DataFrame, columns: Sequence[str | int], new_columns: Sequence[str] | None = None,
@@ -260,16 +335,17 @@ def fit_chi_square(
     """Keep the columns that depend most on the label by the chi-square test."""
     names, target = _chi_square_columns(df, columns, label)
     output = new_column or f"卡方选择(与 [{target}] 相关的前 {num_top_features} 个特征列)"
-    vector = free_name(df, "features")
-    assembler = _assembler(df, names, vector, handle_invalid)
+    inputs, present = _inputs(df, names, handle_invalid)
+    narrow = df.select(*[quoted(name) for name in dict.fromkeys([*names, target])])
+    vector = free_name(narrow, "features")
     selector = UnivariateFeatureSelector(
         featuresCol=vector, labelCol=target, outputCol=output, selectionMode="numTopFeatures"
     )
     selector.setFeatureType("categorical").setLabelType("categorical")
     selector.setSelectionThreshold(num_top_features)
-    columns_read = [quoted(name) for name in dict.fromkeys([*names, target])]
-    fitted = selector.fit(assembler.transform(df.select(*columns_read)))
-    return FittedFeature(PipelineModel([assembler, fitted]), (output,), (vector,))
+    fitted = selector.fit(assemble(narrow, names, vector, handle_invalid))
+    chosen = [inputs[i] for i in sorted(fitted.selectedFeatures)]
+    return FittedFeature({output: _floats(chosen)}, fitted, present)
 
 
 def chi_square(df: DataFrame, columns: Sequence[str | int], label: str | int,
@@ -333,14 +409,14 @@ def fit_string_index(
     *,
     handle_invalid: str = "error",
     label_limit: int = LABEL_LIMIT,
-) -> FittedFeature:
+) -> FittedStage:
     """A reusable string index for a column with at most `label_limit` distinct values."""
     name = resolve(df, column)
     labels = _few_labels(_label_counts(df, name), label_limit)
     if labels is None:
         raise ValueError(f"column {name!r} has more than {label_limit} values; use string_index")
     output = new_column or f"{name}_string_indexer"
-    return FittedFeature(_string_index_model(labels, name, output, handle_invalid))
+    return FittedStage(_string_index_model(labels, name, output, handle_invalid))
 
 
 def _label_counts(df: DataFrame, name: str) -> DataFrame:

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from tablewright.functions.columns import clean_double, free_name
 
 # Distinct values that one exact aggregation buffer may hold.
-BRACKET_LIMIT = 2_000_000
+BRACKET_LIMIT = 200_000
 # Summaries per pass: groups of partitions, points kept per group, and accuracy of each summary.
-GROUPS, GRID, ACCURACY = 64, 2_048, 20_000
+GROUPS, GRID, ACCURACY = 64, 1_024, 10_000
 
 
 @dataclass
@@ -32,7 +32,7 @@ class _Target:
     column: str
     ranks: tuple[int, int]
     fraction: float
-    rows: float
+    rows: float  # bound on the distinct values of the bracket
     low: float | None = None
     high: float | None = None
     slack: float = 1.0
@@ -106,47 +106,49 @@ def _target(name: str, n: int, probability: float, method: str) -> _Target:
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def _inside(value: Column, target: _Target) -> Column:
-    if target.low is None:
-        return value.isNotNull()
-    return (value >= F.lit(target.low)) & (value <= F.lit(target.high))
-
-
-def _below(value: Column, target: _Target) -> Column:
-    return F.lit(False) if target.low is None else value < F.lit(target.low)
-
-
 def _narrow(df: DataFrame, targets: list[_Target], counts: Mapping[str, int], grid: int) -> None:
     """One pass that shrinks each target's bracket to a small share of the rows inside it."""
     points = [i / grid for i in range(grid + 1)]
+    brackets = _by_bracket(targets)
     aggregates = []
-    for i, target in enumerate(targets):
-        value = clean_double(df, target.column)
-        kept = F.when(_inside(value, target), value)
+    for b, (column, low, high) in enumerate(brackets):
+        value = clean_double(df, column)
+        kept, below = value, F.lit(0).cast("long")
+        if low is not None:
+            kept = F.when((value >= low) & (value <= high), value)
+            below = F.count(F.when(value < low, F.lit(1)))
         aggregates += [
-            F.count(F.when(_below(value, target), F.lit(1))).alias(f"below{i}"),
-            F.count(kept).alias(f"inside{i}"),
-            F.percentile_approx(kept, points, ACCURACY).alias(f"points{i}"),
+            below.alias(f"below{b}"),
+            F.count(kept).alias(f"inside{b}"),
+            F.percentile_approx(kept, points, ACCURACY).alias(f"points{b}"),
         ]
     group = (F.spark_partition_id() % GROUPS).alias("part_group")
     # At most GROUPS rows of fixed size, however large the table is.
     summaries = df.groupBy(group).agg(*aggregates).collect()
-    for i, target in enumerate(targets):
-        below = sum(row[f"below{i}"] for row in summaries)
-        inside = sum(row[f"inside{i}"] for row in summaries)
-        if not target.holds(below, inside):
-            target.reopen(counts[target.column])
-            continue
-        _tighten(target, below, [(row[f"inside{i}"], row[f"points{i}"]) for row in summaries], grid)
+    for b, members in enumerate(brackets.values()):
+        below = sum(row[f"below{b}"] for row in summaries)
+        filled = [(row[f"inside{b}"], row[f"points{b}"]) for row in summaries if row[f"inside{b}"]]
+        for target in members:
+            if target.holds(below, sum(rows for rows, _ in filled)):
+                _tighten(target, below, filled, grid)
+            else:
+                target.reopen(counts[target.column])
+
+
+def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
+    """Targets that share a column and a bracket share an aggregate."""
+    brackets: dict[tuple, list[_Target]] = {}
+    for target in targets:
+        brackets.setdefault((target.column, target.low, target.high), []).append(target)
+    return brackets
 
 
-def _tighten(target: _Target, below: int, summaries: list[tuple[int, list | None]], grid: int) -> None:
+def _tighten(target: _Target, below: int, filled: list[tuple[int, list[float]]], grid: int) -> None:
     """Move the bracket's ends to summary points that lie safely around the wanted ranks.
 
     Each group's points divide its rows into equal parts, so the rows up to a point are known to
     within one part and the summary's own error.
     """
-    filled = [(rows, points) for rows, points in summaries if rows]
     values = np.concatenate([points for _, points in filled])
     weights = np.concatenate([np.full(len(points), rows / grid) for rows, points in filled])
     order = np.argsort(values, kind="stable")
@@ -171,11 +173,9 @@ def _select(
 ) -> tuple[list[float | None], Row | None]:
     """The exact values of all targets in one pass; None where a bracket missed its ranks."""
     aggregates = [column.alias(name) for name, column in (also or {}).items()]
-    buffers: dict[tuple, list[int]] = {}
-    for i, target in enumerate(targets):
-        buffers.setdefault((target.column, target.low, target.high), []).append(i)
+    brackets = _by_bracket(targets)
     clamped: dict[str, Column] = {}
-    for b, ((column, low, high), members) in enumerate(buffers.items()):
+    for b, ((column, low, high), members) in enumerate(brackets.items()):
         value = clean_double(df, column)
         name = free_name(df, f"clamped{b}")
         clamped[name] = value
@@ -183,18 +183,17 @@ def _select(
             clamped[name] = F.when(value < low, low).when(value > high, high).otherwise(value)
             aggregates.append(F.count(F.when(value < low, F.lit(1))).alias(f"below{b}"))
             aggregates.append(F.count(F.when(value > high, F.lit(1))).alias(f"above{b}"))
-        ranks = [rank for i in members for rank in targets[i].ranks]
+        ranks = [rank for target in members for rank in target.ranks]
         aggregates.append(_values_at(name, ranks, counts[column]).alias(f"values{b}"))
     row = df.withColumns(clamped).agg(*aggregates).head()
-    results: list[float | None] = [None] * len(targets)
-    for b, ((column, low, _), members) in enumerate(buffers.items()):
+    found: dict[int, float] = {}
+    for b, ((column, low, _), members) in enumerate(brackets.items()):
         below, above = (0, 0) if low is None else (row[f"below{b}"], row[f"above{b}"])
-        for k, i in enumerate(members):
-            target = targets[i]
+        for k, target in enumerate(members):
             if target.holds(below, counts[column] - below - above):
                 lower, upper = row[f"values{b}"][2 * k : 2 * k + 2]
-                results[i] = lower + (upper - lower) * target.fraction if target.fraction else lower
-    return results, row if also else None
+                found[id(target)] = lower + (upper - lower) * target.fraction if target.fraction else lower
+    return [found.get(id(target)) for target in targets], row if also else None
 
 
 def _values_at(name: str, ranks: list[int], rows: int) -> Column:

@@ -34,6 +34,9 @@ from tablewright.functions.columns import (
 
 FEATURES, LABEL, INDEXED = "features", "label", "indexed"
 
+# Tables estimated below this size are dealt out to all cores before the passes of a training.
+SPREAD_BYTES = 1 << 30
+
 
 @dataclass
 class SgdSvmModel:
@@ -120,6 +123,17 @@ def points(
     return assembler.transform(df.select(*inputs)).drop(*names)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores; a large one as it comes.
+
+    Training passes over its rows many times, and a small table often sits in one split. The
+    estimate bounds what the extra shuffle may move; large tables have enough partitions.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def _number(value: object, kind: type) -> object:
     return kind(value) if isinstance(value, str) else value
 
@@ -163,7 +177,7 @@ def train_svm(
             fitIntercept=False,
             standardization=False,
         )
-        model = estimator.fit(points(df, names, target))
+        model = estimator.fit(spread(points(df, names, target)))
     else:
         raise ValueError(f"unknown engine {engine!r}")
     return TrainedModel("svm", model, names, target)
@@ -186,7 +200,8 @@ def _descend(
     rows = df.select(
         *[as_double(df, name).alias(f"x{i}") for i, name in enumerate(features)],
         as_double(df, label).alias("y"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         bad = F.col("y").isNull() | ~F.col("y").isin(0.0, 1.0)
         for x in inputs:
@@ -197,9 +212,9 @@ def _descend(
         side = 2 * F.col("y") - 1
         weights = [0.0] * len(features)
         for turn in range(1, iterations + 1):
-            model = SgdSvmModel(weights)
-            wrong = side * model.margin(inputs) < 1
-            sums = rows.agg(*[F.sum(F.when(wrong, -side * x).otherwise(0.0)) for x in inputs]).head()
+            wrong = side * SgdSvmModel(weights).margin(inputs) < 1
+            pulled = rows.select(*inputs, F.when(wrong, -side).otherwise(0.0).alias("pull"))
+            sums = pulled.agg(*[F.sum(F.col("pull") * x) for x in inputs]).head()
             before = weights
             weights = _updated(before, [s / checked["n"] for s in sums], step / math.sqrt(turn), reg_param, reg_type)
             moved = math.dist(before, weights)
@@ -249,7 +264,7 @@ def train_gbt(
 
 
 def _indexed_points(df: DataFrame, names: list[str], target: str) -> tuple[DataFrame, list[str]]:
-    rows = points(df, names, target, label_text=True)
+    rows = spread(points(df, names, target, label_text=True))
     indexer = StringIndexer(inputCol=LABEL, outputCol=INDEXED).fit(rows)
     return indexer.transform(rows), list(indexer.labels)
 
@@ -280,7 +295,7 @@ def train_lr(
         family="auto",
     )
     names, target = resolve_all(df, features), resolve(df, label)
-    return TrainedModel("lr", estimator.fit(points(df, names, target, lenient=lenient)), names, target)
+    return TrainedModel("lr", estimator.fit(spread(points(df, names, target, lenient=lenient))), names, target)
 
 
 def train_lr_multi(
@@ -307,7 +322,7 @@ def train_lr_multi(
         family="multinomial",
     )
     names, target = resolve_all(df, features), resolve(df, label)
-    fitted = estimator.fit(points(df, names, target, lenient=lenient))
+    fitted = estimator.fit(spread(points(df, names, target, lenient=lenient)))
     return TrainedModel("lr_multi", fitted, names, target)
 
 
@@ -338,7 +353,7 @@ def train_mlp(
         stepSize=_number(step_size, float),
         solver=solver,
     )
-    return TrainedModel("mlp", estimator.fit(points(df, names, target)), names, target)
+    return TrainedModel("mlp", estimator.fit(spread(points(df, names, target))), names, target)
 
 
 def train_forest(

@@ -272,7 +272,7 @@ ORACLE: dict[str, str] = {
     "correlation": _correlation_rows(),
     "correlation_matrix": _correlation_matrix(),
     "assemble_array": """
-        SELECT l_orderkey, l_partkey, round(l_quantity, 6) AS x, round(l_discount, 6) AS y FROM lineitem""",
+        SELECT l_orderkey, l_partkey, l_quantity::FLOAT::DOUBLE AS x, l_discount::FLOAT::DOUBLE AS y FROM lineitem""",
     "quantile_bins": _bins("l_extendedprice", 10),
     "quantile_bins_ties": _bins("l_tax", 20),
     "vector_index": f"""
@@ -298,8 +298,9 @@ ORACLE: dict[str, str] = {
     + ", ".join(f"CAST(l_linenumber = {i} AS DOUBLE) AS a{i}" for i in range(7))
     + ", 7 AS width FROM lineitem",
     "polynomial": """
-        SELECT l_orderkey, l_partkey, round(x, 6) AS x, round(x * x, 6) AS xx, round(y, 6) AS y, round(x * y, 6) AS xy,
-               round(y * y, 6) AS yy, round(z, 6) AS z, round(x * z, 6) AS xz, round(y * z, 6) AS yz, round(z * z, 6) AS zz
+        SELECT l_orderkey, l_partkey, x::FLOAT::DOUBLE AS x, (x * x)::FLOAT::DOUBLE AS xx, y::FLOAT::DOUBLE AS y,
+               (x * y)::FLOAT::DOUBLE AS xy, (y * y)::FLOAT::DOUBLE AS yy, z::FLOAT::DOUBLE AS z,
+               (x * z)::FLOAT::DOUBLE AS xz, (y * z)::FLOAT::DOUBLE AS yz, (z * z)::FLOAT::DOUBLE AS zz
         FROM (SELECT l_orderkey, l_partkey, l_quantity AS x, l_discount AS y, l_tax AS z FROM lineitem)""",
     "chi_square_scores": FLAGGED + " UNION ALL ".join(_chi_square(c) for c in ("l_linenumber", "l_quantity", "l_tax")),
     "chi_square": """
@@ -309,8 +310,8 @@ ORACLE: dict[str, str] = {
     "svm_binary": f"SELECT CAST({IS_BIG} AS DOUBLE) AS prediction_result, CAST({IS_BIG} AS DOUBLE) AS is_big FROM lineitem",
     "svm_owlqn": f"SELECT CAST({IS_BIG} AS DOUBLE) AS prediction_result, CAST({IS_BIG} AS DOUBLE) AS is_big FROM lineitem",
     "gbt_binary": """
-        SELECT CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS predicted_label,
-               CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS label FROM lineitem""",
+        SELECT CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END AS predicted_label,
+               CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END AS label FROM lineitem""",
     "lr_binary": f"SELECT CAST({IS_BIG} AS DOUBLE) AS prediction, CAST({IS_BIG} AS DOUBLE) AS label FROM lineitem",
     "lr_multi": CLASSES,
     "mlp_multi": CLASSES,
@@ -330,7 +331,7 @@ ORACLE: dict[str, str] = {
     "evaluate_svm": PERFECT,
     "evaluate_lr": PERFECT,
     "feature_importance": """
-        SELECT 'l_quantity' AS feature, CAST(1 AS DOUBLE) AS importance
+        SELECT 'l_linenumber' AS feature, CAST(1 AS DOUBLE) AS importance
         UNION ALL SELECT 'l_discount', CAST(0 AS DOUBLE)""",
     "lenient_features": """
         SELECT value, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) AS k, CAST(0 AS DOUBLE) AS event_type FROM events""",

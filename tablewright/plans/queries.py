@@ -27,8 +27,9 @@ def _six(column: str | Column, alias: str, digits: int = 6) -> Column:
     return F.round(value.cast("double"), digits).alias(alias)
 
 
-def _element(array: str, i: int, alias: str, digits: int = 6) -> Column:
-    return _six(F.get(F.col(array), F.lit(i)), alias, digits)
+def _element(array: str, i: int, alias: str, digits: int | None = None) -> Column:
+    value = F.get(F.col(array), F.lit(i)).cast("double")
+    return value.alias(alias) if digits is None else _six(value, alias, digits)
 
 
 def _day(column: str) -> Column:
@@ -437,13 +438,13 @@ def chi_square(spark, sf_dir):
 
 
 def _big(spark, sf_dir):
-    """Line items with a class that their quantity decides, so that a right model recovers it."""
+    """Line items with classes that one column decides, so that a right model recovers them."""
     quantity = F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select(
         "*",
         (quantity - 25.5).alias("above_middle"),
         F.when(quantity > 25, 1).otherwise(0).alias("is_big"),
-        F.when(quantity > 25, "big").otherwise("small").alias("size_class"),
+        F.when(F.col("l_linenumber") > 3, "late").otherwise("early").alias("half"),
         F.when(quantity > 34, 2).when(quantity > 17, 1).otherwise(0).alias("third"),
     )
 
@@ -467,9 +468,9 @@ def svm_owlqn(spark, sf_dir):
 
 def gbt_binary(spark, sf_dir):
     items = _big(spark, sf_dir)
-    trained = training.train_gbt(items, "size_class", ["l_quantity", "l_discount", "l_tax"],
+    trained = training.train_gbt(items, "half", ["l_linenumber", "l_discount", "l_tax"],
                                  iterations=3, step=0.1, max_depth=5, min_instances_per_node=1, seed=1)
-    return scoring.predict(_reloaded(spark, trained), items, label="size_class").select("predicted_label", "label")
+    return scoring.predict(_reloaded(spark, trained), items, label="half").select("predicted_label", "label")
 
 
 def lr_binary(spark, sf_dir):
@@ -544,7 +545,7 @@ def evaluate_lr(spark, sf_dir):
 
 
 def feature_importance(spark, sf_dir):
-    trained = training.train_gbt(_big(spark, sf_dir), "is_big", ["l_quantity", "l_discount"], iterations=1, seed=1)
+    trained = training.train_gbt(_big(spark, sf_dir), "half", ["l_linenumber", "l_discount"], iterations=1, seed=1)
     return training.feature_importances(trained).select("feature", _six("importance", "importance"))
 
 
