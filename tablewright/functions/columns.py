@@ -96,10 +96,14 @@ def clean_double(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def numeric_text(column: Column) -> Column:
-    """True where text spells a finite number."""
-    number = column.cast("string").try_cast("double")
-    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
+def holds_number(df: DataFrame, name: str) -> Column:
+    """True where the column holds a finite number, or text that spells one."""
+    column, kind = quoted(name), data_type(df, name)
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        return column.isNotNull()
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        column = column.cast("string").try_cast("double")
+    return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))
 
 
 def lenient_double(df: DataFrame, name: str) -> Column:

@@ -23,6 +23,7 @@ from tablewright.functions.moments import (
     sample_skewness,
 )
 from tablewright.operators.quantiles import exact_quantiles
+from tablewright.sources.layout import held
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -83,6 +84,13 @@ def _statistics(
     df: DataFrame, columns: Sequence[str | int], order_by: str | Sequence[str] | None
 ) -> list[dict]:
     names = resolve_all(df, columns)
+    keys = [] if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
+    read = dict.fromkeys([*names, *resolve_all(df, keys)] if keys else names)
+    with held(df.select(*[quoted(name) for name in read])) as table:
+        return _passes(table, names, keys)
+
+
+def _passes(df: DataFrame, names: Sequence[str], keys: Sequence[str]) -> list[dict]:
     numbers = [name for name in names if is_numeric(df, name)]
     moments = _moments(df, names, numbers)
     found = []
@@ -91,7 +99,6 @@ def _statistics(
         found.append({"column": name, "type": kind, **moments.get(name, {"count": 0})})
     filled = [s for s in found if s["type"] == "number" and s["count"]]
 
-    keys = [] if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
     further: dict[str, Column] = {}
     for i, s in enumerate(filled):
         value = clean_double(df, s["column"])
@@ -162,10 +169,16 @@ def _rows_before(df: DataFrame, refs: Sequence[str], key: tuple) -> Column:
 
 
 def frequency(df: DataFrame, column: str | int, count_name: str = FREQUENCY_LABEL) -> DataFrame:
-    """Distinct non-null values and how often they occur, most frequent first, ties by value."""
+    """Distinct values and how often they occur, most frequent first, ties by value.
+
+    Nulls and NaN are left out.
+    """
     name = resolve(df, column)
     value = quoted(name)
-    counted = df.where(value.isNotNull()).groupBy(value).agg(F.count("*").alias(count_name))
+    present = value.isNotNull()
+    if isinstance(data_type(df, name), (T.FloatType, T.DoubleType)):
+        present = present & ~F.isnan(value)
+    counted = df.where(present).groupBy(value).agg(F.count("*").alias(count_name))
     return counted.orderBy(quoted(count_name).desc(), value)
 
 

@@ -38,6 +38,7 @@ from tablewright.functions.columns import (
 from tablewright.functions.fixed_values import PCA_NAME, QUANTILE_SUFFIX
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.ranking import with_position
+from tablewright.sources.layout import held
 from tablewright.sources.scratch import checkpointed
 
 # Labels that a string index may keep in a model on the driver; more are joined as a table.
@@ -149,7 +150,8 @@ def fit_quantile_bins(
         )
         return FittedStage(discretizer.fit(df.select(quoted(name))))
     shares = [i / num_buckets for i in range(1, num_buckets)]
-    found, _ = exact_quantiles(df, {name: shares}, method="disc")
+    with held(df.select(quoted(name))) as values:
+        found, _ = exact_quantiles(values, {name: shares}, method="disc")
     inner = sorted({value for value in found[name] if value is not None})
     splits = [float("-inf"), *inner, float("inf")]
     if len(splits) < 3:

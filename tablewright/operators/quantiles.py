@@ -108,7 +108,7 @@ def _target(name: str, n: int, probability: float, method: str) -> _Target:
 
 def _narrow(df: DataFrame, targets: list[_Target], counts: Mapping[str, int], grid: int) -> None:
     """One pass that shrinks each target's bracket to a small share of the rows inside it."""
-    points = [i / grid for i in range(grid + 1)]
+    points = F.expr("array(" + ", ".join(f"{i / grid!r}D" for i in range(grid + 1)) + ")")
     brackets = _by_bracket(targets)
     aggregates = []
     for b, (column, low, high) in enumerate(brackets):

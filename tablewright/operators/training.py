@@ -31,12 +31,10 @@ from tablewright.functions.columns import (
     resolve,
     resolve_all,
 )
+from tablewright.sources.layout import spread
 
 FEATURES, LABEL, INDEXED = "features", "label", "indexed"
 
-# Tables estimated below this size are dealt out to all cores before the passes of a training.
-SPREAD_BYTES = 1 << 30
-
 
 @dataclass
 class SgdSvmModel:
@@ -123,17 +121,6 @@ def points(
     return assembler.transform(df.select(*inputs)).drop(*names)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out to all cores; a large one as it comes.
-
-    Training passes over its rows many times, and a small table often sits in one split. The
-    estimate bounds what the extra shuffle may move; large tables have enough partitions.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
-
-
 def _number(value: object, kind: type) -> object:
     return kind(value) if isinstance(value, str) else value
 

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tablewright.functions.columns import is_numeric, numeric_text, quoted, resolve
+from tablewright.functions.columns import holds_number, is_numeric, quoted, resolve
 from tablewright.operators.ranking import with_position
 
 # Below this row number a page is a top-k job; pages beyond it are cut from a ranked table.
@@ -112,7 +112,7 @@ def column_listing(df: DataFrame, *, numeric_only: bool = False) -> DataFrame:
     counts = []
     for i, name in enumerate(names):
         counts.append(F.count(quoted(name)).alias(f"present{i}"))
-        counts.append(F.count(F.when(numeric_text(quoted(name)), F.lit(1))).alias(f"numeric{i}"))
+        counts.append(F.count_if(holds_number(df, name)).alias(f"numeric{i}"))
     if not counts:
         return df.sparkSession.createDataFrame([], _LISTING_SCHEMA)
     types = dict(df.dtypes)
