@@ -27,18 +27,15 @@ GROUPS, GRID, ACCURACY = 64, 1_024, 10_000
 
 @dataclass
 class _Target:
-    """The wanted ranks of one column and the bracket they are known or believed to lie in."""
+    """One wanted rank of a column and the closed bracket its value is believed to lie in."""
 
     column: str
-    ranks: tuple[int, int]
-    fraction: float
-    rows: float  # bound on the distinct values of the bracket
+    rank: int
+    rows: float  # bound on the rows strictly inside the bracket
     low: float | None = None
     high: float | None = None
     slack: float = 1.0
-
-    def holds(self, below: int, inside: int) -> bool:
-        return below <= self.ranks[0] and self.ranks[1] < below + inside
+    value: float | None = None
 
     def reopen(self, rows: int) -> None:
         self.low = self.high = None
@@ -63,88 +60,100 @@ def exact_quantiles(
     names = list(wanted)
     if counts is None:
         found = df.agg(*[F.count(clean_double(df, c)).alias(f"n{i}") for i, c in enumerate(names)])
-        counts = dict(zip(names, found.head()))
+        counts = dict(zip(names, found.head())) if names else {}
+    places = {
+        name: [_place(counts[name], p, method) for p in wanted[name]] for name in names if counts[name]
+    }
     targets = {
-        (name, i): _target(name, counts[name], p, method)
-        for name in names
-        if counts[name]
-        for i, p in enumerate(wanted[name])
+        (name, rank): _Target(name, rank, counts[name])
+        for name, found in places.items()
+        for lower, upper, _ in found
+        for rank in (lower, upper)
     }
-    values: dict[tuple[str, int], float] = {}
     extra: Row | None = None
     while True:
-        open_keys = [key for key in targets if key not in values]
-        wide = [key for key in open_keys if targets[key].rows > limit]
+        sought = [target for target in targets.values() if target.value is None]
+        wide = [target for target in sought if target.rows > limit]
         if wide:
-            _narrow(df, [targets[key] for key in wide], counts, grid)
-            continue
-        if open_keys or (also and extra is None):
-            found, row = _select(
-                df, [targets[key] for key in open_keys], counts, also if extra is None else None
-            )
-            extra = row if extra is None else extra
-            for key, value in zip(open_keys, found):
-                if value is None:
-                    targets[key].reopen(counts[key[0]])
-                else:
-                    values[key] = value
-            continue
-        break
-    return {name: [values.get((name, i)) for i in range(len(wanted[name]))] for name in names}, extra
-
-
-def _target(name: str, n: int, probability: float, method: str) -> _Target:
+            _narrow(df, wide, counts, grid)
+        elif sought or (also and extra is None):
+            extra = _select(df, sought, counts, also if extra is None else None) or extra
+        else:
+            break
+
+    def quantile(name: str, place: tuple[int, int, float]) -> float:
+        lower, upper = (targets[name, rank].value for rank in place[:2])
+        return lower + (upper - lower) * place[2] if place[2] else lower
+
+    return {
+        name: [quantile(name, place) for place in places[name]] if name in places else [None] * len(wanted[name])
+        for name in names
+    }, extra
+
+
+def _place(n: int, probability: float, method: str) -> tuple[int, int, float]:
+    """The two 0-based ranks that a quantile lies between and its way from one to the other."""
     if not 0 <= probability <= 1:
         raise ValueError(f"probability {probability} is not between 0 and 1")
     if method == "linear":
-        place = (n - 1) * probability
-        lower = math.floor(place)
-        return _Target(name, (lower, min(lower + 1, n - 1)), place - lower, n)
+        exact = (n - 1) * probability
+        lower = math.floor(exact)
+        return lower, min(lower + 1, n - 1), exact - lower
     if method == "disc":
         rank = min(max(math.ceil(round(n * probability, 9)) - 1, 0), n - 1)
-        return _Target(name, (rank, rank), 0.0, n)
+        return rank, rank, 0.0
     raise ValueError(f"unknown quantile method {method!r}")
 
 
+def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
+    """Targets that share a column and a bracket share an aggregate."""
+    brackets: dict[tuple, list[_Target]] = {}
+    for target in targets:
+        brackets.setdefault((target.column, target.low, target.high), []).append(target)
+    return brackets
+
+
 def _narrow(df: DataFrame, targets: list[_Target], counts: Mapping[str, int], grid: int) -> None:
-    """One pass that shrinks each target's bracket to a small share of the rows inside it."""
+    """One pass that settles a target at its bracket's end or shrinks the bracket to a small share.
+
+    Only values strictly inside a bracket are summarised, so one frequent value at its end does
+    not blur the others.
+    """
     points = F.expr("array(" + ", ".join(f"{i / grid!r}D" for i in range(grid + 1)) + ")")
     brackets = _by_bracket(targets)
     aggregates = []
     for b, (column, low, high) in enumerate(brackets):
         value = clean_double(df, column)
-        kept, below = value, F.lit(0).cast("long")
-        if low is not None:
-            kept = F.when((value >= low) & (value <= high), value)
-            below = F.count(F.when(value < low, F.lit(1)))
+        inner = value if low is None else F.when((value > low) & (value < high), value)
         aggregates += [
-            below.alias(f"below{b}"),
-            F.count(kept).alias(f"inside{b}"),
-            F.percentile_approx(kept, points, ACCURACY).alias(f"points{b}"),
+            F.count_if(F.lit(False) if low is None else value < low).alias(f"below{b}"),
+            F.count_if(F.lit(False) if low is None else value == low).alias(f"at_low{b}"),
+            F.count_if(F.lit(False) if low is None else value == high).alias(f"at_high{b}"),
+            F.count(inner).alias(f"inside{b}"),
+            F.percentile_approx(inner, points, ACCURACY).alias(f"points{b}"),
         ]
     group = (F.spark_partition_id() % GROUPS).alias("part_group")
     # At most GROUPS rows of fixed size, however large the table is.
     summaries = df.groupBy(group).agg(*aggregates).collect()
     for b, members in enumerate(brackets.values()):
-        below = sum(row[f"below{b}"] for row in summaries)
+        below, at_low, inside, at_high = (
+            sum(row[f"{name}{b}"] for row in summaries) for name in ("below", "at_low", "inside", "at_high")
+        )
         filled = [(row[f"inside{b}"], row[f"points{b}"]) for row in summaries if row[f"inside{b}"]]
         for target in members:
-            if target.holds(below, sum(rows for rows, _ in filled)):
-                _tighten(target, below, filled, grid)
+            place = target.rank - below - at_low
+            if 0 <= place < inside:
+                _tighten(target, place, filled, grid)
+            elif -at_low <= place < 0:
+                target.value = target.low
+            elif target.low != target.high and inside <= place < inside + at_high:
+                target.value = target.high
             else:
                 target.reopen(counts[target.column])
 
 
-def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
-    """Targets that share a column and a bracket share an aggregate."""
-    brackets: dict[tuple, list[_Target]] = {}
-    for target in targets:
-        brackets.setdefault((target.column, target.low, target.high), []).append(target)
-    return brackets
-
-
-def _tighten(target: _Target, below: int, filled: list[tuple[int, list[float]]], grid: int) -> None:
-    """Move the bracket's ends to summary points that lie safely around the wanted ranks.
+def _tighten(target: _Target, place: int, filled: list[tuple[int, list[float]]], grid: int) -> None:
+    """Move the bracket's ends to summary points that lie safely around the wanted place.
 
     Each group's points divide its rows into equal parts, so the rows up to a point are known to
     within one part and the summary's own error.
@@ -153,16 +162,13 @@ def _tighten(target: _Target, below: int, filled: list[tuple[int, list[float]]],
     weights = np.concatenate([np.full(len(points), rows / grid) for rows, points in filled])
     order = np.argsort(values, kind="stable")
     values, reached = values[order], np.cumsum(weights[order])
-    inside = sum(rows for rows, _ in filled)
-    error = target.slack * inside * (2 / grid + 2 / ACCURACY) + len(filled)
-    first = np.searchsorted(reached, target.ranks[0] - below - error, side="right") - 1
-    last = np.searchsorted(reached, target.ranks[1] - below + error, side="left")
-    low = float(values[max(first, 0)])
-    high = float(values[min(last, len(values) - 1)])
-    target.low = low if target.low is None else max(low, target.low)
-    target.high = high if target.high is None else min(high, target.high)
-    # Rows at the bracket's ends share two values; only those between them can differ.
-    target.rows = min(4 * error, inside / 2)
+    error = target.slack * sum(rows for rows, _ in filled) * (2 / grid + 2 / ACCURACY) + len(filled)
+    first = np.searchsorted(reached, place - error, side="right") - 1
+    last = np.searchsorted(reached, place + error, side="left")
+    low, high = float(values[max(first, 0)]), float(values[min(last, len(values) - 1)])
+    # A bracket that stays as it is holds fewer rows than the summaries have points.
+    target.rows = 0 if (low, high) == (target.low, target.high) else 4 * error
+    target.low, target.high = low, high
 
 
 def _select(
@@ -170,8 +176,8 @@ def _select(
     targets: list[_Target],
     counts: Mapping[str, int],
     also: Mapping[str, Column] | None,
-) -> tuple[list[float | None], Row | None]:
-    """The exact values of all targets in one pass; None where a bracket missed its ranks."""
+) -> Row | None:
+    """Settle all targets in one pass; a bracket that missed its rank is opened again."""
     aggregates = [column.alias(name) for name, column in (also or {}).items()]
     brackets = _by_bracket(targets)
     clamped: dict[str, Column] = {}
@@ -181,19 +187,19 @@ def _select(
         clamped[name] = value
         if low is not None:
             clamped[name] = F.when(value < low, low).when(value > high, high).otherwise(value)
-            aggregates.append(F.count(F.when(value < low, F.lit(1))).alias(f"below{b}"))
-            aggregates.append(F.count(F.when(value > high, F.lit(1))).alias(f"above{b}"))
-        ranks = [rank for target in members for rank in target.ranks]
+            aggregates.append(F.count_if(value < low).alias(f"below{b}"))
+            aggregates.append(F.count_if(value > high).alias(f"above{b}"))
+        ranks = [target.rank for target in members]
         aggregates.append(_values_at(name, ranks, counts[column]).alias(f"values{b}"))
     row = df.withColumns(clamped).agg(*aggregates).head()
-    found: dict[int, float] = {}
     for b, ((column, low, _), members) in enumerate(brackets.items()):
         below, above = (0, 0) if low is None else (row[f"below{b}"], row[f"above{b}"])
-        for k, target in enumerate(members):
-            if target.holds(below, counts[column] - below - above):
-                lower, upper = row[f"values{b}"][2 * k : 2 * k + 2]
-                found[id(target)] = lower + (upper - lower) * target.fraction if target.fraction else lower
-    return [found.get(id(target)) for target in targets], row if also else None
+        for target, value in zip(members, row[f"values{b}"]):
+            if below <= target.rank < counts[column] - above:
+                target.value = value
+            else:
+                target.reopen(counts[column])
+    return row if also else None
 
 
 def _values_at(name: str, ranks: list[int], rows: int) -> Column:

@@ -30,7 +30,7 @@ def frame(spark, values, partitions=6):
     return spark.createDataFrame([(float(v),) for v in values], "v double").repartition(partitions)
 
 
-@pytest.mark.parametrize("limit, grid", [(10**6, 1024), (500, 64), (100, 16)])
+@pytest.mark.parametrize("limit, grid", [(10**6, 1024), (200, 32)])
 @pytest.mark.parametrize("shape", ["smooth", "hot", "two hot", "outliers", "constant", "few"])
 def test_shapes(spark, shape, limit, grid):
     rng = np.random.default_rng(3)
@@ -45,7 +45,7 @@ def test_shapes(spark, shape, limit, grid):
     check(frame(spark, values), values, limit=limit, grid=grid)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.integers(-3, 3).map(float), st.floats(-1e6, 1e6)), min_size=1, max_size=300))
 def test_any_values(spark, values):
     check(frame(spark, values, 3), np.array(values), limit=20, grid=8)
