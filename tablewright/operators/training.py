@@ -28,6 +28,7 @@ from tablewright.functions.columns import (
     data_type,
     is_numeric,
     lenient_double,
+    quoted,
     resolve,
     resolve_all,
 )
@@ -110,8 +111,10 @@ def points(
     if label is not None:
         name = resolve(df, label)
         if label_text:
-            value = F.col("`" + name.replace("`", "``") + "`")
-            if is_numeric(df, name) and not isinstance(data_type(df, name), T.IntegralType):
+            value = quoted(name)
+            if not is_numeric(df, name):
+                value = value.cast("string")
+            elif not isinstance(data_type(df, name), T.IntegralType):
                 value = value.cast("double")
         else:
             value = lenient_double(df, name) if lenient else as_double(df, name)

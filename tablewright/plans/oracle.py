@@ -330,6 +330,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'weighted_precision', round(sum(n * prec) / sum(n), 8) FROM k""",
     "evaluate_svm": PERFECT,
     "evaluate_lr": PERFECT,
+    "evaluate_forest": PERFECT,
     "feature_importance": """
         SELECT 'l_linenumber' AS feature, CAST(1 AS DOUBLE) AS importance
         UNION ALL SELECT 'l_discount', CAST(0 AS DOUBLE)""",

@@ -544,6 +544,13 @@ def evaluate_lr(spark, sf_dir):
     return _metrics(scoring.evaluate(trained, items, "is_big"))
 
 
+def evaluate_forest(spark, sf_dir):
+    items = _big(spark, sf_dir)
+    trained = training.train_forest(items, "is_big", ["l_quantity", "l_tax"], num_trees=3, max_depth=4, max_bins=64, seed=1)
+    scored = scoring.predict(_reloaded(spark, trained), items, label="is_big")
+    return _metrics(scoring.binary_metrics(scored, "label", "predicted_label"))
+
+
 def feature_importance(spark, sf_dir):
     trained = training.train_gbt(_big(spark, sf_dir), "half", ["l_linenumber", "l_discount"], iterations=1, seed=1)
     return training.feature_importances(trained).select("feature", _six("importance", "importance"))
@@ -639,7 +646,7 @@ QUERIES: dict[str, Query] = {
         quantile_bins_ties, quantile_bins_approx, vector_index, standard_scale, standard_scale_centred, pca,
         pca_variance, pca_variance_all, string_index, string_index_join, one_hot, polynomial, chi_square_scores,
         chi_square, svm_binary, svm_owlqn, gbt_binary, lr_binary, lr_multi, mlp_multi, rf_multi, predict_by_ordinal,
-        binary_metrics_hard, binary_metrics_raw, multiclass_metrics, evaluate_svm, evaluate_lr, feature_importance,
+        binary_metrics_hard, binary_metrics_raw, multiclass_metrics, evaluate_svm, evaluate_lr, evaluate_forest, feature_importance,
         model_inspect, lenient_features, frequent_items, frequent_sequences, flow_demo, flow_from_node, flow_evaluate,
     )
 }

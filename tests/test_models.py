@@ -152,6 +152,12 @@ def test_lenient_features(spark, gaps):
     assert trained.features == ["a"]
 
 
+def test_boolean_labels_are_classes(labelled):
+    df = labelled.withColumn("yes", F.col("noisy") == 1)
+    trained = training.train_gbt(df, "yes", FEATURES, iterations=1, max_depth=2, seed=1)
+    assert sorted(trained.classes) == ["false", "true"]
+
+
 def test_bad_training_parameters(labelled):
     with pytest.raises(ValueError):
         training.train_mlp(labelled, "three", FEATURES, layers=[4, 3])
