@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 # Tables estimated below this size are dealt out to all cores before repeated passes.
 SPREAD_BYTES = 1 << 30
+# Below this size per task, starting tasks costs more than they save.
+TASK_BYTES = 1 << 19
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -18,14 +20,16 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out to all cores; a large one as it comes.
+    """A small table dealt out to the cores; a large one as it comes.
 
     A small table often sits in one split. The estimate bounds what the extra shuffle moves; a
     large table has enough partitions already.
     """
-    if estimated_bytes(df) > SPREAD_BYTES:
+    size = estimated_bytes(df)
+    if size > SPREAD_BYTES:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 1 + size // TASK_BYTES))
 
 
 @contextmanager

@@ -77,8 +77,9 @@ def test_scratch_follows_the_session(spark):
 
 
 def test_only_small_tables_are_spread(spark, orders, monkeypatch):
-    cores = spark.sparkContext.defaultParallelism
-    assert layout.spread(orders).rdd.getNumPartitions() == cores
+    assert layout.spread(orders).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(layout, "TASK_BYTES", 10)
+    assert layout.spread(orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     with layout.held(orders) as kept:
         assert kept.is_cached
     monkeypatch.setattr(layout, "SPREAD_BYTES", 10)
