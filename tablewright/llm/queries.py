@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.llm import bpe
+from tablewright.llm.near_duplicates import near_duplicates
+from tablewright.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +18,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_minhash(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
     "op10_bpe": op10_bpe,
 }
 
