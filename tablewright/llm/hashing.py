@@ -24,6 +24,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base modulo 2^64, and of its inverse."""
+    return _powers(1 << max(16, n.bit_length()))
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, BASE, dtype=np.uint64)
@@ -50,7 +55,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     ends = np.flatnonzero(last) + 1
-    up, down = _powers(1 << max(16, (n + 1).bit_length()))
+    up, down = powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)

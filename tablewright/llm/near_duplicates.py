@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.llm.buckets import resolve, shared_buckets, with_both
 from tablewright.llm.buffers import named, slices, utf8
 from tablewright.llm.hashing import minima, mixed, shared, shingle_sets
-from tablewright.llm.store import Stored, components
+from tablewright.llm.store import Stored
 
 CHUNKS, CHUNK = 10, 5
 SYMBOLS = CHUNKS * CHUNK
@@ -34,8 +35,6 @@ ERRORS = 1  # in one chunk
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 # Pairs whose signatures agree in fewer symbols are not confirmed: a pair at 0.75 does so with p < 1e-5.
 AGREEING = 24
-# Rounds in which each bucket has one pivot.
-PIVOT_ROUNDS = 3
 
 SIGNATURE = "id long, n long, h1 long, h2 long, sig binary"
 
@@ -108,12 +107,6 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([named(batch, "a"), named(batch, "b")], names=["a", "b"]).filter(pa.array(near))
 
 
-def _two(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with the column of either side."""
-    side = {x: table.select(F.col("id").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab"}
-    return pairs.join(side["a"], "a").join(side["b"], "b")
-
-
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept.
 
@@ -129,56 +122,16 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     classes = sized.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = stored.keep(classes, "classes")
 
-    entries = classes.select("id", "n", "sig").mapInArrow(_entries, "key long, id long, n long").repartition("key")
-    ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi")
-    buckets = stored.keep(entries.join(ends.select("key"), "key"), "buckets")
-    members = buckets.select("id").distinct()
-    texts = stored.keep(docs.join(members, "id"), "texts")
-    sizes_fit = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-
-    labels, links, tried = None, [], []
-
-    def confirm(pairs: DataFrame, stem: str) -> None:
-        nonlocal labels
-        near = _two(pairs, classes, "sig").mapInArrow(_agreeing, "a long, b long")
-        found = _two(near, texts, "text").mapInArrow(_confirmed(percent), "a long, b long").distinct()
-        links.append(stored.keep(found, stem))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = stored.keep(components(every), f"{stem}-components")
-
-    def labelled() -> DataFrame:
-        """Members of buckets that hold more than one component, with their component."""
-        if labels is None:
-            return buckets.withColumn("label", F.col("id"))
-        with_label = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        with_label = stored.keep(with_label, "labelled")
-        mixed_keys = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        return stored.keep(with_label.join(mixed_keys, "key"), "mixed")
-
-    for i in range(PIVOT_ROUNDS):
-        now = labelled()
-        if now.isEmpty():
-            break
-        # another pivot in each round; a member meets only the first of its pivots
-        order = F.struct(F.col("id") if i == 0 else F.xxhash64("id", F.lit(i)), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-        pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.pivot", "p.pivot_n", "p.pivot_label")
-        met = now.join(pivots, "key").where("label != pivot_label").where(sizes_fit)
-        pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        tried.append(stored.keep(pairs, "pivots"))
-        confirm(tried[-1], f"links-{i}")
-
-    rest = labelled()
-    other = rest.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-    pairs = rest.join(other, "key").where("id < pivot and label != pivot_label").where(sizes_fit).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    for done in tried:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    pairs = stored.keep(pairs, "rest")
-    if labels is None or not pairs.isEmpty():
-        confirm(pairs, "links-rest")
-
-    final = lasting.keep(classes.select("h1", "h2", F.col("id").alias("node")).join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "classes-of")
+    buckets = stored.keep(shared_buckets(classes.select("id", "n", "sig").mapInArrow(_entries, "key long, id long, n long")), "buckets")
+    texts = stored.keep(docs.join(buckets.select("id").distinct(), "id"), "texts")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        near = with_both(pairs, classes, "sig").mapInArrow(_agreeing, "a long, b long")
+        return with_both(near, texts, "text").mapInArrow(_confirmed(percent), "a long, b long")
+
+    labels = resolve(stored, buckets, percent, confirm)
+    final = classes.select("h1", "h2", F.col("id").alias("node")).join(labels, "node", "left")
+    final = lasting.keep(final.select("h1", "h2", F.coalesce("component", "node").alias("component")), "classes-of")
     stored.drop()
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "id")).otherwise(F.col("id"))
     return (
