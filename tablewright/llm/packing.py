@@ -17,14 +17,13 @@ like any other; repeated rows are packed each on their own; an empty table gives
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.llm.bpe import Slices
 from tablewright.llm.buffers import named, slices, utf8
 from tablewright.llm.cutting_stock import GRAIN, solve
 from tablewright.llm.pretoken import split
@@ -33,29 +32,42 @@ from tablewright.llm.store import Stored
 LENGTH = 2048
 # Closes every document.
 END_ID = 1
-
-Encoder = Callable[[str], bytes]
+# Distinct pre-tokens that a task process remembers; beyond that it starts anew.
+CACHE_SLICES = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def slice_encoder(path: str) -> Encoder:
-    """The ids of one pre-token slice as little-endian unsigned 32-bit integers, by the tokenizer file."""
+def tokenizer_of(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return tokenizer
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Every batch in slices, with the id bytes of each text, the closing id included."""
-    cache = Slices(slice_encoder(path))
+    """Every batch in slices, with the id bytes of each text, the closing id included.
+
+    Ids are little-endian unsigned 32-bit integers. The tokenizer sees each distinct pre-token once.
+    """
+    tokenizer = tokenizer_of(path)
+    known: dict[str, bytes] = {}
     last = np.array([END_ID], dtype="<u4").tobytes()
     for batch in batches:
         for part in slices(batch, "text"):
             raw, offsets = utf8(named(part, "text"))
             words, first = split(raw.tobytes(), offsets)
-            got = [cache[w] for w in words]
+            new = [w for w in set(words) if w not in known]
+            if len(known) + len(new) > CACHE_SLICES:
+                known.clear()
+                new = list(set(words))
+            if new:
+                done = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(done.ids, dtype="<u4")
+                ends = np.searchsorted(np.array(done.word_ids, dtype=np.int64), np.arange(len(new) + 1))
+                flat, at = ids.tobytes(), (4 * ends).tolist()
+                known.update(zip(new, [flat[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            got = [known[w] for w in words]
             at = first.tolist()
             yield part, [b"".join(got[a:b]) + last for a, b in zip(at, at[1:], strict=False)]
 

@@ -148,7 +148,7 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     before = np.empty(n, dtype=np.uint8)
     before[0] = CLOSED
     before[1:] = value[reach[:-1]]
-    return np.flatnonzero(begins.ravel()[before.astype(np.int64) * 16 + symbol])
+    return np.flatnonzero(begins.ravel()[before * np.uint8(16) + symbol])
 
 
 def split(data: bytes, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:

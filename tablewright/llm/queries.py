@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe
+from tablewright.llm import bpe, toxicity
+from tablewright.llm.line_duplicates import dedup_lines
+from tablewright.llm.main_text import extract
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack
 
@@ -26,6 +28,28 @@ def op2_minhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _held_out():
+    """A fifth of the documents, whose labels nothing learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~_held_out())
+    model = toxicity.fit(docs.withColumnRenamed("doc_id", "id"), labels.select(F.col("doc_id").alias("id"), "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_main_text(spark, sf_dir):
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_lines(spark, sf_dir):
+    """Per document what line deduplication leaves: counts and the text."""
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -34,6 +58,9 @@ def op10_bpe(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op4_toxicity": op4_toxicity,
+    "op5_main_text": op5_main_text,
+    "op8_lines": op8_lines,
     "op10_bpe": op10_bpe,
 }
 
