@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, toxicity
+from tablewright.llm import bpe, personal_data, toxicity
 from tablewright.llm.line_duplicates import dedup_lines
 from tablewright.llm.main_text import extract
 from tablewright.llm.near_duplicates import near_duplicates
@@ -28,6 +28,10 @@ def op2_minhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark, sf_dir):
+    return personal_data.find(_table(spark, sf_dir, "documents"))
+
+
 def _held_out():
     """A fifth of the documents, whose labels nothing learns from."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -58,6 +62,7 @@ def op10_bpe(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op3_personal_data": op3_personal_data,
     "op4_toxicity": op4_toxicity,
     "op5_main_text": op5_main_text,
     "op8_lines": op8_lines,
