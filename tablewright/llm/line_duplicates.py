@@ -140,8 +140,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole, first = np.unique(lines.shingles()[1][use], return_index=True)
             use = use[first]
             keys = band_keys(lines)[use]
+            # sizes of sets aren't known before lines are compared: all count as equal
             yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)), pa.array(lines.sizes()[use]), pa.array([x.tobytes() for x in keys], pa.binary())], names=["id", "n", "keys"]
+                [pa.array(whole.view(np.int64)), pa.array(np.ones(len(use), np.int64)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["id", "n", "keys"]
             )
 
 
@@ -187,6 +188,16 @@ def _confirmed(percent: int):
     return rows
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = line_sets(*utf8(named(part, "text")))
+            again = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            sizes = pa.array(np.repeat([len(s) for s in sets], [len(s) for s in sets]), pa.int64())
+            token = pa.array(np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([named(part, "id").take(again), sizes, named(part, "label").take(again), token], names=["id", "n", "label", "token"])
+
+
 def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, gone = [], [], []
@@ -223,7 +234,10 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     def confirm(pairs: DataFrame) -> DataFrame:
         return with_both(pairs, texts, "text").mapInArrow(_confirmed(percent), "a long, b long")
 
-    labels = resolve(stored, buckets, percent, confirm).withColumnRenamed("node", "line")
+    def tokens(members: DataFrame) -> DataFrame:
+        return members.join(texts, "id").mapInArrow(_tokens, "id long, n long, label long, token long")
+
+    labels = resolve(stored, buckets, percent, confirm, tokens).withColumnRenamed("node", "line")
     grouped = lines.join(labels, "line", "left").withColumn("group", F.coalesce("component", "line"))
     grouped = stored.keep(grouped.select("group", "id", "row", "number"), "grouped")
     keepers = grouped.groupBy("group").agg(F.min(F.struct("id", "row", "number")).alias("kept"), F.count("*").alias("n")).where("n > 1")

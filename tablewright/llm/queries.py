@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import bpe, personal_data, toxicity
+from tablewright.llm import bpe, hamming_search, licenses, personal_data, toxicity
 from tablewright.llm.line_duplicates import dedup_lines
 from tablewright.llm.main_text import extract
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack
+from tablewright.llm.vectors import near_equal
+
+# Characters up to which a text with a license line counts as a licence file.
+SHORT_NOTICE = 500
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,11 +53,30 @@ def op5_main_text(spark, sf_dir):
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_licenses(spark, sf_dir):
+    """Documents as files of a tree source/lang; a short text with a license line is the licence file of its folder."""
+    docs = _table(spark, sf_dir, "documents")
+    named = (F.length("text") <= SHORT_NOTICE) & F.col("text").rlike(licenses.HEADER_WORDS)
+    file = F.concat(F.when(named, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    tree = docs.select("doc_id", F.concat_ws("/", "source", "lang", file).alias("path"), "text")
+    return licenses.scan(tree, "path", "text")
+
+
+def op7_vectors(spark, sf_dir):
+    return near_equal(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_lines(spark, sf_dir):
     """Per document what line deduplication leaves: counts and the text."""
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_top_k(spark, sf_dir):
+    """The ten nearest sign codes of every vector whose id is divisible by 50, among all vectors."""
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_search.sign_code("embedding").alias("code"))
+    return hamming_search.top_k(codes, codes.where("id % 50 = 0"), 10)
+
+
 def op10_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -65,9 +88,22 @@ QUERIES: dict[str, Query] = {
     "op3_personal_data": op3_personal_data,
     "op4_toxicity": op4_toxicity,
     "op5_main_text": op5_main_text,
+    "op6_licenses": op6_licenses,
+    "op7_vectors": op7_vectors,
     "op8_lines": op8_lines,
+    "op9_top_k": op9_top_k,
     "op10_bpe": op10_bpe,
 }
 
 # Results in SQL, where SQL can express them.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_top_k": """
+        WITH pairs AS (
+            SELECT q.vec_id AS query_id, d.vec_id AS neighbor_id,
+                   CAST(list_sum(list_transform(range(1, 65), i -> CAST((q.embedding[i] > 0) <> (d.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
+            FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+        WHERE rank <= 10
+    """,
+}
