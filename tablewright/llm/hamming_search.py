@@ -65,7 +65,7 @@ def _nearest(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
 def _met(radius: int, k: int):
     """In one index part: the codes that each query meets at exactly this segment radius, as many as it can need."""
 
-    def rows(key, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    def rows(key: tuple, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         entries = entries.sort_values("value", kind="stable")
         values, codes, copies = entries["value"].to_numpy(), entries["code"].to_numpy(), entries["copies"].to_numpy()
         masks, leading = _masks(radius), int(key[1])

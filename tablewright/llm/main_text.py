@@ -1,13 +1,11 @@
 """Main text of web pages: parser events, text-to-tag ratios per line, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one per block of text. A line has its
-text length, the number of tags met since the line before, and how deep it stands in boilerplate
-elements (menus, headers outside the article, footers, sidebars, adverts, notices, forms, comments). The
-text-to-tag ratios, smoothed with a Gaussian over neighbouring lines, are split by two-means clustering into a
-high and a low group; its border, held below MAX_BORDER, is the threshold. Lines above it and outside boilerplate vote, by the length of
-their text, for the elements around them; the deepest element with SHARE of the votes is the content region, or the
-article or main element around it. Inside an article or main element all lines outside boilerplate are content,
-short ones as well; in other regions those above the threshold.
+text length and the number of tags met since the line before; lines in boilerplate elements (menus, headers outside
+the article, footers, sidebars, adverts, notices, forms, comments) are left out from the start. The text-to-tag ratios, smoothed with a Gaussian over neighbouring lines, are split by two-means clustering into a
+high and a low group; its border, held below MAX_BORDER, is the threshold. Lines above it vote, by the length of their text, for the
+elements around them; the deepest element with SHARE of the votes is the content region, or the
+article or main element around it. Inside an article or main element all lines are content, short ones as well; in other regions those above the threshold.
 
 Results by case: a null or empty page has an empty text; broken markup, missing end tags and cut-off
 references are read as browsers do; text of any length is kept whole; other columns are not looked at; repeated rows
@@ -171,14 +169,14 @@ def main_text(html: str) -> str:
         return ""
     parser = _Lines()
     parser.feed(html)
-    lines = parser.finish()
+    lines = [x for x in parser.finish() if not x[2]]
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
     high = (ratio >= border(ratio)).tolist()
     region = _region(lines, high, parser.regions)
     whole = region is not None and parser.regions[region] in CONTAINERS
-    return " ".join(text for (text, _, plate, around), up in zip(lines, high, strict=True) if not plate and (region is None or region in around) and (whole or up))
+    return " ".join(text for (text, _, _, around), up in zip(lines, high, strict=True) if (region is None or region in around) and (whole or up))
 
 
 def _region(lines: list[tuple[str, int, bool, list[int]]], high: list[bool], names: list[str]) -> int | None:
@@ -186,8 +184,7 @@ def _region(lines: list[tuple[str, int, bool, list[int]]], high: list[bool], nam
     votes: dict[int, int] = {}
     total = 0
     chain: dict[int, list[int]] = {}
-    voters = [x for x, up in zip(lines, high, strict=True) if up and not x[2]] or [x for x in lines if not x[2]]
-    for text, _, _, around in voters:
+    for text, _, _, around in (x for x, up in zip(lines, high, strict=True) if up):
         total += len(text)
         for i, region in enumerate(around):
             votes[region] = votes.get(region, 0) + len(text)

@@ -32,19 +32,19 @@ SPAN = 5  # letters between the first and the last of a subsequence, at most
 CODES = 64  # letters are told apart by this many codes
 PART = 24  # longer words are cut into parts of this length, overlapping by half
 LANDMARKS = 128
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 4000
 APART = 4.0  # standard errors between a landmark's shares of toxic and of clean documents
 PENALTY = 3e-4  # weight of the machine's norm beside the whole loss
 LIFT = 10  # a proof's share of toxic documents is at least so many times that of clean ones
 RIDGE = 0.05  # eigenvalues of the landmarks' kernel are held above it
 NEAR = 0.3  # words with no kernel value above it tell the machine nothing
-ROUNDS = 4
+ROUNDS = 3
 INSERTED = "xo"  # letters put into landmarks for further proofs
 HARD = 128  # clean words that become landmarks after the first round
 CACHE_WORDS = 1 << 20
 
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
-_code = np.arange(0x110000, dtype=np.int64) * 2654435761 % 37 + 27
+_code = np.arange(0x110000, dtype=np.int64) * 2654435761 % 36 + 27
 _code[97:123] = np.arange(1, 27)
 _CODE = _code.astype(np.int32)
 
@@ -82,9 +82,10 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
                 owner.append(i)
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    width = max(3, 1 + max(map(len, parts)))
+    width = 2 + max(map(len, parts))
     grid = np.full((len(parts), width), -1, dtype=np.int64)
-    grid[:, 0] = 0  # the beginning of a word is a sign of its own
+    grid[:, 0] = 0  # the beginning and the end of a word are signs of their own
+    grid[np.arange(len(parts)), [len(p) + 1 for p in parts]] = CODES - 1
     flat = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
     sizes = np.array([len(p) for p in parts])
     row = np.repeat(np.arange(len(parts)), sizes)
@@ -169,7 +170,7 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, penalty: float, steps: int = 40) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps over the support vectors."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     ridge = np.full(x1.shape[1], penalty)
     ridge[-1] = 1e-6 * penalty
 
@@ -180,8 +181,14 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, penalty: float,
     for _ in range(steps):
         gap = 1 - y * (x1 @ w)
         use = gap > 0
-        slope = ridge * w - x1[use].T @ (c[use] * y[use] * gap[use])
-        move = np.linalg.solve(np.diag(ridge) + (x1[use] * c[use, None]).T @ x1[use], slope)
+        slope, curve = ridge * w, np.diag(ridge)
+        rows = np.flatnonzero(use)
+        for a in range(0, len(rows), 4096):
+            at = rows[a : a + 4096]
+            some = x1[at].astype(np.float64)
+            slope = slope - some.T @ (c[at] * y[at] * gap[at])
+            curve = curve + (some * c[at, None]).T @ some
+        move = np.linalg.solve(curve, slope)
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w - size * move) > now:
             size /= 2
@@ -225,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     stats = stored.keep(words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "word-stats")
     share_bad, share_good = F.col("bad") / totals[1], F.col("good") / totals[0]
     pooled = (F.col("bad") + F.col("good")) / (totals[0] + totals[1])
-    apart = (share_bad - share_good) / F.sqrt(pooled * (1 - pooled) * (1 / totals[0] + 1 / totals[1]))
+    apart = (share_bad - share_good) / (F.sqrt(pooled * (1 - pooled) * (1 / totals[0] + 1 / totals[1])) + 1e-12)
     top = stats.where("bad >= 2").withColumn("apart", apart).where(F.col("apart") >= APART).orderBy(F.desc("apart"), "word").limit(LANDMARKS).collect()
     if not top:
         stored.drop()
@@ -294,9 +301,9 @@ def _train(landmarks: list[str], bags: list[tuple[int, list[str]]], totals: dict
         # a proof that clean documents share is none
         fair = LIFT * good_count[proof] / totals[0] < bad_count[proof] / totals[1]
         proof, times = proof[fair], times[fair]
-        data = np.vstack([x[proof], more, x[negative], np.zeros((1, x.shape[1]))])  # the last: a word unlike all landmarks
+        data = np.vstack([x[proof], more, x[negative], np.zeros((1, x.shape[1]), dtype=x.dtype)])  # the last: a word unlike all landmarks
         y = np.concatenate([np.ones(len(proof) + len(more)), -np.ones(len(negative) + 1)])
-        c = np.concatenate([np.sqrt(times), np.sqrt([n for _, n in inserted]), np.sqrt(good_count[negative]), [np.sqrt(totals[0])]])
+        c = np.concatenate([times, [n for _, n in inserted], good_count[negative], [totals[0]]])
         c[y > 0] *= c[y < 0].sum() / max(1e-9, c[y > 0].sum())
         w, offset = _squared_hinge(data, y, c, PENALTY * c.sum())
         current = x @ w + offset

@@ -62,7 +62,7 @@ def _entries(batches):
 
 
 def _links(cosine: float):
-    def rows(key, table: pd.DataFrame) -> pd.DataFrame:
+    def rows(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         _, _, point, low, high = key
         units = np.frombuffer(b"".join(table["unit"]), dtype=np.float64).reshape(len(table), -1)
         mask, ids = table["mask"].to_numpy(), table["id"].to_numpy()
