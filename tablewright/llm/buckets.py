@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.store import Stored, components
 
@@ -12,7 +12,6 @@ from tablewright.llm.store import Stored, components
 PIVOT_ROUNDS = 3
 
 Confirm = Callable[[DataFrame], DataFrame]
-Tokens = Callable[[DataFrame], DataFrame]
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
@@ -22,31 +21,15 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
     return entries.join(ends, "key")
 
 
-def by_rarest(stored: Stored, tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that could reach `percent`, from tokens (id, n, label, token) of whole sets.
-
-    Two sets at that similarity share one of the rarest tokens of either: with the tokens of a set of n in
-    any common order, here from rare to frequent, one of the first n - percent * n / 100 + 1. Copies with many
-    edits of their own have only tokens there that nobody shares, and meet no one, however large their group is.
-    """
-    tokens = stored.keep(tokens, "tokens")
-    spread = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "token"))
-    first = tokens.join(spread, "token").withColumn("place", place).where(f"place <= n - ceil({percent} * n / 100) + 1 and lo != hi")
-    first = stored.keep(first.select("token", "id", "n", "label"), "rarest")
-    other = first.select("token", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    fit = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-    return first.join(other, "token").where("id < other and label != other_label").where(fit).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-
-
-def resolve(stored: Stored, buckets: DataFrame, percent: int, confirm: Confirm, tokens: Tokens) -> DataFrame:
+def resolve(stored: Stored, buckets: DataFrame, percent: int, confirm: Confirm) -> DataFrame:
     """(node, component) of the members of buckets (key, id, n) that confirmed links join.
 
     n is the size of a member's set; sizes too far apart for `percent` are never paired. confirm() keeps the
     true links of pairs (a, b). In each of a few rounds a member meets one pivot of its buckets; links found make
     components, and buckets of a single component are done. In the end members of different components that
     still share a bucket are paired, so that every pair in a bucket has been confirmed, refused or made
-    superfluous by a component that holds both.
+    superfluous by a component that holds both. A group of loose copies, near enough to share buckets but not to be
+    linked, costs as many pairs as it has there.
     """
     fit = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
     links: list[DataFrame] = []
@@ -83,8 +66,9 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, confirm: Confirm,
         pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         tried.append(stored.keep(pairs, "pivots"))
         follow(tried[-1])
-    rest = undecided().select("id", "n", "label").distinct()
-    pairs = by_rarest(stored, tokens(rest), percent)
+    rest = undecided()
+    other = rest.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
+    pairs = rest.join(other, "key").where("id < pivot and label != pivot_label").where(fit).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     for done in tried:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
     pairs = stored.keep(pairs, "rest")

@@ -9,7 +9,7 @@ with p = 0.63, ten chunks), a closer pair with more.
 
 Equal sets are one class from the start, so copies meet no bucket twice. In a bucket no pairs are
 enumerated blindly: its members are first held against one pivot per bucket, links are confirmed on the full
-sets, and only buckets that still hold several components go on, to pairs that share one of their rarest shingles.
+sets, and only members of different components that still share a bucket are paired in the end.
 
 Results by case: null, empty or blank text has no shingles and links with nothing; fewer than five words
 are one shingle; repeated rows and rows of equal id are one document; a null id is kept, with a null
@@ -33,8 +33,8 @@ CHUNKS, CHUNK = 10, 5
 SYMBOLS = CHUNKS * CHUNK
 ERRORS = 1  # in one chunk
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-# Pairs whose signatures agree in fewer symbols are not confirmed: a pair at 0.75 does so with p < 1e-5.
-AGREEING = 24
+# Pairs whose signatures agree in fewer symbols are not confirmed: a pair at 0.75 does so with p < 1e-3.
+AGREEING = 28
 
 SIGNATURE = "id long, n long, h1 long, h2 long, sig binary"
 
@@ -107,15 +107,6 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([named(batch, "a"), named(batch, "b")], names=["a", "b"]).filter(pa.array(near))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = shingle_sets(*utf8(named(part, "text")))
-            again = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-            token = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*[named(part, c).take(again) for c in ("id", "n", "label")], token], names=["id", "n", "label", "token"])
-
-
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept.
 
@@ -138,10 +129,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
         near = with_both(pairs, classes, "sig").mapInArrow(_agreeing, "a long, b long")
         return with_both(near, texts, "text").mapInArrow(_confirmed(percent), "a long, b long")
 
-    def tokens(members: DataFrame) -> DataFrame:
-        return members.join(texts, "id").mapInArrow(_tokens, "id long, n long, label long, token long")
-
-    labels = resolve(stored, buckets, percent, confirm, tokens)
+    labels = resolve(stored, buckets, percent, confirm)
     final = classes.select("h1", "h2", F.col("id").alias("node")).join(labels, "node", "left")
     final = lasting.keep(final.select("h1", "h2", F.coalesce("component", "node").alias("component")), "classes-of")
     stored.drop()
