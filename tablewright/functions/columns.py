@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 from decimal import Decimal
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-_DECIMAL_LITERAL = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
+_DECIMAL_LITERAL = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", re.ASCII)
 _LONG_MIN, _LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -58,6 +60,32 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [name for name in df.columns if is_numeric(df, name)]
 
 
+def is_vector(df: DataFrame, name: str) -> bool:
+    """True for a feature column: a vector, or an array of numbers."""
+    kind = data_type(df, name)
+    return isinstance(kind, VectorUDT) or (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType))
+
+
+def elements(df: DataFrame, name: str) -> list[Column]:
+    """The elements of a feature column as doubles; its width is that of the first row that has it.
+
+    In rows of another width all elements are null.
+    """
+    array = vector_to_array(quoted(name)) if isinstance(data_type(df, name), VectorUDT) else quoted(name).cast("array<double>")
+    first = df.select(F.size(array).alias("width")).where(array.isNotNull()).head()
+    width = 0 if first is None else first["width"]
+    same = F.when(F.size(array) == width, array)
+    return [F.get(same, F.lit(i)) for i in range(width)]
+
+
+def balanced(join: Callable[[Column, Column], Column], parts: Sequence[Column]) -> Column:
+    """The parts joined pairwise, so that the expression is as deep as the logarithm of their number."""
+    parts = list(parts)
+    while len(parts) > 1:
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def require_numeric(df: DataFrame, names: Iterable[str]) -> None:
     for name in names:
         if not is_numeric(df, name):
@@ -72,7 +100,7 @@ def parse_number(text: object) -> int | float | None:
         text = str(text)
     if not _DECIMAL_LITERAL.fullmatch(text):
         return None
-    if re.fullmatch(r"\s*[+-]?\d+\s*", text) and _LONG_MIN <= int(text) <= _LONG_MAX:
+    if re.fullmatch(r"\s*[+-]?\d+\s*", text, re.ASCII) and _LONG_MIN <= int(text) <= _LONG_MAX:
         return int(text)
     number = float(text)
     return number if abs(number) != float("inf") else None

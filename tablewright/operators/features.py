@@ -6,7 +6,7 @@ that fits and transforms the same table. Vectors come out as arrays of float.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations_with_replacement
@@ -23,13 +23,16 @@ from pyspark.ml.feature import (
     VectorAssembler,
     VectorIndexer,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions.columns import (
+    balanced,
     clean_double,
+    elements,
     free_name,
+    is_vector,
     quoted,
     require_numeric,
     resolve,
@@ -45,6 +48,8 @@ from tablewright.sources.scratch import checkpointed
 LABEL_LIMIT = 100_000
 # A label above this share of the rows is matched by a broadcast; fewer than 1 / share can be.
 HOT_SHARE = 1e-4
+# A one-hot array has at most so many places in every row.
+ONE_HOT_WIDTH = 10_000
 
 
 @dataclass(frozen=True)
@@ -77,11 +82,17 @@ class FittedStage:
 def assemble(
     df: DataFrame, columns: Sequence[str | int], new_column: str, handle_invalid: str = "error"
 ) -> DataFrame:
-    """Numeric columns as one vector column; `handle_invalid` is error, skip or keep."""
-    names = resolve_all(df, columns)
-    require_numeric(df, names)
+    """Numeric columns, vectors and arrays as one vector column; `handle_invalid` is error, skip or keep."""
+    names, own = resolve_all(df, columns), []
+    require_numeric(df, [name for name in names if not is_vector(df, name)])
+    wide = df
+    for name in names:
+        if is_vector(df, name) and isinstance(df.schema[name].dataType, T.ArrayType):
+            own.append(free_name(wide, f"{name}_vector"))
+            wide = wide.withColumn(own[-1], array_to_vector(quoted(name).cast("array<double>")))
+            names = [own[-1] if x == name else x for x in names]
     assembler = VectorAssembler(inputCols=names, outputCol=new_column, handleInvalid=handle_invalid)
-    return assembler.transform(df)
+    return assembler.transform(wide).drop(*own)
 
 
 def assemble_array(
@@ -105,11 +116,18 @@ def _inputs(
     df: DataFrame, columns: Sequence[str | int], handle_invalid: str
 ) -> tuple[list[Column], Column | None]:
     """The columns as doubles without nulls, and the filter that skips rows with missing values."""
-    names = resolve_all(df, columns)
-    require_numeric(df, names)
-    values = [clean_double(df, name) for name in names]
+    values: list[Column] = []
+    names: list[str] = []
+    for name in resolve_all(df, columns):
+        if is_vector(df, name):
+            found = [F.when(~F.isnan(x), x) for x in elements(df, name)]
+        else:
+            require_numeric(df, [name])
+            found = [clean_double(df, name)]
+        values += found
+        names += [name] * len(found)
     if handle_invalid == "skip":
-        return values, reduce(Column.__and__, [value.isNotNull() for value in values])
+        return values, balanced(Column.__and__, [value.isNotNull() for value in values])
     if handle_invalid == "keep":
         return [F.coalesce(value, F.lit(float("nan"))) for value in values], None
     if handle_invalid == "error":
@@ -188,10 +206,9 @@ def fit_vector_index(
 
 def _category_index(value: Column, categories: Mapping[float, int]) -> Column:
     """The category's index; a value that was not there when fitting is an error."""
-    index = F.lit(None)
-    known = [(float(category), float(i)) for category, i in categories.items()]
-    for category, i in known:
-        index = F.when(value == F.lit(category), F.lit(i)).otherwise(index)
+    known = sorted((float(category), float(i)) for category, i in categories.items())
+    table = F.map_from_arrays(F.lit([category for category, _ in known]), F.lit([i for _, i in known]))
+    index = F.try_element_at(table, value + F.lit(0.0))  # a zero has no sign
     unseen = F.raise_error(F.lit("a value was not among the categories when fitting"))
     return F.coalesce(index, F.when(~F.isnan(value), unseen.cast("double")).otherwise(value))
 
@@ -238,13 +255,13 @@ def fit_pca(
 ) -> FittedFeature:
     """Projection onto the first k principal components, without centring; signs are arbitrary."""
     names = resolve_all(df, columns)
-    if k >= len(names):
-        raise ValueError(f"k = {k} must be less than the number of columns, {len(names)}")
     inputs, present = _inputs(df, names, handle_invalid)
+    if k >= len(inputs):
+        raise ValueError(f"k = {k} must be less than the number of columns, {len(inputs)}")
     fitted = _fit_stage(df, names, PCA(k=k), handle_invalid)
     components = fitted.pc.toArray().T
     projected = [
-        reduce(Column.__add__, [value * F.lit(float(w)) for value, w in zip(inputs, weights)])
+        balanced(Column.__add__, [value * F.lit(float(w)) for value, w in zip(inputs, weights)])
         for weights in components
     ]
     return FittedFeature({new_column or PCA_NAME: _floats(projected)}, fitted, present)
@@ -310,6 +327,8 @@ def fit_one_hot(
     fitted = encoder.fit(df.select(*[quoted(name) for name in dict.fromkeys(names)]))
     if not as_array:
         return FittedStage(fitted)
+    if max(fitted.categorySizes) > ONE_HOT_WIDTH:
+        raise ValueError(f"a one-hot array would have {max(fitted.categorySizes)} places, more than {ONE_HOT_WIDTH}; index the column first")
     stop = "a value of {} was not among the categories when fitting"
     columns_out = {}
     for name, output, size in zip(names, outputs, fitted.categorySizes):
@@ -317,10 +336,15 @@ def fit_one_hot(
         unseen = F.raise_error(F.lit(stop.format(name))).cast("int")
         value = F.when((value >= 0) & (value < size), value).otherwise(unseen)
         width = size - 1 if drop_last else size
-        columns_out[output] = _floats([(value == i) for i in range(width)])
+        places = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
+        columns_out[output] = F.transform(places, _unit(value))
     return FittedFeature(columns_out, fitted)
 
 
+def _unit(value: Column) -> Callable[[Column], Column]:
+    return lambda place: (place == value).cast("float")
+
+
 def one_hot(df: DataFrame, columns: Sequence[str | int], new_columns: Sequence[str] | None = None,
             **options) -> DataFrame:
     return fit_one_hot(df, columns, new_columns, **options).transform(df)
@@ -447,7 +471,12 @@ def _string_index_model(
 def _string_index_join(
     df: DataFrame, name: str, output: str, counted: DataFrame, handle_invalid: str
 ) -> DataFrame:
-    """Join the ranked label table; rows of frequent labels are matched without being shuffled."""
+    """Join the ranked label table.
+
+    Rows of frequent labels meet them by broadcast, and nulls meet nothing: neither are shuffled. Only rows of
+    labels that each have less than HOT_SHARE of the rows are dealt out by label, so that no task gets a hot key.
+    The table is read once for either kind.
+    """
     ranked, position = with_position(counted, [F.col("rows").desc(), F.col("label")])
     ranked = checkpointed(ranked.withColumn(output, F.col(position).cast("double")))
     size = ranked.agg(F.sum("rows").alias("rows"), F.count("*").alias("labels")).head()
@@ -455,20 +484,14 @@ def _string_index_join(
     rare = ranked.where(F.col("rows") <= size["rows"] * HOT_SHARE).select("label", output)
 
     text = quoted(name).cast("string")
-    label, salt, hot_index = (free_name(df, stem) for stem in ("label", "salt", "hot_index"))
-    marked = df.withColumn(label, text).join(
-        F.broadcast(hot.select(F.col("label").alias(label), quoted(output).alias(hot_index))),
-        label,
-        "left",
-    )
-    # Rows that are already matched, and nulls, join nothing: spread them over all tasks.
-    done = quoted(hot_index).isNotNull() | quoted(label).isNull()
-    spread = F.when(done, 1 + F.spark_partition_id()).otherwise(F.lit(0))
-    marked = marked.withColumn(salt, spread).withColumn(label, F.when(quoted(salt) == 0, quoted(label)).otherwise(F.lit("")))
-    joined = marked.join(
-        rare.select(F.col("label").alias(label), F.lit(0).alias(salt), quoted(output)), [label, salt], "left"
-    )
-    index = F.coalesce(quoted(hot_index), quoted(output))
+    label, index_column = (free_name(df, stem) for stem in ("label", "hot_index"))
+    known = [F.col("label").alias(label), quoted(output).alias(index_column)]
+    marked = df.withColumn(label, text)
+    met = marked.join(F.broadcast(hot.select(*known)), label, "left")
+    done = met.where(quoted(index_column).isNotNull() | quoted(label).isNull())
+    others = met.where(quoted(index_column).isNull() & quoted(label).isNotNull()).drop(index_column)
+    joined = done.unionByName(others.join(rare.select(*known), label, "left"))
+    index = quoted(index_column)
     kept = [quoted(c) for c in df.columns]
     if handle_invalid == "keep":
         index = F.coalesce(index, F.lit(float(size["labels"])))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
@@ -25,8 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablewright.functions.columns import (
     as_double,
+    balanced,
     data_type,
+    elements,
     is_numeric,
+    is_vector,
     lenient_double,
     quoted,
     resolve,
@@ -37,6 +39,10 @@ from tablewright.sources.layout import spread
 FEATURES, LABEL, INDEXED = "features", "label", "indexed"
 
 
+# A forest's label has at most so many classes; each leaf counts all of them.
+MAX_CLASSES = 1_000
+
+
 @dataclass
 class SgdSvmModel:
     """A linear margin without intercept; above the threshold the prediction is 1."""
@@ -45,7 +51,9 @@ class SgdSvmModel:
     threshold: float = 0.0
 
     def margin(self, inputs: Sequence[Column]) -> Column:
-        return reduce(Column.__add__, [x * F.lit(w) for x, w in zip(inputs, self.weights)])
+        if len(inputs) != len(self.weights):
+            raise ValueError(f"the model has {len(self.weights)} inputs, the table gives {len(inputs)}")
+        return balanced(Column.__add__, [x * F.lit(w) for x, w in zip(inputs, self.weights)])
 
 
 @dataclass
@@ -82,11 +90,19 @@ _LOADERS = {
 def input_columns(
     df: DataFrame, features: Sequence[str | int], *, lenient: bool = False
 ) -> list[Column]:
-    """Feature columns as doubles; text must spell numbers unless lenient, then it counts as 0.0."""
-    names = resolve_all(df, features)
-    if lenient:
-        return [lenient_double(df, name) for name in names]
-    return [as_double(df, name) for name in names]
+    """Feature columns as doubles, vectors and arrays element by element.
+
+    Text must spell numbers unless lenient, then it counts as 0.0; columns of other types raise.
+    """
+    found: list[Column] = []
+    for name in resolve_all(df, features):
+        if is_vector(df, name):
+            found += elements(df, name)
+        elif isinstance(data_type(df, name), (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+            raise ValueError(f"column {name!r} can't be a feature, it is {data_type(df, name).simpleString()}")
+        else:
+            found.append(lenient_double(df, name) if lenient else as_double(df, name))
+    return found
 
 
 def lenient_features(
@@ -119,7 +135,7 @@ def points(
         else:
             value = lenient_double(df, name) if lenient else as_double(df, name)
         inputs.append(value.alias(LABEL))
-    names = [f"x{i}" for i in range(len(resolve_all(df, features)))]
+    names = [f"x{i}" for i in range(len(inputs) - (label is not None))]
     assembler = VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid=handle_invalid)
     return assembler.transform(df.select(*inputs)).drop(*names)
 
@@ -186,21 +202,17 @@ def _descend(
     """Hinge-loss subgradient descent; each iteration is one aggregate of as many sums as features."""
     if reg_type not in ("l1", "l2", "none", None):
         raise ValueError(f"unknown penalty {reg_type!r}")
-    inputs = [F.col(f"x{i}") for i in range(len(features))]
-    rows = df.select(
-        *[as_double(df, name).alias(f"x{i}") for i, name in enumerate(features)],
-        as_double(df, label).alias("y"),
-    )
+    values = input_columns(df, features)
+    inputs = [F.col(f"x{i}") for i in range(len(values))]
+    rows = df.select(*[x.alias(f"x{i}") for i, x in enumerate(values)], as_double(df, label).alias("y"))
     rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        bad = F.col("y").isNull() | ~F.col("y").isin(0.0, 1.0)
-        for x in inputs:
-            bad = bad | x.isNull()
+        bad = F.col("y").isNull() | ~F.col("y").isin(0.0, 1.0) | balanced(Column.__or__, [x.isNull() for x in inputs])
         checked = rows.agg(F.count("*").alias("n"), F.count(F.when(bad, F.lit(1))).alias("bad")).head()
         if not checked["n"] or checked["bad"]:
             raise ValueError(f"{checked['bad']} of {checked['n']} rows have nulls or a label other than 0 and 1")
         side = 2 * F.col("y") - 1
-        weights = [0.0] * len(features)
+        weights = [0.0] * len(inputs)
         for turn in range(1, iterations + 1):
             wrong = side * SgdSvmModel(weights).margin(inputs) < 1
             pulled = rows.select(*inputs, F.when(wrong, -side).otherwise(0.0).alias("pull"))
@@ -239,7 +251,7 @@ def train_gbt(
 ) -> TrainedModel:
     """Gradient-boosted trees for two classes of any type, indexed by frequency."""
     names, target = resolve_all(df, features), resolve(df, label)
-    indexed, classes = _indexed_points(df, names, target)
+    indexed, classes = _indexed_points(df, names, target, 2)
     if len(classes) != 2:
         raise ValueError(f"the label must have two classes, it has {len(classes)}")
     estimator = GBTClassifier(
@@ -253,10 +265,14 @@ def train_gbt(
     return TrainedModel("gbt", estimator.fit(indexed), names, target, classes)
 
 
-def _indexed_points(df: DataFrame, names: list[str], target: str) -> tuple[DataFrame, list[str]]:
-    rows = spread(points(df, names, target, label_text=True))
-    indexer = StringIndexer(inputCol=LABEL, outputCol=INDEXED).fit(rows)
-    return indexer.transform(rows), list(indexer.labels)
+def _indexed_points(df: DataFrame, names: list[str], target: str, limit: int) -> tuple[DataFrame, list[str]]:
+    """The points with the label's index; more classes than the limit are an error before any are gathered."""
+    rows = points(df, names, target, label_text=True)
+    labels = rows.select(LABEL)
+    if labels.distinct().limit(limit + 1).count() > limit:
+        raise ValueError(f"column {target!r} has more than {limit} classes")
+    indexer = StringIndexer(inputCol=LABEL, outputCol=INDEXED).fit(labels)
+    return indexer.transform(spread(rows)), list(indexer.labels)
 
 
 def train_lr(
@@ -359,7 +375,7 @@ def train_forest(
 ) -> TrainedModel:
     """Random forest for two or more classes of any type, indexed by frequency."""
     names, target = resolve_all(df, features), resolve(df, label)
-    indexed, classes = _indexed_points(df, names, target)
+    indexed, classes = _indexed_points(df, names, target, MAX_CLASSES)
     estimator = RandomForestClassifier(
         labelCol=INDEXED,
         numTrees=num_trees,

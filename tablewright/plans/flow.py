@@ -48,7 +48,7 @@ def build(
     for node in order:
         if node not in wanted:
             continue
-        missing = [p for p in parents[node] if p not in outputs]
+        missing = [p for p in _needed(node, spec, parents) if p not in outputs]
         if missing:
             raise ValueError(f"node {node!r} needs the outputs of {missing} in `given`")
         output = _run(node, spec, outputs, sources or {}, models or {})
@@ -69,6 +69,13 @@ def _parents(node: str, config: Mapping) -> list[str]:
     return list(dict.fromkeys([*named, *[p for p in config.get("pre", []) if p]]))
 
 
+def _needed(node: str, spec: Mapping[str, Mapping], parents: Mapping[str, list[str]]) -> list[str]:
+    """The nodes whose outputs a node reads; an evaluation reads what its predict node was given."""
+    if int(spec[node]["name"]) != code.EVALUATE:
+        return parents[node]
+    return [q for p in parents[node] if p in spec for q in (parents[p] if int(spec[p]["name"]) == code.PREDICT else [p])]
+
+
 def _descendants(start: str, order: Sequence[str], parents: Mapping[str, list[str]]) -> set[str]:
     if start not in order:
         raise ValueError(f"the flow has no node {start!r}")
@@ -89,7 +96,7 @@ def _run(
     config = spec[node]
     kind = int(config["name"])
     parameter = dict(config.get("config", {}).get("parameter") or {})
-    inputs = [_port(outputs[parent], port) for parent, port in _edges(config) if parent != node]
+    inputs = [_port(outputs[parent], port) for parent, port in _edges(config) if parent != node and parent in outputs]
     if kind == code.READ:
         return _read(node, config, sources)
     if kind == code.LOAD_MODEL:
@@ -198,7 +205,7 @@ OPERATORS: dict[int, Callable[[DataFrame, Mapping], Output]] = {
     code.STRING_INDEX: lambda df, p: features.string_index(
         df, p["columnName"], p.get("newColumnName")
     ),
-    code.ONE_HOT: lambda df, p: features.one_hot(df, p["columnNames"], p.get("newColumnNames")),
+    code.ONE_HOT: lambda df, p: features.one_hot(df, p["columnNames"], p.get("newColumnNames"), as_array=True),
     code.POLYNOMIAL: lambda df, p: features.polynomial(
         df, p["columnNames"], p.get("newColumnName"), _count(p.get("degree", 2))
     ),

@@ -8,36 +8,19 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-# Tables estimated below this size are dealt out to all cores before repeated passes.
-SPREAD_BYTES = 1 << 30
-# Below this size per task, starting tasks costs more than they save.
-TASK_BYTES = 1 << 19
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of the table, without running a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out to the cores; a large one as it comes.
-
-    A small table often sits in one split. The estimate bounds what the extra shuffle moves; a
-    large table has enough partitions already.
-    """
-    size = estimated_bytes(df)
-    if size > SPREAD_BYTES:
-        return df
+    """The table in no fewer partitions than it has; one with fewer than the session has cores is dealt out to them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(cores, 1 + size // TASK_BYTES))
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
-    """A small table spread and kept in memory for a few passes; a large one is read each time."""
-    if estimated_bytes(df) > SPREAD_BYTES:
-        yield df
-        return
+    """The table spread and kept while several passes go over it, so that all of them see the same rows.
+
+    The copy is as large as the columns chosen, in memory and on the executors' disks.
+    """
     kept = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept

@@ -12,6 +12,7 @@ from tablewright.operators.ranking import with_position
 
 # Below this row number a page is a top-k job; pages beyond it are cut from a ranked table.
 SHALLOW_PAGE_END = 100_000
+FORMATS = ("csv", "parquet", "json", "orc")
 
 
 def read_table(
@@ -27,7 +28,7 @@ def read_table(
 
     Type inference of CSV costs one more pass over the files; give a schema for large ones.
     """
-    kind = format or _format_of(path)
+    kind = format or _format_of(spark, path)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -36,14 +37,27 @@ def read_table(
     return reader.format(kind).load(path)
 
 
-def _format_of(path: str) -> str:
-    ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    return ending if ending in ("csv", "parquet", "json", "orc") else "csv"
+def _ending(path: str) -> str | None:
+    ending = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    return "csv" if ending == "txt" else ending if ending in FORMATS else None
+
+
+def _format_of(spark: SparkSession, path: str) -> str:
+    """By the path's ending, or for a folder by the ending that its files share."""
+    if ending := _ending(path):
+        return ending
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    names = [f.getPath().getName() for f in files]
+    endings = {_ending(name) for name in names if not name.startswith(("_", "."))}
+    if len(endings) != 1 or None in endings:
+        raise ValueError(f"neither {path!r} nor its files name a format; give `format`")
+    return endings.pop()
 
 
 def write_table(df: DataFrame, path: str, *, format: str = "csv", mode: str = "errorifexists") -> str:
     """Write one file per partition (CSV with header); nothing passes through the driver."""
-    if format not in ("csv", "parquet", "json", "orc"):
+    if format not in FORMATS:
         raise ValueError(f"unknown format {format!r}")
     writer = df.write.mode(mode)
     if format == "csv":

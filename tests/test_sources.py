@@ -76,16 +76,30 @@ def test_scratch_follows_the_session(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
-def test_only_small_tables_are_spread(spark, orders, monkeypatch):
-    assert layout.spread(orders).rdd.getNumPartitions() == 1
-    monkeypatch.setattr(layout, "TASK_BYTES", 10)
-    assert layout.spread(orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    with layout.held(orders) as kept:
-        assert kept.is_cached
-    monkeypatch.setattr(layout, "SPREAD_BYTES", 10)
-    assert layout.spread(orders) is orders
-    with layout.held(orders) as kept:
-        assert kept is orders and not kept.is_cached
+def test_spreading_never_lowers_partitions(spark, orders):
+    """No switch by size: few partitions are raised to the cores, many stay as they are."""
+    cores = spark.sparkContext.defaultParallelism
+    assert layout.spread(orders).rdd.getNumPartitions() == cores
+    many = orders.repartition(64)
+    assert layout.spread(many) is many
+    exploded = many.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    with layout.held(exploded) as kept:
+        assert kept.is_cached and kept.rdd.getNumPartitions() == 64
+
+
+def test_held_passes_see_the_same_rows(spark, orders):
+    with layout.held(orders.select(F.rand().alias("x"))) as kept:
+        assert kept.agg(F.sum("x")).first() == kept.agg(F.sum("x")).first()
+
+
+def test_folders_are_read_by_their_files(spark, orders, tmp_path):
+    path = f"{tmp_path}/folder"
+    orders.write.parquet(path)
+    assert tables.read_table(spark, path).columns == orders.columns
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.bin").write_text("1")
+    with pytest.raises(ValueError):
+        tables.read_table(spark, f"{tmp_path}/odd")
 
 
 def test_mining_fixtures(spark):
