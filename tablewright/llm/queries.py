@@ -100,7 +100,7 @@ ORACLE: dict[str, str] = {
     "op9_top_k": """
         WITH pairs AS (
             SELECT q.vec_id AS query_id, d.vec_id AS neighbor_id,
-                   CAST(list_sum(list_transform(range(1, 65), i -> CAST((q.embedding[i] > 0) <> (d.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
+                   CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.embedding[i] > 0) <> (d.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
             FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
