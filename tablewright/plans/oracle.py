@@ -183,12 +183,14 @@ CLASSES = """
 IS_BIG = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END"
 
 ORACLE: dict[str, str] = {
-    "csv_roundtrip": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+    "csv_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "csv_text_roundtrip": """
         SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey,
                CAST(s_acctbal AS VARCHAR) AS s_acctbal FROM supplier""",
-    "csv_headerless": 'SELECT CAST(p_partkey AS VARCHAR) AS "_c0", p_name AS "_c1", p_brand AS "_c2" FROM part',
-    "json_roundtrip": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders",
+    "csv_headerless": """
+        SELECT CAST(p_partkey AS VARCHAR) AS "_c0", p_name AS "_c1", p_brand AS "_c2", p_type AS "_c3",
+               CAST(p_size AS VARCHAR) AS "_c4", CAST(p_retailprice AS VARCHAR) AS "_c5" FROM part""",
+    "json_roundtrip": "SELECT * FROM orders",
     "text_length": "SELECT CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_length FROM documents",
     "preview_slice": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "head_json": """
@@ -196,7 +198,7 @@ ORACLE: dict[str, str] = {
                o_totalprice := o_totalprice, o_orderpriority := o_orderpriority)) AS VARCHAR) AS json
         FROM (SELECT * FROM orders LIMIT 50)""",
     "column_listing": _listing("events", {
-        "event_id": ("bigint", True), "user_id": ("bigint", True), "event_type": ("string", False),
+        "event_id": ("bigint", True), "ts": ("timestamp_ntz", False), "user_id": ("bigint", True), "event_type": ("string", False),
         "value": ("double", True), "props": ("string", False)}),
     "column_listing_numeric": _listing("lineitem", {
         "l_orderkey": ("bigint", True), "l_partkey": ("bigint", True), "l_suppkey": ("bigint", True),

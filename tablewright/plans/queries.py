@@ -47,7 +47,7 @@ def csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "customer")
     tables.write_table(table(spark, sf_dir, "customer"), path, format="csv")
     return tables.read_table(spark, path, format="csv").select(
-        F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal", "c_mktsegment"
+        F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
 
 
@@ -59,13 +59,13 @@ def csv_text_roundtrip(spark, sf_dir):
 
 def csv_headerless(spark, sf_dir):
     path = scratch_path(spark, "part")
-    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").write.csv(path)
+    table(spark, sf_dir, "part").write.csv(path)
     return tables.read_table(spark, path, format="csv", header=False, infer=False)
 
 
 def json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "orders")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders")
     tables.write_table(orders, path, format="json")
     return tables.read_table(spark, path, format="json", schema=orders.schema)
 
@@ -85,8 +85,7 @@ def head_json(spark, sf_dir):
 
 
 def column_listing(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
-    return tables.column_listing(events)
+    return tables.column_listing(table(spark, sf_dir, "events"))
 
 
 def column_listing_numeric(spark, sf_dir):
@@ -469,7 +468,7 @@ def svm_owlqn(spark, sf_dir):
 def gbt_binary(spark, sf_dir):
     items = _big(spark, sf_dir)
     trained = training.train_gbt(items, "half", ["l_linenumber", "l_discount", "l_tax"],
-                                 iterations=3, step=0.1, max_depth=5, min_instances_per_node=1, seed=1)
+                                 iterations=20, step=0.1, max_depth=5, min_instances_per_node=1, seed=1)
     return scoring.predict(_reloaded(spark, trained), items, label="half").select("predicted_label", "label")
 
 
@@ -494,7 +493,7 @@ def mlp_multi(spark, sf_dir):
 
 def rf_multi(spark, sf_dir):
     items = _big(spark, sf_dir)
-    trained = training.train_forest(items, "third", ["l_quantity", "l_discount"], num_trees=10, max_depth=5,
+    trained = training.train_forest(items, "third", ["l_quantity", "l_discount"], num_trees=50, max_depth=5,
                                     max_bins=64, seed=1)
     return scoring.predict(_reloaded(spark, trained), items, label="third").select("predicted_label", "label")
 
@@ -552,7 +551,7 @@ def evaluate_forest(spark, sf_dir):
 
 
 def feature_importance(spark, sf_dir):
-    trained = training.train_gbt(_big(spark, sf_dir), "half", ["l_linenumber", "l_discount"], iterations=1, seed=1)
+    trained = training.train_gbt(_big(spark, sf_dir), "half", ["l_linenumber", "l_discount"], iterations=20, seed=1)
     return training.feature_importances(trained).select("feature", _six("importance", "importance"))
 
 
