@@ -43,8 +43,8 @@ def describe(
     """One typed row of statistics per column; text columns have a count only.
 
     Positions are the 0-based places of the first minimum and maximum in the order of `order_by`,
-    a unique key; without one a Spark table has no row order and they stay null. NaN counts as
-    null. All columns share their passes: one for the moments, one for the mean absolute deviation
+    a unique key; without one a Spark table has no row order and they stay null. They are exact also for
+    whole numbers above 2^53, which min and max show as doubles. NaN counts as null. All columns share their passes: one for the moments, one for the mean absolute deviation
     and the quartiles, one for the positions, and narrowing passes for large columns.
     """
     rows = [
@@ -100,13 +100,16 @@ def _passes(df: DataFrame, names: Sequence[str], keys: Sequence[str]) -> list[di
     filled = [s for s in found if s["type"] == "number" and s["count"]]
 
     further: dict[str, Column] = {}
+    exact = _extremes(df, [s["column"] for s in filled]) if keys else {}
     for i, s in enumerate(filled):
         value = clean_double(df, s["column"])
         further[f"mean_abs_dev{i}"] = F.avg(F.abs(value - F.lit(s["mean"])))
         if keys:
             key = F.struct(*[quoted(resolve(df, ref)) for ref in keys])
             for field in ("min", "max"):
-                further[f"{field}_key{i}"] = F.min(F.when(value == F.lit(s[field]), key))
+                own = quoted(s["column"]) if s["column"] in exact else value
+                bound = exact.get(s["column"], s)[field]
+                further[f"{field}_key{i}"] = F.min(F.when(own == F.lit(bound), key))
     counts = {s["column"]: s["count"] for s in filled}
     quartiles, row = exact_quantiles(
         df, {name: QUARTILES for name in counts}, counts=counts, also=further
@@ -155,6 +158,16 @@ def _moments(df: DataFrame, names: Sequence[str], numbers: Sequence[str]) -> dic
     return {row["column"]: row.asDict() for row in rows}
 
 
+def _extremes(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
+    """Least and greatest value of whole and decimal columns in their own type, which doubles may not hold."""
+    whole = [name for name in dict.fromkeys(names) if isinstance(data_type(df, name), (T.IntegralType, T.DecimalType))]
+    if not whole:
+        return {}
+    sides = [f(quoted(name)).alias(f"{side}{i}") for i, name in enumerate(whole) for side, f in (("min", F.min), ("max", F.max))]
+    row = df.agg(*sides).head()
+    return {name: {"min": row[f"min{i}"], "max": row[f"max{i}"]} for i, name in enumerate(whole)}
+
+
 def _rows_before(df: DataFrame, refs: Sequence[str], key: tuple) -> Column:
     """Count of rows whose key comes before the given one, which is that row's position."""
     before, equal = F.lit(False), F.lit(True)

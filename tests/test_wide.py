@@ -88,3 +88,11 @@ def test_flow_from_an_evaluate_node(spark):
         build(spec, start="judge", given={"apply": rows})
     out = build(spec, start="judge", given={"data": rows, "svm": model})
     assert out["judge"].count() > 0
+
+
+def test_positions_of_large_whole_numbers(spark):
+    from tablewright.operators.explore import describe
+
+    df = spark.createDataFrame([(0, 9007199254740993), (1, 9007199254740992), (2, 9007199254740995), (3, 9007199254740994)], "k long, x long")
+    row = describe(df, ["x"], order_by="k").first()
+    assert (row["min_position"], row["max_position"]) == (1, 2)
