@@ -86,6 +86,18 @@ def test_near_duplicates_edge_cases(spark):
         near_duplicates(frame, percent=50)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs with 6 of 8 shingles in common, exactly 0.75, each the only link of its documents."""
+    rows = []
+    for i in range(5000):
+        words = [f"w{i}x{j}" for j in range(11)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], f"other{i}"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = expected(rows)
+    assert all(top == i // 2 * 2 for i, (_, top, _) in want.items())
+    assert [i for i in want if got[i] != want[i]] == []
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (None, 5), (50, 49)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
