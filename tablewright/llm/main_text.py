@@ -4,8 +4,10 @@ The standard library's streaming parser turns a page into lines, one per block o
 text length and the number of tags met since the line before; lines in boilerplate elements (menus, headers outside
 the article, footers, sidebars, adverts, notices, forms, comments) are left out from the start. The text-to-tag ratios, smoothed with a Gaussian over neighbouring lines, are split by two-means clustering into a
 high and a low group; its border, held below MAX_BORDER, is the threshold. Lines above it vote, by the length of their text, for the
-elements around them; the deepest element with SHARE of the votes is the content region, or the
-article or main element around it. Inside an article or main element all lines are content, short ones as well; in other regions those above the threshold.
+elements around them. An outermost article or main element that lines above the threshold lie in is content, if these
+elements together have SHARE of the votes; all their lines are content, short ones as well. Otherwise the content
+region is the deepest element with NEARLY all votes, so that sections side by side stay together, and the lines above
+the threshold in it are content.
 
 Results by case: a null or empty page has an empty text; broken markup, missing end tags and cut-off
 references are read as browsers do; text of any length is kept whole; other columns are not looked at; repeated rows
@@ -28,6 +30,7 @@ SIGMA = 1.0
 RADIUS = 2
 MAX_BORDER = 20.0
 SHARE = 0.6
+NEARLY = 0.95
 
 # Element names of HTML by their part in a page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "audio", "video"}
@@ -174,26 +177,29 @@ def main_text(html: str) -> str:
         return ""
     ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
     high = (ratio >= border(ratio)).tolist()
-    region = _region(lines, high, parser.regions)
-    whole = region is not None and parser.regions[region] in CONTAINERS
-    return " ".join(text for (text, _, _, around), up in zip(lines, high, strict=True) if (region is None or region in around) and (whole or up))
+    regions, whole = _regions(lines, high, parser.regions)
+    return " ".join(text for (text, _, _, around), up in zip(lines, high, strict=True) if (regions is None or not regions.isdisjoint(around)) and (whole or up))
 
 
-def _region(lines: list[tuple[str, int, bool, list[int]]], high: list[bool], names: list[str]) -> int | None:
-    """The content region's number: the deepest element with SHARE of the votes, or the article or main around it."""
+def _regions(lines: list[tuple[str, int, bool, list[int]]], high: list[bool], names: list[str]) -> tuple[set[int] | None, bool]:
+    """The numbers of the content regions, None for the page, and whether all their lines are content."""
     votes: dict[int, int] = {}
-    total = 0
-    chain: dict[int, list[int]] = {}
+    total = held = 0
+    depth: dict[int, int] = {}
+    outermost = set()
     for text, _, _, around in (x for x, up in zip(lines, high, strict=True) if up):
         total += len(text)
         for i, region in enumerate(around):
             votes[region] = votes.get(region, 0) + len(text)
-            chain[region] = around[: i + 1]
-    ample = [r for r, n in votes.items() if n >= SHARE * total]
-    if not ample:
-        return None
-    best = max(ample, key=lambda r: (len(chain[r]), r))
-    return next((r for r in chain[best] if names[r] in CONTAINERS), best)
+            depth[region] = i
+        container = next((r for r in around if names[r] in CONTAINERS), None)
+        if container is not None:
+            held += len(text)
+            outermost.add(container)
+    if outermost and held >= SHARE * total:
+        return outermost, True
+    ample = [r for r, n in votes.items() if n >= NEARLY * total]
+    return ({max(ample, key=lambda r: (depth[r], r))} if ample else None), False
 
 
 def extract(df: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

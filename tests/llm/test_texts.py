@@ -149,6 +149,18 @@ def test_main_text_edge_cases(spark):
     assert extract(frame.limit(0)).collect() == []
 
 
+def test_main_text_in_sibling_regions():
+    """Text without article or main that lies 65/35 and 50/25/25 side by side, or in several articles."""
+    text = [f"Sentence {i} stands in the text of the page and is long enough to count." for i in range(20)]
+    for outer, inner, shares in (("div id=content", "section", (13, 7)), ("div", "div", (10, 5, 5)), ("tr", "td", (13, 7)), ("div", "article", (13, 7)), ("div", "article", (10, 5, 5))):
+        parts, at = [], 0
+        for n in shares:
+            parts.append(f"<{inner}>" + "".join(f"<p>{x}</p>" for x in text[at : at + n]) + f"</{inner}>")
+            at += n
+        page = f"<body><{outer}>{''.join(parts)}</{outer.split()[0]}><footer>{text[0]}</footer></body>"
+        assert main_text(page) == " ".join(text)
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License.", 1), ("a/b/COPYING.txt", "This work is licensed under the GNU General Public License, version 3.", 1),
