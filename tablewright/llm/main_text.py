@@ -2,7 +2,8 @@
 
 The standard library's streaming parser turns a page into lines, one per block of text. A line has its
 text length and the number of tags met since the line before; lines in boilerplate elements (menus, headers outside
-the article, footers, sidebars, adverts, notices, forms, comments) are left out from the start. The text-to-tag ratios, smoothed with a Gaussian over neighbouring lines, are split by two-means clustering into a
+the article, footers, sidebars, adverts, notices, forms, comments) are left out from the start. Forms and elements
+marked by a class or id are left out by what they turn out to hold, see _void(). The text-to-tag ratios, smoothed with a Gaussian over neighbouring lines, are split by two-means clustering into a
 high and a low group; its border, held below MAX_BORDER, is the threshold. Lines above it vote, by the length of their text, for the
 elements around them. An outermost article or main element that lines above the threshold lie in is content, if these
 elements together have SHARE of the votes; all their lines are content, short ones as well. Otherwise the content
@@ -16,7 +17,6 @@ give repeated results; an empty table an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,7 +34,7 @@ NEARLY = 0.95
 
 # Element names of HTML by their part in a page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "audio", "video"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog"}
+BOILERPLATE = {"nav", "footer", "aside", "menu", "dialog"}
 CONTAINERS = {"article", "main"}
 REGIONS = {"article", "main", "section", "div", "body", "td", "center"}
 BLOCKS = {
@@ -43,30 +43,36 @@ BLOCKS = {
     "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-# Words of class and id attributes that mark boilerplate, and roles that do.
+# Classes and ids, as a whole, that mark boilerplate, and roles that do.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies",
     "consent", "disclaimer", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination",
     "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad-banner", "ad-container", "ad-slot", "ad-wrapper", "comment-list", "comments-area", "cookie-banner", "cookie-bar", "cookie-consent", "cookie-notice",
+    "footer-nav", "main-menu", "main-nav", "main-navigation", "nav-bar", "nav-links", "nav-menu", "newsletter-signup", "page-footer", "post-comments",
+    "related-articles", "related-posts", "share-bar", "share-buttons", "share-links", "side-bar", "side-nav", "site-footer", "site-nav", "site-navigation",
+    "social-links", "social-share", "sub-nav", "top-nav", "widget-area",
 }
+# Elements that no class or id marks.
+NEVER_MARKED = {"html", "body", "main", "article"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 # Elements whose end tag may be left out: a new one of the set ends them.
 CLOSED_BY = {
     "p": BLOCKS - {"br"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
 
-_words = re.compile(r"[a-z]+")
-
 
 class _Lines(HTMLParser):
-    """Collects (text, tags before, boilerplate, regions around it) of each block of text."""
+    """Collects (text, tags before, boilerplate, regions around it, marks around it) of each block of text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, list[int]]] = []
+        self.lines: list[tuple[str, int, bool, list[int], tuple[int, ...]]] = []
         self.regions: list[str] = []  # names of the region elements, by number
         self.inside: list[int] = []  # numbers of the open ones
-        self.open: list[tuple[str, bool, bool, bool]] = []  # name, silent, boilerplate, container: here or above
+        # name; silent, boilerplate, container: here or above; numbers of the marked elements here and above
+        self.open: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
+        self.marked = 0
         self.text: list[str] = []
         self.tags = 0
 
@@ -74,7 +80,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.lines.append((text, self.tags, bool(self.open) and self.open[-1][2], self.inside.copy()))
+            self.lines.append((text, self.tags, bool(self.open) and self.open[-1][2], self.inside.copy(), self.open[-1][4] if self.open else ()))
             self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -85,7 +91,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, silent, plate, container = self.open[-1] if self.open else ("", False, False, False)
+        _, silent, plate, container, marks = self.open[-1] if self.open else ("", False, False, False, ())
+        marked = tag == "form"
         if tag in ("body", "html"):
             silent = False
             if tag == "body":
@@ -97,17 +104,23 @@ class _Lines(HTMLParser):
             plate = True
         elif tag in CONTAINERS:
             container = True
-        if not plate:
-            for name, value in attrs:
-                if value and (
-                    (name in ("class", "id") and not MARKS.isdisjoint(_words.findall(value.lower())))
-                    or (name == "role" and value.lower() in ROLES)
-                    or name == "hidden"
-                    or (name == "aria-hidden" and value.lower() == "true")
-                ):
-                    self._leave()
-                    plate = True
-        self.open.append((tag, silent, plate, container))
+        for name, value in attrs:
+            if not value:
+                continue
+            if name in ("class", "id"):
+                marked = marked or (tag not in NEVER_MARKED and not MARKS.isdisjoint(value.lower().replace("_", "-").split()))
+            elif not plate and (
+                (name == "role" and value.lower() in ROLES and not (tag == "form" and value.lower() == "form"))
+                or name == "hidden"
+                or (name == "aria-hidden" and value.lower() == "true")
+            ):
+                self._leave()
+                plate = True
+        if marked and not plate:
+            self._leave()
+            marks = (*marks, self.marked)
+            self.marked += 1
+        self.open.append((tag, silent, plate, container, marks))
         if tag in REGIONS:
             self.inside.append(len(self.regions))
             self.regions.append(tag)
@@ -129,7 +142,7 @@ class _Lines(HTMLParser):
             self._break()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if self.open[i][2] and not (i and self.open[i - 1][2]):
+                if self.open[i][2:5:2] != (self.open[i - 1][2:5:2] if i else (False, ())):
                     self._break()
                 self._drop(i)
                 return
@@ -141,9 +154,42 @@ class _Lines(HTMLParser):
             self.text.append(data)
 
     def finish(self) -> list[tuple[str, int, bool, list[int]]]:
+        """The lines; boilerplate are also those below a form or mark that is not void."""
         self.close()
         self._break()
-        return self.lines
+        void = _void(self.lines, self.regions)
+        return [(text, tags, plate or not void.issuperset(marks), around) for text, tags, plate, around, marks in self.lines]
+
+
+def _void(lines: list[tuple[str, int, bool, list[int], tuple[int, ...]]], names: list[str]) -> set[int]:
+    """The forms and marked elements that are no boilerplate, as they hold what the page is about.
+
+    These are elements around a main or an article, as long as no other text of a main or of an article is free of
+    them (comments below an article can be articles too); on a page with neither, elements around NEARLY all text. The outer ones are released first.
+    """
+    soft = [(len(text), around, marks) for text, _, plate, around, marks in lines if not plate]
+    void: set[int] = set()
+    if not any(marks for _, _, marks in soft):
+        return void
+    found = False
+    for kind in ("main", "article"):
+        held = [(n, marks) for n, around, marks in soft if any(names[r] == kind for r in around)]
+        while held and not any(void.issuperset(marks) for _, marks in held):
+            void |= {next(m for m in marks if m not in void) for _, marks in held}
+        found = found or bool(held)
+    if found:
+        return void
+    total = sum(n for n, _, _ in soft)
+    while True:
+        votes: dict[int, int] = {}
+        for n, _, marks in soft:
+            first = next((m for m in marks if m not in void), None)
+            if first is not None:
+                votes[first] = votes.get(first, 0) + n
+        wide = {m for m, n in votes.items() if n >= NEARLY * total}
+        if not wide:
+            return void
+        void |= wide
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:

@@ -161,6 +161,28 @@ def test_main_text_in_sibling_regions():
         assert main_text(page) == " ".join(text)
 
 
+def test_main_text_under_marks():
+    """Classes, ids and forms around the whole page or article leave its text in; boilerplate inside stays out."""
+    long = "This sentence stands in the text of the page and is long enough to count."
+    text, menu = f"<p>{long}</p>" * 3, "<ul class='menu'><li><a>go</a></ul>"
+    for page in (
+        f"<html class='menu'><body class='has-sidebar sidebar'>{menu}<article>{text}</article></body></html>",
+        f"<body class='menu-open'>{menu}<div>{text}</div></body>",
+        f"<body>{menu}<article class='post share-enabled'>{text}</article></body>",
+        f"<body>{menu}<article class='post share'>{text}</article></body>",
+        f"<body>{menu}<div id='content' class='with-sidebar'>{text}</div></body>",
+        f"<body><div class='widget'>{menu}<main class='social'>{text}</main></div></body>",
+        f"<body><div class='widget sidebar'>{menu}<article>{text}</article></div></body>",
+        f"<body><main>{menu}<article class='share'>{text}</article></main></body>",
+        f"<body><main><div class='widget'>{menu}<article>{text}</article></div></main></body>",
+        f"<body><form id='aspnetForm'>{menu}<article>{text}</article><p>end</p></form></body>",
+        f"<body><form role='form'>{menu}<div>{text}</div></form></body>",
+        f"<body><form><article>{text}</article><div id='comments'><article class='comment'>{text}</article></div></form></body>",
+        f"<body><article>{text}<form>{long}</form></article><div class='site-footer'>{text}</div></body>",
+    ):
+        assert main_text(page) == " ".join([long] * 3), page
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License.", 1), ("a/b/COPYING.txt", "This work is licensed under the GNU General Public License, version 3.", 1),
