@@ -10,6 +10,8 @@ need no padding.
 Ranks are distributed: pieces are spread over salted groups of a length, counted, and the counts are summed
 up to first ranks, so that a length that fills the table is never in one task.
 
+Ids are those of the tokenizer as loaded: the literal of an added token in a text is that token's id.
+
 Results by case: a null or empty text has the closing id alone and is one piece of one token; a null id is kept
 like any other; repeated rows are packed each on their own; an empty table gives no pieces.
 """
@@ -40,23 +42,25 @@ CACHE_SLICES = 1 << 20
 def tokenizer_of(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Every batch in slices, with the id bytes of each text, the closing id included.
 
-    Ids are little-endian unsigned 32-bit integers. The tokenizer sees each distinct pre-token once.
+    Ids are little-endian unsigned 32-bit integers. The tokenizer sees each distinct pre-token once, and
+    as a whole each text that holds one of its added tokens.
     """
     tokenizer = tokenizer_of(path)
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    sought = [x.encode("utf-8") for x in added]
     known: dict[str, bytes] = {}
     last = np.array([END_ID], dtype="<u4").tobytes()
     for batch in batches:
         for part in slices(batch, "text"):
             raw, offsets = utf8(named(part, "text"))
-            words, first = split(raw.tobytes(), offsets)
+            data = raw.tobytes()
+            words, first = split(data, offsets)
             new = [w for w in set(words) if w not in known]
             if len(known) + len(new) > CACHE_SLICES:
                 known.clear()
@@ -69,7 +73,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.
                 known.update(zip(new, [flat[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
             got = [known[w] for w in words]
             at = first.tolist()
-            yield part, [b"".join(got[a:b]) + last for a, b in zip(at, at[1:], strict=False)]
+            out = [b"".join(got[a:b]) + last for a, b in zip(at, at[1:], strict=False)]
+            if any(x in data for x in sought):
+                for i, text in enumerate(named(part, "text").to_pylist()):
+                    if text and any(x in text for x in added):
+                        out[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + last
+            yield part, out
 
 
 def _pieces(path: str, length: int):

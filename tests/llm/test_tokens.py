@@ -105,6 +105,18 @@ def check_pieces(rows, texts):
     return padding / (total + padding)
 
 
+def test_packing_added_tokens(spark):
+    """Literals of the vocabulary's added tokens have the ids that the tokenizer as loaded gives them."""
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "é<|endoftext|><|endoftext|>\n x", 4: "no <|endoftext| here", 5: "word " * 3000 + "<|endoftext|> end"}
+    assert 50256 in tokenizer.encode(texts[1], add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), JSON).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
+        assert r.doc_tokens == len(ids) // 4 and r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
+
+
 def test_packing(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = packing.pack(docs, JSON).collect()
