@@ -1,8 +1,10 @@
 """License scan: sparse TF-IDF cosine of headers to templates, inheritance from the nearest directory above.
 
-A file's own license is the template nearest to one of its header lines, by the cosine of TF-IDF vectors over words
-(A-Z lowered) and pairs of neighbouring words; document frequencies are counted over all distinct header lines and the
-templates. Header lines are lines with a word that only license texts use (HEADER_WORDS). Licence files are
+A file's own license is the template nearest to one of its header lines or blocks, by the cosine of TF-IDF vectors over
+words (A-Z lowered) and pairs of neighbouring words; document frequencies are counted over all distinct header lines and
+blocks and the templates. Header lines are lines with a word that only license texts use (HEADER_WORDS); a block is a run of
+them with the line above and the line below, ended by a line without letters or digits. Templates are short notices,
+standard file headers, SPDX lines and whole licence texts (license_texts/). Licence files are
 files whose name says so (LICENSE, LICENCE, COPYING, NOTICE); their whole text is compared as well. A file without a
 license of its own takes the one of the nearest directory above it that has a licence file; a directory with several
 takes the best match, then the smallest path.
@@ -16,6 +18,8 @@ give repeated results; an empty table gives an empty result; other columns are n
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.llm.store import Stored
@@ -36,17 +40,81 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain under the Unlicense.",
 }
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_ONLY = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0} version {1} as published by the Free Software Foundation."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+)
+_MIT_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_END = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_GENERAL, _LESSER, _AFFERO = "General Public License", "Lesser General Public License", "Affero General Public License"
+# Standard file headers and short licences.
+HEADERS = [
+    *[(n, _GNU.format(k, v)) for n, k, v in (("GPL-2.0", _GENERAL, "2"), ("GPL-3.0", _GENERAL, "3"), ("LGPL-2.1", _LESSER, "2.1"), ("LGPL-3.0", _LESSER, "3"), ("AGPL-3.0", _AFFERO, "3"))],
+    *[(n, _GNU_ONLY.format(k, v)) for n, k, v in (("GPL-2.0", _GENERAL, "2"), ("GPL-3.0", _GENERAL, "3"), ("LGPL-2.1", _LESSER, "2.1"), ("LGPL-3.0", _LESSER, "3"), ("AGPL-3.0", _AFFERO, "3"))],
+    ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_APACHE_END}"), ("Apache-2.0", "Apache License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", _MIT), ("MIT", f"MIT License {_MIT}{_MIT_END}"), ("MIT", "Licensed under the MIT License."), ("MIT", "The MIT License (MIT)"),
+    ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("BSD-2-Clause", _BSD), ("BSD-3-Clause", _BSD + _BSD_3),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+]
+# SPDX identifiers that differ from the license's name.
+SPDX = [(n, f"{n}-{x}") for n in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for x in ("only", "or-later")]
+
+
+def templates() -> list[tuple[str, str]]:
+    """(name, text) of every template."""
+    whole = [(x.stem, x.read_text(encoding="utf-8")) for x in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    names = sorted({*TEMPLATES, *(n for n, _ in HEADERS)})
+    spdx = [(n, f"SPDX-License-Identifier: {x}") for n, x in [*((n, n) for n in names), *SPDX]]
+    return [*TEMPLATES.items(), *HEADERS, *spdx, *whole]
+
+
 HEADER_WORDS = r"(?i)licen[sc]e|copyright|public\x20domain|spdx|redistribution"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)(?:[.-][^/]*)?$"
 
 
 def _terms(text: Column) -> Column:
     """Words and pairs of neighbouring words."""
-    words = F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9.+-]+|[.](?=\\W|$)"), lambda w: w != "")
+    words = F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9.+-]+|[.](?=\\W|$)"), lambda w: w.rlike("[a-z0-9]"))
     bound = F.transform(F.array(words), lambda w: F.concat(w, F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))))
     return F.get(bound, F.lit(0))
 
 
+def _blocks(lines: Column) -> Column:
+    """Runs of header lines, each with the line above and the line below."""
+
+    def header(x: Column) -> Column:
+        return F.coalesce(x.rlike(HEADER_WORDS), F.lit(False))
+
+    def near(w: Column) -> Column:
+        around = lambda x, i: x.rlike("[A-Za-z0-9]") & (header(x) | header(F.get(w, i - 1)) | header(F.get(w, i + 1)))
+        return F.split(F.array_join(F.transform(w, lambda x, i: F.when(around(x, i), F.translate(x, "\0", " ")).otherwise(F.lit("\0"))), "\n"), "\0")
+
+    runs = F.get(F.transform(F.array(lines), near), F.lit(0))
+    return F.filter(runs, lambda x: x.rlike(HEADER_WORDS))
+
+
 def _vectors(counted: DataFrame, frequency: DataFrame, total: Column) -> DataFrame:
     """Unit TF-IDF rows (line, term, weight)."""
     weight = F.col("tf") * (F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1)
@@ -56,7 +124,8 @@ def _vectors(counted: DataFrame, frequency: DataFrame, total: Column) -> DataFra
 
 
 def _counted(lines: DataFrame) -> DataFrame:
-    return lines.select("line", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
+    """(line, term, tf); a line is named by its 128-bit hash, as it can be a whole text."""
+    return lines.select(F.md5("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
 
 
 def scan(df: DataFrame, path: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -72,24 +141,26 @@ def scan(df: DataFrame, path: str, text: str, threshold: float = THRESHOLD) -> D
     place = F.col(path).cast("string")
     is_file = F.coalesce(place.rlike(LICENCE_FILE), F.lit(False))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(HEADER_WORDS))
+    every = F.split(whole, "\n")
+    lines = F.concat(F.filter(every, lambda x: x.rlike(HEADER_WORDS)), _blocks(every))
     heads = F.array_distinct(F.transform(F.when(is_file, F.concat(lines, F.array(whole))).otherwise(lines), lambda x: F.trim(x)))
     rows = df.withColumn("__path", place).withColumn("__heads", F.filter(heads, lambda x: x != "")).withColumn("__file", is_file).drop(text)
     rows = stored.keep(rows.withColumn("__row", F.xxhash64("__path", "__heads")), "heads")
 
     distinct = stored.keep(rows.select(F.explode("__heads").alias("line")).distinct(), "head-lines")
-    templates = spark.createDataFrame([(n, t) for n, t in TEMPLATES.items()], "name string, line string")
+    texts = templates()
+    known_texts = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(texts)], "template int, name string, line string")
     counted = stored.keep(_counted(distinct), "head-terms")
-    template_terms = _counted(templates.select("line"))
+    template_terms = _counted(known_texts.select("line"))
     frequency = counted.unionByName(template_terms).groupBy("term").agg(F.count("*").alias("df"))
-    total = F.lit(distinct.count() + len(TEMPLATES))
+    total = F.lit(distinct.count() + len(texts))
     own = _vectors(counted, frequency, total)
-    known = _vectors(template_terms, frequency, total).join(templates, "line").select("name", "term", F.col("weight").alias("known"))
+    known = _vectors(template_terms, frequency, total).join(known_texts.select("template", "name", F.md5("line").alias("line")), "line").select("template", "name", "term", F.col("weight").alias("known"))
     # at most as many rows as the templates have terms
-    cosines = own.join(F.broadcast(known), "term").groupBy("line", "name").agg(F.sum(F.col("weight") * F.col("known")).alias("cosine"))
+    cosines = own.join(F.broadcast(known), "term").groupBy("line", "template", "name").agg(F.sum(F.col("weight") * F.col("known")).alias("cosine"))
     best = F.min(F.struct((-F.round("cosine", 9)).alias("c"), "name"))
     first = cosines.where(F.col("cosine") >= threshold).groupBy("line").agg(best.alias("m")).select("line", "m.name", (-F.col("m.c")).alias("cosine"))
-    matched = rows.select("__row", F.explode("__heads").alias("line")).distinct().join(first, "line")
+    matched = rows.select("__row", F.explode(F.transform("__heads", lambda x: F.md5(x))).alias("line")).distinct().join(first, "line")
     matched = stored.keep(matched.groupBy("__row").agg(best.alias("m")).select("__row", F.col("m.name").alias("own"), (-F.col("m.c")).alias("own_cosine")), "own")
     rows = stored.keep(rows.drop("__heads").join(matched, "__row", "left"), "with-own")
 

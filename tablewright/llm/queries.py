@@ -14,9 +14,6 @@ from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack
 from tablewright.llm.vectors import near_equal
 
-# Characters up to which a text with a license line counts as a licence file.
-SHORT_NOTICE = 500
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,9 +51,9 @@ def op5_main_text(spark, sf_dir):
 
 
 def op6_licenses(spark, sf_dir):
-    """Documents as files of a tree source/lang; a short text with a license line is the licence file of its folder."""
+    """Documents as files of a tree source/lang; a text with a license line is the licence file of its folder."""
     docs = _table(spark, sf_dir, "documents")
-    named = (F.length("text") <= SHORT_NOTICE) & F.col("text").rlike(licenses.HEADER_WORDS)
+    named = F.col("text").rlike(licenses.HEADER_WORDS)
     file = F.concat(F.when(named, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
     tree = docs.select("doc_id", F.concat_ws("/", "source", "lang", file).alias("path"), "text")
     return licenses.scan(tree, "path", "text")

@@ -198,3 +198,18 @@ def test_licenses(spark):
     assert licenses.scan(frame.limit(0), "path", "text").collect() == []
     with pytest.raises(ValueError):
         licenses.scan(frame.withColumnRenamed("term", "origin"), "path", "text")
+
+
+def test_licenses_of_real_headers(spark):
+    """SPDX lines, wrapped headers and licence texts, worded otherwise than the notices."""
+    gnu = "# {0} is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {1}General Public License as published by\n# the Free Software Foundation, either version {2} of the License, or\n# (at your option) any later version.\n#\n# code"
+    whole = dict(licenses.templates()[-7:])
+    cases = [
+        ("a.py", "# SPDX-License-Identifier: MIT\ncode", "MIT"), ("b.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("c.lua", "-- SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("d.py", gnu.format("Frob", "", 2), "GPL-2.0"), ("e.py", gnu.format("Frob", "", 3), "GPL-3.0"), ("f.py", gnu.format("Frob", "Lesser ", 3), "LGPL-3.0"), ("g.py", gnu.format("Frob", "Affero ", 3), "AGPL-3.0"),
+        *[(f"{n}/LICENSE", "Copyright 2020 Someone\n\n" + t, n) for n, t in whole.items()],
+        ("h.py", "# SPDX-License-Identifier: Own-Terms", None), ("i.py", "prose about a license fee\nin the city", None),
+    ]
+    frame = spark.createDataFrame([(p, t) for p, t, _ in cases], "path string, text string")
+    got = {r.path: r.license for r in licenses.scan(frame, "path", "text").collect()}
+    assert got == {p: n for p, _, n in cases}
