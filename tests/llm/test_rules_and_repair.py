@@ -199,7 +199,7 @@ def cheapest(rows, prune):
             heapq.heappush(heap, (cost + 3, audit + "D", i + 1, roles, said))
             if faults[i] not in ("blank", "duplicate"):
                 more = faults[i] == "truncated"
-                if own[:1] in "sua":
+                if own and own[0] in "sua":
                     heapq.heappush(heap, (cost + more, audit + "K", i + 1, roles + own[0], (*said, f"{own}:{text}")))
                 for role in ("user", "assistant"):
                     heapq.heappush(heap, (cost + 2 + more, audit + "R", i + 1, roles + role[0], (*said, f"{role}:{text}")))
