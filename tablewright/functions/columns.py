@@ -66,16 +66,26 @@ def is_vector(df: DataFrame, name: str) -> bool:
     return isinstance(kind, VectorUDT) or (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType))
 
 
-def elements(df: DataFrame, name: str) -> list[Column]:
-    """The elements of a feature column as doubles; its width is that of the first row that has it.
+def _array(df: DataFrame, name: str) -> Column:
+    return vector_to_array(quoted(name)) if isinstance(data_type(df, name), VectorUDT) else quoted(name).cast("array<double>")
+
+
+def width(df: DataFrame, name: str) -> int:
+    """The width of a feature column: that of the first row that has it."""
+    array = _array(df, name)
+    first = df.select(F.size(array).alias("width")).where(array.isNotNull()).head()
+    return 0 if first is None else first["width"]
+
+
+def elements(df: DataFrame, name: str, size: int | None = None) -> list[Column]:
+    """The elements of a feature column as doubles; its width is looked up unless given.
 
     In rows of another width all elements are null.
     """
-    array = vector_to_array(quoted(name)) if isinstance(data_type(df, name), VectorUDT) else quoted(name).cast("array<double>")
-    first = df.select(F.size(array).alias("width")).where(array.isNotNull()).head()
-    width = 0 if first is None else first["width"]
-    same = F.when(F.size(array) == width, array)
-    return [F.get(same, F.lit(i)) for i in range(width)]
+    size = width(df, name) if size is None else size
+    array = _array(df, name)
+    same = F.when(F.size(array) == size, array)
+    return [F.get(same, F.lit(i)) for i in range(size)]
 
 
 def balanced(join: Callable[[Column, Column], Column], parts: Sequence[Column]) -> Column:

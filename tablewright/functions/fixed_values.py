@@ -35,6 +35,12 @@ METRIC_ROC = "Area under ROC"
 QUANTILE_SUFFIX = "(分位数离散化)"
 ROW_SPLIT_SUFFIX = "拆分"
 PCA_NAME = "降维结果"
+CHI_SQUARE_NAME = "卡方选择(与 [{}] 相关的前 {} 个特征列)"
+VECTOR_INDEX_SUFFIX = "_vectorIndexer"
+SCALE_SUFFIX = "_standardScaler"
+STRING_INDEX_SUFFIX = "_string_indexer"
+ONE_HOT_SUFFIX = "_oneHot"
+POLYNOMIAL_SUFFIX = "_PolynomialExpansion"
 
 # Operator codes of declared flows.
 FILTER, SORT, SPLIT_COLUMN, SPLIT_ROWS = 1001, 1002, 1003, 1004

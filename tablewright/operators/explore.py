@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions.columns import (
@@ -17,11 +20,7 @@ from tablewright.functions.columns import (
     resolve_all,
 )
 from tablewright.functions.fixed_values import FREQUENCY_LABEL, STATISTIC_LABELS
-from tablewright.functions.moments import (
-    pairwise_correlation,
-    sample_kurtosis,
-    sample_skewness,
-)
+from tablewright.functions.moments import sample_kurtosis, sample_skewness
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.sources.layout import held
 
@@ -130,32 +129,41 @@ def _passes(df: DataFrame, names: Sequence[str], keys: Sequence[str]) -> list[di
     return found
 
 
+# Columns whose moments are taken in one aggregate.
+BATCH = 24
+
+
 def _moments(df: DataFrame, names: Sequence[str], numbers: Sequence[str]) -> dict[str, dict]:
     """Counts, extremes and moments by column.
 
-    One row per cell, grouped by column, keeps the aggregate equally small for any number of
-    columns; each task sends one row per column on.
+    Columns are taken in batches, each one aggregate over those columns alone: rows stay as they are, the state
+    of a task is one row, and a batch's code doesn't grow with the table's width.
     """
-    cells = [
-        F.struct(
-            F.lit(name).alias("column"),
-            (clean_double(df, name) if name in numbers else F.lit(None).cast("double")).alias("value"),
-            (clean_double(df, name) if name in numbers else quoted(name)).isNotNull().alias("present"),
-        )
-        for name in dict.fromkeys(names)
-    ]
-    value = F.col("value")
-    grouped = df.select(F.inline(F.array(*cells))).groupBy("column").agg(
-        F.count_if("present").alias("count"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.avg(value).alias("mean"),
-        F.var_samp(value).alias("variance"),
-        sample_skewness(value).alias("skewness"),
-        sample_kurtosis(value).alias("kurtosis"),
-    )
-    rows = grouped.withColumn("std", F.sqrt("variance")).collect()  # one row per column
-    return {row["column"]: row.asDict() for row in rows}
+    own = list(dict.fromkeys(names))
+    found = {}
+    for start in range(0, len(own), BATCH):
+        batch = own[start : start + BATCH]
+        aggregates = []
+        for i, name in enumerate(batch):
+            if name not in numbers:
+                aggregates.append(F.count(quoted(name)).alias(f"count{i}"))
+                continue
+            value = F.col(f"v{i}")
+            aggregates += [
+                column.alias(f"{field}{i}")
+                for field, column in (
+                    ("count", F.count(value)), ("min", F.min(value)), ("max", F.max(value)), ("mean", F.avg(value)),
+                    ("variance", F.var_samp(value)), ("skewness", sample_skewness(value)), ("kurtosis", sample_kurtosis(value)),
+                )
+            ]
+        shown = [clean_double(df, name).alias(f"v{i}") if name in numbers else quoted(name) for i, name in enumerate(batch)]
+        row = df.select(*shown).agg(*aggregates).head().asDict()
+        for i, name in enumerate(batch):
+            fields = ("min", "max", "mean", "variance", "skewness", "kurtosis") if name in numbers else ()
+            found[name] = {"count": row[f"count{i}"], **{field: row[f"{field}{i}"] for field in fields}}
+            if fields:
+                found[name]["std"] = None if found[name]["variance"] is None else math.sqrt(found[name]["variance"])
+    return found
 
 
 def _extremes(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
@@ -227,25 +235,53 @@ def _cell(i: int, j: int) -> str:
     return f"{min(i, j)},{max(i, j)}"
 
 
+# Products of pairs that one vector of sums holds; a column looks at so many rows for its shift.
+SUMS, SHIFT_ROWS = 1_200, 1_000
+# A side whose variance is below this share of its mean square about the shift counts as constant.
+CONSTANT = 1e-13
+
+
 def _correlations(df: DataFrame, columns: Sequence[str | int]) -> tuple[list[str], DataFrame]:
     """One row with a map from each unordered pair of columns to its correlation.
 
-    Grouping by pair keeps the aggregate small for any number of columns; each task sends on one
-    row per pair, and only the pairs' results meet in the map.
+    Every row gives the products of its pairs as vectors, 0 where a side is missing, which are summed place by
+    place. Rows are neither multiplied nor shuffled, and a task sends on one row. The columns are
+    shifted by a median of some first rows, which changes no correlation but keeps the sums from cancelling.
     """
     names = resolve_all(df, columns)
     require_numeric(df, names)
-    pairs = [
-        F.struct(
-            F.lit(_cell(i, j)).alias("cell"),
-            clean_double(df, names[i]).alias("left"),
-            clean_double(df, names[j]).alias("right"),
-        )
-        for i, j in combinations_with_replacement(range(len(names)), 2)
-    ]
-    value = pairwise_correlation(F.col("left"), F.col("right"))
-    each = df.select(F.inline(F.array(*pairs))).groupBy("cell").agg(value.alias("value"))
-    itself = F.col("cell").isin([_cell(i, i) for i in range(len(names))])
-    each = each.withColumn("value", F.when(itself, F.signum("value")).otherwise(F.col("value")))
-    entries = F.collect_list(F.struct("cell", "value"))
-    return names, each.agg(F.map_from_entries(entries).alias("cells"))
+    own = list(dict.fromkeys(names))
+    values = [clean_double(df, name) for name in own]
+    first = df.select(*[value.alias(f"x{i}") for i, value in enumerate(values)]).limit(SHIFT_ROWS)
+    row = first.agg(F.count("*").alias("n"), *[F.percentile(f"x{i}", 0.5).alias(f"x{i}") for i in range(len(own))]).head()
+    places = {name: i for i, name in enumerate(own)}
+    keys = [_cell(i, j) for i, j in combinations_with_replacement(range(len(names)), 2)]
+    if not row["n"]:
+        none = F.map_from_arrays(F.lit(keys), F.array_repeat(F.lit(None).cast("double"), len(keys)))
+        return names, df.sparkSession.range(1).select(none.alias("cells"))
+    shifts = [row[f"x{i}"] or 0.0 for i in range(len(own))]
+    present = [F.when(value.isNotNull(), 1.0).otherwise(0.0) for value in values]
+    shifted = [F.coalesce(value - F.lit(float(shift)), F.lit(0.0)) for value, shift in zip(values, shifts)]
+    parts = df.select(*[c.alias(f"m{i}") for i, c in enumerate(present)], *[c.alias(f"x{i}") for i, c in enumerate(shifted)])
+    products: list[Column] = []
+    for i, j in combinations_with_replacement(range(len(names)), 2):
+        m, x = F.col(f"m{places[names[i]]}"), F.col(f"x{places[names[i]]}")
+        o, y = F.col(f"m{places[names[j]]}"), F.col(f"x{places[names[j]]}")
+        products += [m * o, x * o, m * y, x * x * o, m * y * y, x * y]
+    blocks = [products[at : at + SUMS] for at in range(0, len(products), SUMS)]
+    vectors = parts.select(*[array_to_vector(F.array(*block)).alias(f"v{b}") for b, block in enumerate(blocks)])
+    sums = vectors.agg(*[Summarizer.sum(F.col(f"v{b}")).alias(f"s{b}") for b in range(len(blocks))])
+    sums = sums.select(F.concat(*[vector_to_array(F.col(f"s{b}")) for b in range(len(blocks))]).alias("sums"))
+    found = F.transform(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda pair: _pearson([F.get("sums", pair * 6 + i) for i in range(6)]))
+    itself = F.lit([_cell(i, i) for i in range(len(names))])
+    cells = sums.select(F.map_from_arrays(F.lit(keys), found).alias("cells"))
+    exact = F.transform_values("cells", lambda key, value: F.when(F.array_contains(itself, key), F.signum(value)).otherwise(value))
+    return names, cells.select(exact.alias("cells"))
+
+
+def _pearson(sums: Sequence[Column]) -> Column:
+    """The correlation from counts, sums, squares and products over the rows where both sides are present."""
+    n, x, y, xx, yy, xy = sums
+    vx, vy, c = (a - F.try_divide(b * d, n) for a, b, d in ((xx, x, x), (yy, y, y), (xy, x, y)))
+    varies = (vx > CONSTANT * xx) & (vy > CONSTANT * yy)
+    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c / F.sqrt(F.when(varies, vx * vy).otherwise(F.lit(1.0))))))

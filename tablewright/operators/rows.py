@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -130,13 +131,22 @@ def hash_split(
 
 
 def scatter_sample(
-    df: DataFrame, columns: Sequence[str | int], n: int = 50, seed: int | None = None
+    df: DataFrame, columns: Sequence[str | int], n: int = 50, seed: int | None = None, *, key: str | int | Sequence[str] | None = None
 ) -> DataFrame:
-    """Up to n random points of two numeric columns, drawn without replacement as a top-k."""
+    """Up to n random points of two numeric columns, drawn without replacement.
+
+    The points are those whose keys have the smallest hashes, so that a seed draws the same points on any layout and in
+    any rerun, and samples of parts of a table merge into that of the whole. `key` names columns that tell rows
+    apart; without it all columns do, and rows that are equal in all of them are drawn together.
+    """
     if len(columns) != 2:
         raise ValueError("a scatter sample needs exactly two columns")
     names = resolve_all(df, columns)
     require_numeric(df, names)
-    draw = free_name(df, "draw")
-    points = df.select(*[quoted(name) for name in names], F.rand(seed).alias(draw))
-    return points.orderBy(draw).limit(n).drop(draw)
+    refs = df.columns if key is None else key if isinstance(key, (list, tuple)) else [key]
+    parts = [F.coalesce(quoted(name).cast("string"), F.lit("")) for name in resolve_all(df, refs)]
+    salt = random.randrange(1 << 32) if seed is None else seed
+    draw = F.md5(F.concat_ws("\u0001", F.lit(str(salt)), *parts))
+    hashed = free_name(df, "draw")
+    points = df.select(*[quoted(name) for name in names], draw.alias(hashed))
+    return points.orderBy(hashed).limit(n).drop(hashed)

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewright.functions.columns import as_double, quoted, resolve, resolve_all
 from tablewright.functions.fixed_values import (
@@ -18,7 +16,8 @@ from tablewright.functions.fixed_values import (
     METRIC_ROC,
     VALUE_LABEL,
 )
-from tablewright.operators.training import FEATURES, LABEL, SgdSvmModel, TrainedModel, input_columns, points
+from tablewright.operators.training import FEATURES, LABEL, SgdSvmModel, TrainedModel, input_columns, model_settings, points
+from tablewright.sources.layout import held
 
 
 def predict(
@@ -106,6 +105,24 @@ def evaluate(
     return binary_metrics(scored, LABEL, "prediction", "margin" if score == "raw" else None)
 
 
+def model_report(
+    trained: TrainedModel, df: DataFrame, label: str | int, *, features: Sequence[str | int] | None = None, score: str | None = None
+) -> DataFrame:
+    """A model's settings together with its metrics on a table, which need not be the one it was trained on.
+
+    Support vector machines and logistic regressions get the four binary metrics, other models accuracy and
+    weighted precision.
+    """
+    if trained.kind in ("svm", "lr"):
+        metrics = evaluate(trained, df, label, features=features, score=score)
+    else:
+        scored = predict(trained, df, features=features, label=label)
+        guess = "prediction" if trained.classes is None else "predicted_label"
+        metrics = multiclass_metrics(scored.withColumn(LABEL, F.col(LABEL).cast(scored.schema[guess].dataType)), LABEL, guess)
+    shown = metrics.select(F.lit("metric").alias("section"), quoted(METRIC_LABEL).alias("term"), quoted(VALUE_LABEL).cast("string").alias("value"))
+    return model_settings(trained).unionByName(shown)
+
+
 def binary_metrics(
     df: DataFrame,
     label: str | int,
@@ -121,20 +138,67 @@ def binary_metrics(
     predicted = as_double(df, resolve(df, prediction))
     if score is None:
         return _hard_metrics(df.select(actual.alias("y"), predicted.alias("p")))
-    rows = df.select(
-        actual.alias("y"), predicted.alias("p"), as_double(df, resolve(df, score)).alias("s")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counted = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("y") == F.col("p"), 1)).alias("c")).head()
-        curve = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0)
-        areas = [curve.setMetricName(name).evaluate(rows) for name in ("areaUnderPR", "areaUnderROC")]
-    finally:
-        rows.unpersist()
-    accuracy = counted["c"] / counted["n"] if counted["n"] else None
-    report = zip(
-        (METRIC_CORRECT, METRIC_ACCURACY, METRIC_PR, METRIC_ROC), (float(counted["c"]), accuracy, *areas)
+    rows = df.select(actual.alias("y"), predicted.alias("p"), as_double(df, resolve(df, score)).alias("s"))
+    return _curve_metrics(rows)
+
+
+# Ranges that the distinct scores are cut into; each is sorted by a task of its own.
+RANGES = 256
+
+
+def _curve_metrics(rows: DataFrame) -> DataFrame:
+    """All four metrics through every distinct score, from one scan of the rows and one sort of their distinct scores.
+
+    Counts before a score are prefix sums on two levels: over RANGES ranges of scores, which are few rows, and within
+    each range. Both curves are summed up in the same pass. Rows without a label or a score are left out.
+    """
+    up, good = F.col("y") > 0.5, F.col("y") == F.col("p")
+    known = rows.where(F.col("y").isNotNull() & F.col("s").isNotNull())
+    points = known.groupBy("s").agg(
+        F.count_if(up).cast("double").alias("up"), F.count_if(~up).cast("double").alias("down"), F.count_if(good).cast("double").alias("good")
     )
-    return df.sparkSession.createDataFrame(list(report), f"`{METRIC_LABEL}` string, `{VALUE_LABEL}` double")
+    with held(points) as scores:
+        cuts = scores.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 10_000).alias("cuts")).head()["cuts"] or []
+        part = _range_of(F.col("s"), sorted(set(cuts)))
+        counts = ("up", "down", "good")
+        totals = scores.groupBy(part.alias("part")).agg(*[F.sum(c).alias(f"{c}_part") for c in counts])
+        above = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+        whole = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        offsets = totals.select(
+            "part", *[F.coalesce(F.sum(f"{c}_part").over(above), F.lit(0.0)).alias(f"{c}_above") for c in counts[:2]],
+            *[F.sum(f"{c}_part").over(whole).alias(f"{c}_all") for c in counts],
+        )
+        inside = Window.partitionBy("part").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = scores.withColumn("part", part).join(F.broadcast(offsets), "part")
+        ranked = ranked.select("*", *[(F.col(f"{c}_above") + F.coalesce(F.sum(c).over(inside), F.lit(0.0))).alias(f"{c}_before") for c in counts[:2]])
+        up_before, down_before, up_now, down_now = (F.col(c) for c in ("up_before", "down_before", "up", "down"))
+        tp, fp = up_before + up_now, down_before + down_now
+        precise = tp / (tp + fp)
+        precise_before = F.coalesce(F.try_divide(up_before, up_before + down_before), precise)
+        areas = ranked.agg(
+            F.sum(up_now * (precise + precise_before) / 2).alias("pr"), F.sum(down_now * (up_before + up_now / 2)).alias("roc"),
+            *[F.max(f"{c}_all").alias(f"{c}_all") for c in counts],
+        ).head()
+    pos, neg, correct = (areas[f"{c}_all"] or 0.0 for c in counts)
+    under_pr = areas["pr"] / pos if pos else 0.0
+    # Without negatives the curve is the line from its last point to the corner; without positives its points lie at 0.
+    under_roc = areas["roc"] / (pos * neg) if pos and neg else 0.5 + (pos > 0) / 2 if not neg else 0.0
+    report = [
+        (METRIC_CORRECT, float(correct)), (METRIC_ACCURACY, correct / (pos + neg) if pos + neg else None),
+        (METRIC_PR, float(under_pr)), (METRIC_ROC, float(under_roc)),
+    ]
+    return rows.sparkSession.createDataFrame(report, f"`{METRIC_LABEL}` string, `{VALUE_LABEL}` double")
+
+
+def _range_of(value: Column, cuts: Sequence[float]) -> Column:
+    """How many cuts lie below the value, by halving: the expression is as deep as the logarithm of their number."""
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(cuts[middle]), between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(cuts))
 
 
 def _hard_metrics(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -19,7 +18,7 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions.columns import (
@@ -34,7 +33,7 @@ from tablewright.functions.columns import (
     resolve,
     resolve_all,
 )
-from tablewright.sources.layout import spread
+from tablewright.sources.layout import held
 
 FEATURES, LABEL, INDEXED = "features", "label", "indexed"
 
@@ -183,7 +182,8 @@ def train_svm(
             fitIntercept=False,
             standardization=False,
         )
-        model = estimator.fit(spread(points(df, names, target)))
+        with held(points(df, names, target)) as rows:
+            model = estimator.fit(rows)
     else:
         raise ValueError(f"unknown engine {engine!r}")
     return TrainedModel("svm", model, names, target)
@@ -199,32 +199,40 @@ def _descend(
     reg_type: str | None,
     tolerance: float,
 ) -> SgdSvmModel:
-    """Hinge-loss subgradient descent; each iteration is one aggregate of as many sums as features."""
+    """Hinge-loss subgradient descent; each iteration is one aggregate of as many sums as features.
+
+    The weights are one array constant that the generated code refers to, and no numbers written into it: the code of
+    the first iteration serves all others.
+    """
     if reg_type not in ("l1", "l2", "none", None):
         raise ValueError(f"unknown penalty {reg_type!r}")
     values = input_columns(df, features)
     inputs = [F.col(f"x{i}") for i in range(len(values))]
-    rows = df.select(*[x.alias(f"x{i}") for i, x in enumerate(values)], as_double(df, label).alias("y"))
-    rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    chosen = df.select(*[x.alias(f"x{i}") for i, x in enumerate(values)], as_double(df, label).alias("y"))
+    with held(chosen) as rows:
         bad = F.col("y").isNull() | ~F.col("y").isin(0.0, 1.0) | balanced(Column.__or__, [x.isNull() for x in inputs])
         checked = rows.agg(F.count("*").alias("n"), F.count(F.when(bad, F.lit(1))).alias("bad")).head()
         if not checked["n"] or checked["bad"]:
             raise ValueError(f"{checked['bad']} of {checked['n']} rows have nulls or a label other than 0 and 1")
-        side = 2 * F.col("y") - 1
         weights = [0.0] * len(inputs)
         for turn in range(1, iterations + 1):
-            wrong = side * SgdSvmModel(weights).margin(inputs) < 1
-            pulled = rows.select(*inputs, F.when(wrong, -side).otherwise(0.0).alias("pull"))
-            sums = pulled.agg(*[F.sum(F.col("pull") * x) for x in inputs]).head()
+            sums = _pulls(rows, inputs, weights).head()
             before = weights
             weights = _updated(before, [s / checked["n"] for s in sums], step / math.sqrt(turn), reg_param, reg_type)
             moved = math.dist(before, weights)
             if turn > 1 and moved < tolerance * max(math.hypot(*weights), 1.0):
                 break
         return SgdSvmModel(weights)
-    finally:
-        rows.unpersist()
+
+
+def _pulls(rows: DataFrame, inputs: Sequence[Column], weights: Sequence[float]) -> DataFrame:
+    """The subgradient's sums over all rows on the wrong side of the margin."""
+    # The place depends on the row, where it is always the same, or the optimizer would write the number itself into the code.
+    current, none = F.lit(list(weights)), F.col("y").isNull().cast("int")
+    side = 2 * F.col("y") - 1
+    margin = balanced(Column.__add__, [x * F.get(current, none + i) for i, x in enumerate(inputs)])
+    pulled = rows.select(*inputs, F.when(side * margin < 1, -side).otherwise(0.0).alias("pull"))
+    return pulled.agg(*[F.sum(F.col("pull") * x) for x in inputs])
 
 
 def _updated(
@@ -251,7 +259,7 @@ def train_gbt(
 ) -> TrainedModel:
     """Gradient-boosted trees for two classes of any type, indexed by frequency."""
     names, target = resolve_all(df, features), resolve(df, label)
-    indexed, classes = _indexed_points(df, names, target, 2)
+    rows, indexer, classes = _indexed_points(df, names, target, 2)
     if len(classes) != 2:
         raise ValueError(f"the label must have two classes, it has {len(classes)}")
     estimator = GBTClassifier(
@@ -262,17 +270,18 @@ def train_gbt(
         minInstancesPerNode=_number(min_instances_per_node, int),
         seed=_number(seed, int),
     )
-    return TrainedModel("gbt", estimator.fit(indexed), names, target, classes)
+    with held(rows) as kept:
+        return TrainedModel("gbt", estimator.fit(indexer.transform(kept)), names, target, classes)
 
 
-def _indexed_points(df: DataFrame, names: list[str], target: str, limit: int) -> tuple[DataFrame, list[str]]:
-    """The points with the label's index; more classes than the limit are an error before any are gathered."""
+def _indexed_points(df: DataFrame, names: list[str], target: str, limit: int) -> tuple[DataFrame, StringIndexerModel, list[str]]:
+    """The points and what indexes their label; more classes than the limit are an error before any are gathered."""
     rows = points(df, names, target, label_text=True)
     labels = rows.select(LABEL)
     if labels.distinct().limit(limit + 1).count() > limit:
         raise ValueError(f"column {target!r} has more than {limit} classes")
     indexer = StringIndexer(inputCol=LABEL, outputCol=INDEXED).fit(labels)
-    return indexer.transform(spread(rows)), list(indexer.labels)
+    return rows, indexer, list(indexer.labels)
 
 
 def train_lr(
@@ -301,7 +310,8 @@ def train_lr(
         family="auto",
     )
     names, target = resolve_all(df, features), resolve(df, label)
-    return TrainedModel("lr", estimator.fit(spread(points(df, names, target, lenient=lenient))), names, target)
+    with held(points(df, names, target, lenient=lenient)) as rows:
+        return TrainedModel("lr", estimator.fit(rows), names, target)
 
 
 def train_lr_multi(
@@ -328,8 +338,8 @@ def train_lr_multi(
         family="multinomial",
     )
     names, target = resolve_all(df, features), resolve(df, label)
-    fitted = estimator.fit(spread(points(df, names, target, lenient=lenient)))
-    return TrainedModel("lr_multi", fitted, names, target)
+    with held(points(df, names, target, lenient=lenient)) as rows:
+        return TrainedModel("lr_multi", estimator.fit(rows), names, target)
 
 
 def train_mlp(
@@ -359,7 +369,8 @@ def train_mlp(
         stepSize=_number(step_size, float),
         solver=solver,
     )
-    return TrainedModel("mlp", estimator.fit(spread(points(df, names, target))), names, target)
+    with held(points(df, names, target)) as rows:
+        return TrainedModel("mlp", estimator.fit(rows), names, target)
 
 
 def train_forest(
@@ -375,7 +386,7 @@ def train_forest(
 ) -> TrainedModel:
     """Random forest for two or more classes of any type, indexed by frequency."""
     names, target = resolve_all(df, features), resolve(df, label)
-    indexed, classes = _indexed_points(df, names, target, MAX_CLASSES)
+    rows, indexer, classes = _indexed_points(df, names, target, MAX_CLASSES)
     estimator = RandomForestClassifier(
         labelCol=INDEXED,
         numTrees=num_trees,
@@ -384,7 +395,8 @@ def train_forest(
         impurity=impurity,
         seed=seed,
     )
-    return TrainedModel("forest", estimator.fit(indexed), names, target, classes)
+    with held(rows) as kept:
+        return TrainedModel("forest", estimator.fit(indexer.transform(kept)), names, target, classes)
 
 
 # --- saving and loading -----------------------------------------------------------------------
@@ -455,6 +467,27 @@ def inspect_model(trained: TrainedModel) -> DataFrame:
     return SparkSession.active().createDataFrame(typed, "term string, value double")
 
 
+def model_settings(trained: TrainedModel) -> DataFrame:
+    """What a model was trained on and with: rows of section, term and value, all as text.
+
+    Models that were saved and loaded have the same settings; the SVM by descent has its threshold only.
+    """
+    rows = [("model", "kind", trained.kind), ("model", "label", trained.label)]
+    rows += [("model", f"feature[{i}]", name) for i, name in enumerate(trained.features)]
+    rows += [("model", f"class[{i}]", str(name)) for i, name in enumerate(trained.classes or [])]
+    if isinstance(trained.model, SgdSvmModel):
+        settings = {"threshold": trained.model.threshold}
+    else:
+        found = trained.model.extractParamMap()
+        settings = {param.name: value for param, value in found.items() if not param.name.endswith("Col")}
+    rows += [("parameter", name, _shown(value)) for name, value in sorted(settings.items())]
+    return SparkSession.active().createDataFrame(rows, "section string, term string, value string")
+
+
+def _shown(value: object) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def tree_text(trained: TrainedModel) -> str:
     """The trees of a boosted or random forest in words."""
     if trained.kind not in ("gbt", "forest"):

@@ -22,6 +22,42 @@ from tablewright.sources.tables import read_table
 Output = DataFrame | TrainedModel | tuple[DataFrame, ...]
 
 
+class Outputs(dict):
+    """The outputs of a flow's nodes by node id, with what is kept for them.
+
+    A table that feeds several nodes is kept as long as one of the results made from it is still wanted. `release` gives
+    results up, `close` all of them; as a context manager the outputs close themselves.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._kept: dict[str, set[str]] = {}
+
+    def keep(self, node: str, results: set[str]) -> None:
+        """Persist a node's table for the results that need it."""
+        self[node] = self[node].persist(StorageLevel.MEMORY_AND_DISK)
+        self._kept[node] = set(results)
+
+    def kept(self) -> list[str]:
+        return sorted(self._kept)
+
+    def release(self, *results: str) -> None:
+        for node, users in list(self._kept.items()):
+            users.difference_update(results)
+            if not users:
+                del self._kept[node]
+                self[node].unpersist()
+
+    def close(self) -> None:
+        self.release(*{result for users in self._kept.values() for result in users})
+
+    def __enter__(self) -> Outputs:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        self.close()
+
+
 def build(
     spec: Mapping[str, Mapping],
     sources: Mapping[str, DataFrame] | None = None,
@@ -30,12 +66,12 @@ def build(
     start: str | None = None,
     given: Mapping[str, Output] | None = None,
     persist_shared: bool = False,
-) -> dict[str, Output]:
+) -> Outputs:
     """The outputs of all nodes, or of `start` and everything after it.
 
     With `start`, outputs of earlier nodes come from `given`. `models` holds the models of load
-    nodes by node id. `persist_shared` keeps tables that feed several nodes; it pays when their
-    computation costs more than writing them down.
+    nodes by node id. `persist_shared` keeps tables that feed several nodes until the last nodes after them are
+    released or the outputs closed; it pays when their computation costs more than writing them down.
     """
     parents = {node: _parents(node, config) for node, config in spec.items()}
     for node, found in parents.items():
@@ -43,7 +79,8 @@ def build(
         if unknown:
             raise ValueError(f"node {node!r} refers to unknown nodes {unknown}")
     order = [node for node in TopologicalSorter(parents).static_order() if node in spec]
-    outputs: dict[str, Output] = dict(given or {})
+    outputs = Outputs()
+    outputs.update(given or {})
     wanted = set(order) if start is None else _descendants(start, order, parents)
     for node in order:
         if node not in wanted:
@@ -51,11 +88,16 @@ def build(
         missing = [p for p in _needed(node, spec, parents) if p not in outputs]
         if missing:
             raise ValueError(f"node {node!r} needs the outputs of {missing} in `given`")
-        output = _run(node, spec, outputs, sources or {}, models or {})
-        shared = sum(node in found for found in parents.values()) > 1
-        if persist_shared and shared and isinstance(output, DataFrame):
-            output = output.persist(StorageLevel.MEMORY_AND_DISK)
-        outputs[node] = output
+        try:
+            outputs[node] = _run(node, spec, outputs, sources or {}, models or {})
+        except Exception:
+            outputs.close()
+            raise
+        shared = sum(node in parents[other] for other in wanted) > 1
+        if persist_shared and shared and isinstance(outputs[node], DataFrame):
+            after = _descendants(node, order, parents) & wanted
+            ends = {n for n in after if not any(n in parents[other] for other in wanted)}
+            outputs.keep(node, ends)
     return outputs
 
 

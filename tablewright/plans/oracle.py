@@ -132,7 +132,11 @@ def _chi_square(column: str) -> str:
     return f"""
     SELECT '{column}' AS "column",
            round(sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e), 4) AS statistic,
-           (count(DISTINCT v) - 1) * (count(DISTINCT flag) - 1) AS degrees_of_freedom
+           (count(DISTINCT v) - 1) * (count(DISTINCT flag) - 1) AS degrees_of_freedom,
+           -- with an even number of degrees the tail is a finite sum
+           round(CAST(list_sum(list_transform(range(0, (count(DISTINCT v) - 1) * (count(DISTINCT flag) - 1) // 2), lambda k:
+               exp(k * ln(sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e) / 2) - lgamma(k + 1) - sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e) / 2)
+           )) AS DOUBLE), 8) AS p_value
     FROM (SELECT a.v, b.flag, a.n * b.n * 1.0 / t.n AS e
           FROM (SELECT {column} AS v, count(*) AS n FROM f GROUP BY 1) a,
                (SELECT flag, count(*) AS n FROM f GROUP BY 1) b, (SELECT count(*) AS n FROM f) t)
@@ -147,9 +151,12 @@ PCA_PARTS = """
                       b / sqrt((l1 - c) * (l1 - c) + b * b) AS y FROM e)
 """
 
-RAW_CURVE = """
-    WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS s,
-                      CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS p FROM lineitem),
+
+
+def _curve(actual: str, score: str, predicted: str, where: str = "TRUE") -> str:
+    """The four metrics of 0/1 labels, with both curves through every distinct score."""
+    return f"""
+    WITH r AS (SELECT {actual} AS y, {score} AS s, {predicted} AS p FROM lineitem WHERE {where}),
          g AS (SELECT s, sum(y) AS up, sum(1 - y) AS down FROM r GROUP BY s),
          c AS (SELECT s, CAST(sum(up) OVER w AS DOUBLE) AS tp, CAST(sum(down) OVER w AS DOUBLE) AS fp FROM g WINDOW w AS (ORDER BY s DESC)),
          t AS (SELECT CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg, count(*) AS n,
@@ -161,26 +168,47 @@ RAW_CURVE = """
     UNION ALL SELECT '精准度', round(good * 1.0 / n, 8) FROM t
     UNION ALL SELECT 'Area under PR', round(sum((tpr - tpr0) * (prec + prec0) / 2), 8) FROM k
     UNION ALL SELECT 'Area under ROC', round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 8) FROM k
-"""
+    """
 
-PERFECT = """
-    SELECT '正确个数' AS metric, CAST(count(*) AS DOUBLE) AS value FROM lineitem
-    UNION ALL SELECT '精准度', CAST(1 AS DOUBLE)
-    UNION ALL SELECT 'Area under PR', CAST(1 AS DOUBLE)
-    UNION ALL SELECT 'Area under ROC', CAST(1 AS DOUBLE)
-"""
 
 FLOW = f"""
     SELECT l_quantity * 2 + (l_linenumber + 0.5) AS score, count(*) AS rows
     FROM lineitem WHERE {FILTER_WHERE} GROUP BY 1
 """
 
+IS_BIG = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END"
+NOISY = f"xor({IS_BIG}, CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END)"
+RULE = ("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END", "l_quantity", IS_BIG)
+
+# The most frequent class of each line number, which unregularised models of line number marks must find.
 CLASSES = """
-    SELECT CAST(flag AS DOUBLE) AS prediction, CAST(flag AS DOUBLE) AS label
-    FROM (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS flag FROM lineitem)
-"""
+    WITH f AS (SELECT l_linenumber, CASE WHEN l_partkey % 10 = 0 THEN (c + 1) % 3 ELSE c END AS flag
+               FROM (SELECT *, CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS c FROM lineitem)),
+         m AS (SELECT l_linenumber, mode(flag) AS guess FROM f GROUP BY l_linenumber)
+    SELECT CAST(guess AS DOUBLE) AS prediction, CAST(flag AS DOUBLE) AS label,
+""" + ", ".join(f"CAST(l_linenumber = {i} AS DOUBLE) AS line{i}" for i in range(1, 8)) + " FROM f JOIN m USING (l_linenumber)"
+
+
+def _by_frequency(label: str, text: str, features: str) -> str:
+    """A right guess of a label that is indexed by falling frequency."""
+    return f"""
+    WITH f AS (SELECT {label} AS label, * FROM lineitem),
+         i AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, CAST(label AS VARCHAR)) - 1 AS i FROM f GROUP BY label)
+    SELECT CAST(i AS DOUBLE) AS prediction, {text} AS predicted_label, label, {features} FROM f JOIN i USING (label)
+    """
+
+
+def _report_rows() -> str:
+    """Settings of a model, and its metrics on the odd orders."""
+    words = {("model", "kind"): "lr", ("model", "label"): "noisy", ("model", "feature[0]"): "above_middle", ("parameter", "family"): "auto",
+             ("parameter", "fitIntercept"): "true", ("parameter", "standardization"): "true"}
+    numbers = {("parameter", "aggregationDepth"): 2, ("parameter", "maxBlockSizeInMB"): 0, ("parameter", "elasticNetParam"): 0.5, ("parameter", "maxIter"): 20,
+               ("parameter", "regParam"): 0, ("parameter", "threshold"): 0.4, ("parameter", "tol"): 1e-6}
+    rows = [f"SELECT '{s}' AS section, '{t}' AS term, '{w}' AS word, CAST(NULL AS DOUBLE) AS number" for (s, t), w in words.items()]
+    rows += [f"SELECT '{s}', '{t}', NULL, CAST({n} AS DOUBLE)" for (s, t), n in numbers.items()]
+    metrics = _curve(NOISY, IS_BIG, IS_BIG, "l_orderkey % 2 = 1")
+    return " UNION ALL ".join([*rows, f"SELECT 'metric', metric, NULL, value FROM ({metrics})"])
 
-IS_BIG = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END"
 
 ORACLE: dict[str, str] = {
     "csv_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
@@ -193,9 +221,14 @@ ORACLE: dict[str, str] = {
     "json_roundtrip": "SELECT * FROM orders",
     "text_length": "SELECT CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_length FROM documents",
     "preview_slice": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
+    "preview_deep": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate
+        FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_extendedprice, l_orderkey, l_linenumber, l_partkey) - 1 AS place,
+                     count(*) OVER () AS n FROM lineitem)
+        WHERE place >= n - n // 5 AND place < n - n // 5 + n // 20""",
     "head_json": """
         SELECT CAST(to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, o_orderstatus := o_orderstatus,
-               o_totalprice := o_totalprice, o_orderpriority := o_orderpriority)) AS VARCHAR) AS json
+               o_totalprice := o_totalprice, o_orderdate := strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'), o_orderpriority := o_orderpriority)) AS VARCHAR) AS json
         FROM (SELECT * FROM orders LIMIT 50)""",
     "column_listing": _listing("events", {
         "event_id": ("bigint", True), "ts": ("timestamp_ntz", False), "user_id": ("bigint", True), "event_type": ("string", False),
@@ -251,6 +284,10 @@ ORACLE: dict[str, str] = {
                round((l_extendedprice + 100) + (l_quantity * 0.0001::DOUBLE) - 1, 5) AS again
         FROM lineitem""",
     "random_split": "SELECT o_orderkey, o_totalprice FROM orders",
+    "scatter_sample": """
+        SELECT l_quantity, l_extendedprice FROM lineitem
+        ORDER BY md5(concat_ws(chr(1), '7', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)))
+        LIMIT 50""",
     "hash_split": """
         SELECT o_orderkey, o_totalprice,
                CASE WHEN CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 7000 THEN 0 ELSE 1 END AS port
@@ -263,12 +300,24 @@ ORACLE: dict[str, str] = {
         _text_statistics("events", "event_type")]),
     "describe_report": """
         WITH p AS (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)
-        SELECT '类型' AS statistic, 'number' AS o_custkey, 'text' AS o_orderstatus
-        UNION ALL SELECT '总数', CAST(count(o_custkey) AS VARCHAR), CAST(count(o_orderstatus) AS VARCHAR) FROM orders
-        UNION ALL SELECT '最小值', CAST(min(o_custkey) AS VARCHAR), '' FROM orders
-        UNION ALL SELECT '最大值', CAST(max(o_custkey) AS VARCHAR), '' FROM orders
-        UNION ALL SELECT '最小值位置', CAST(min(place) AS VARCHAR), '' FROM p WHERE o_custkey = (SELECT min(o_custkey) FROM p)
-        UNION ALL SELECT '最大值位置', CAST(min(place) AS VARCHAR), '' FROM p WHERE o_custkey = (SELECT max(o_custkey) FROM p)""",
+        , m AS (SELECT avg(o_custkey) AS mean FROM orders)
+        , v AS (
+            SELECT '总数' AS statistic, CAST(count(o_custkey) AS DOUBLE) AS x, CAST(count(o_orderstatus) AS VARCHAR) AS o_orderstatus FROM orders
+            UNION ALL SELECT '最小值', min(o_custkey), '' FROM orders
+            UNION ALL SELECT '最大值', max(o_custkey), '' FROM orders
+            UNION ALL SELECT '最小值位置', min(place), '' FROM p WHERE o_custkey = (SELECT min(o_custkey) FROM p)
+            UNION ALL SELECT '最大值位置', min(place), '' FROM p WHERE o_custkey = (SELECT max(o_custkey) FROM p)
+            UNION ALL SELECT '25%分位数', quantile_cont(CAST(o_custkey AS DOUBLE), 0.25), '' FROM orders
+            UNION ALL SELECT '中位数', quantile_cont(CAST(o_custkey AS DOUBLE), 0.5), '' FROM orders
+            UNION ALL SELECT '75%分位数', quantile_cont(CAST(o_custkey AS DOUBLE), 0.75), '' FROM orders
+            UNION ALL SELECT '均值', mean, '' FROM m
+            UNION ALL SELECT '平均绝对偏差', avg(abs(o_custkey - mean)), '' FROM orders, m
+            UNION ALL SELECT '方差', var_samp(o_custkey), '' FROM orders
+            UNION ALL SELECT '标准差', stddev_samp(o_custkey), '' FROM orders
+            UNION ALL SELECT '偏度', skewness(o_custkey), '' FROM orders
+            UNION ALL SELECT '峰度', kurtosis(o_custkey), '' FROM orders)
+        SELECT statistic, CAST(NULL AS VARCHAR) AS word, CASE WHEN abs(x) >= 100 THEN round(x, 1) ELSE round(x, 6) END AS number, o_orderstatus FROM v
+        UNION ALL SELECT '类型', 'number', NULL, 'text'""",
     "frequency": 'SELECT event_type, count(*) AS "频率" FROM events WHERE event_type IS NOT NULL GROUP BY event_type',
     "frequency_nulls": f"SELECT CAST(line AS BIGINT) AS line, count(*) AS rows FROM ({GAPS}) WHERE line IS NOT NULL GROUP BY 1",
     "correlation": _correlation_rows(),
@@ -296,6 +345,15 @@ ORACLE: dict[str, str] = {
         SELECT l_orderkey, l_linenumber, l_partkey, CAST(i AS DOUBLE) AS part_index FROM lineitem
         JOIN (SELECT l_partkey, row_number() OVER (ORDER BY count(*) DESC, CAST(l_partkey AS VARCHAR)) - 1 AS i
               FROM lineitem GROUP BY l_partkey) USING (l_partkey)""",
+    "string_index_fitted": """
+        WITH k AS (SELECT l_partkey, row_number() OVER (ORDER BY count(*) DESC, CAST(l_partkey AS VARCHAR)) - 1 AS i
+                   FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_partkey)
+        SELECT l_orderkey, l_linenumber, l_partkey, CAST(coalesce(i, (SELECT count(*) FROM k)) AS DOUBLE) AS part_index
+        FROM lineitem LEFT JOIN k USING (l_partkey)""",
+    "scaled_and_saved": """
+        SELECT l_orderkey, l_partkey, round((l_quantity - q) / qs, 3) AS quantity, round((l_extendedprice - p) / ps, 3) AS price
+        FROM lineitem, (SELECT avg(l_quantity) AS q, stddev_samp(l_quantity) AS qs, avg(l_extendedprice) AS p, stddev_samp(l_extendedprice) AS ps
+                        FROM lineitem WHERE l_orderkey % 3 = 0)""",
     "one_hot": "SELECT l_orderkey, l_partkey, "
     + ", ".join(f"CAST(l_linenumber = {i} AS DOUBLE) AS a{i}" for i in range(7))
     + ", 7 AS width FROM lineitem",
@@ -311,18 +369,17 @@ ORACLE: dict[str, str] = {
         FROM lineitem""",
     "svm_binary": f"SELECT CAST({IS_BIG} AS DOUBLE) AS prediction_result, CAST({IS_BIG} AS DOUBLE) AS is_big FROM lineitem",
     "svm_owlqn": f"SELECT CAST({IS_BIG} AS DOUBLE) AS prediction_result, CAST({IS_BIG} AS DOUBLE) AS is_big FROM lineitem",
-    "gbt_binary": """
-        SELECT CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END AS predicted_label,
-               CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END AS label FROM lineitem""",
-    "lr_binary": f"SELECT CAST({IS_BIG} AS DOUBLE) AS prediction, CAST({IS_BIG} AS DOUBLE) AS label FROM lineitem",
+    "gbt_binary": _by_frequency("CASE WHEN l_linenumber > 3 THEN 'late' ELSE 'early' END", "label",
+        "CAST(l_linenumber AS DOUBLE) AS l_linenumber, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax"),
+    "lr_binary": f"""SELECT CAST({IS_BIG} AS DOUBLE) AS prediction, CAST({IS_BIG} AS DOUBLE) AS label,
+        l_quantity - 25.5 AS above_middle, round(l_tax, 6) AS l_tax FROM lineitem""",
     "lr_multi": CLASSES,
     "mlp_multi": CLASSES,
-    "rf_multi": """
-        SELECT CAST(t AS VARCHAR) AS predicted_label, t AS label
-        FROM (SELECT CASE WHEN l_quantity > 34 THEN 2 WHEN l_quantity > 17 THEN 1 ELSE 0 END AS t FROM lineitem)""",
+    "rf_multi": _by_frequency("CASE WHEN l_quantity > 34 THEN 2 WHEN l_quantity > 17 THEN 1 ELSE 0 END", "CAST(label AS VARCHAR)",
+        "l_quantity, round(l_discount, 6) AS l_discount"),
     "predict_by_ordinal": f"SELECT CAST({IS_BIG} AS DOUBLE) AS prediction_result FROM lineitem",
-    "binary_metrics_hard": RAW_CURVE.replace("l_quantity AS s", "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS s"),
-    "binary_metrics_raw": RAW_CURVE,
+    "binary_metrics_hard": _curve(RULE[0], IS_BIG, IS_BIG),
+    "binary_metrics_raw": _curve(*RULE),
     "multiclass_metrics": """
         WITH m AS (SELECT l_returnflag AS y, CASE WHEN l_quantity > 34 THEN 'A' WHEN l_quantity > 17 THEN 'N' ELSE 'R' END AS p FROM lineitem),
              k AS (SELECT c.y, c.n, coalesce(h.hit * 1.0 / h.n, 0) AS prec
@@ -330,9 +387,11 @@ ORACLE: dict[str, str] = {
                    LEFT JOIN (SELECT p, count(*) AS n, sum(CASE WHEN y = p THEN 1 ELSE 0 END) AS hit FROM m GROUP BY p) h ON c.y = h.p)
         SELECT 'accuracy' AS metric, round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 8) AS value FROM m
         UNION ALL SELECT 'weighted_precision', round(sum(n * prec) / sum(n), 8) FROM k""",
-    "evaluate_svm": PERFECT,
-    "evaluate_lr": PERFECT,
-    "evaluate_forest": PERFECT,
+    "evaluate_svm": _curve(NOISY, "l_quantity", IS_BIG),
+    "evaluate_lr": _curve(NOISY, IS_BIG, IS_BIG),
+    "evaluate_lr_raw": _curve(NOISY, "l_quantity", IS_BIG),
+    "evaluate_forest": _curve(NOISY, IS_BIG, IS_BIG),
+    "model_parameters": _report_rows(),
     "feature_importance": """
         SELECT 'l_linenumber' AS feature, CAST(1 AS DOUBLE) AS importance
         UNION ALL SELECT 'l_discount', CAST(0 AS DOUBLE)""",
@@ -362,5 +421,5 @@ ORACLE: dict[str, str] = {
         HAVING count(*) >= ceil(0.05 * (SELECT count(*) FROM pages))""",
     "flow_demo": FLOW,
     "flow_from_node": FLOW,
-    "flow_evaluate": PERFECT,
+    "flow_evaluate": _curve(NOISY, "l_quantity", IS_BIG),
 }

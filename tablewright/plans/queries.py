@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.functions import fixed_values as code
@@ -79,9 +80,15 @@ def preview_slice(spark, sf_dir):
     return tables.preview(orders, 100, 150, order_by="o_orderkey")
 
 
+def preview_deep(spark, sf_dir):
+    """A twentieth of all line items, four fifths down in the order of a key of five columns."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    rows = items.count()
+    return tables.preview(items, rows - rows // 5, rows - rows // 5 + rows // 20, order_by=["l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"])
+
+
 def head_json(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return tables.head_json(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    return tables.head_json(table(spark, sf_dir, "orders"))
 
 
 def column_listing(spark, sf_dir):
@@ -260,7 +267,8 @@ def hash_split(spark, sf_dir):
 
 
 def scatter_sample(spark, sf_dir):
-    return rows.scatter_sample(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], seed=7)
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return rows.scatter_sample(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], seed=7, key=key)
 
 
 # --- exploration ------------------------------------------------------------------------------
@@ -291,7 +299,9 @@ def describe_positions(spark, sf_dir):
 def describe_report(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     report = explore.describe_report(orders, ["o_custkey", "o_orderstatus"], order_by="o_orderkey")
-    return report.where(F.col("statistic").isin("类型", "总数", "最小值", "最小值位置", "最大值", "最大值位置"))
+    number = F.col("o_custkey").try_cast("double")
+    shown = F.when(F.abs(number) >= 100, F.round(number, 1)).otherwise(F.round(number, 6))
+    return report.select("statistic", F.when(number.isNull(), F.col("o_custkey")).alias("word"), shown.alias("number"), "o_orderstatus")
 
 
 def frequency(spark, sf_dir):
@@ -394,6 +404,22 @@ def string_index_join(spark, sf_dir):
     return features.string_index(items, "l_partkey", "part_index", label_limit=100)
 
 
+def string_index_fitted(spark, sf_dir):
+    """An index learned from one half of the line items, saved, loaded and applied to all of them."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    fitted = features.fit_string_index(items.where("l_linenumber <= 3"), "l_partkey", "part_index", handle_invalid="keep", label_limit=100)
+    path = fitted.save(scratch_path(spark, "part-index"))
+    return features.load_feature(spark, path).transform(items)
+
+
+def scaled_and_saved(spark, sf_dir):
+    """A scaling learned from early orders, saved, loaded and applied to all line items."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    fitted = features.fit_standard_scale(items.where("l_orderkey % 3 = 0"), ["l_quantity", "l_extendedprice"], "v", with_mean=True)
+    scaled = features.load_feature(spark, fitted.save(scratch_path(spark, "scale"))).transform(items)
+    return scaled.select("l_orderkey", "l_partkey", _element("v", 0, "quantity", 3), _element("v", 1, "price", 3))
+
+
 def one_hot(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     encoded = features.one_hot(items, ["l_linenumber", "l_linenumber"], ["a", "b"], as_array=True)
@@ -414,15 +440,9 @@ def _flagged(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("flag", flag)
 
 
-def _flag_marks(spark, sf_dir):
-    """The classes together with 0/1 marks that decide them."""
-    marks = [(F.col("flag") == i).cast("double").alias(f"is{i}") for i in (0, 1)]
-    return _flagged(spark, sf_dir).select("flag", "l_tax", *marks)
-
-
 def chi_square_scores(spark, sf_dir):
     scores = features.chi_square_scores(_flagged(spark, sf_dir), ["l_linenumber", "l_quantity", "l_tax"], "flag")
-    return scores.select("column", _six("statistic", "statistic", 4), F.col("degrees_of_freedom").cast("long").alias("degrees_of_freedom"))
+    return scores.select("column", _six("statistic", "statistic", 4), "degrees_of_freedom", _six("p_value", "p_value", 8))
 
 
 def chi_square(spark, sf_dir):
@@ -443,11 +463,30 @@ def _big(spark, sf_dir):
         "*",
         (quantity - 25.5).alias("above_middle"),
         F.when(quantity > 25, 1).otherwise(0).alias("is_big"),
+        F.when(quantity > 25, 1).otherwise(0).bitwiseXOR((F.col("l_partkey") % 7 == 0).cast("int")).alias("noisy"),
         F.when(F.col("l_linenumber") > 3, "late").otherwise("early").alias("half"),
         F.when(quantity > 34, 2).when(quantity > 17, 1).otherwise(0).alias("third"),
     )
 
 
+def _grouped(spark, sf_dir):
+    """Line items in three classes that follow the line number, but for a tenth of the rows; features mark the line number."""
+    clean = F.when(F.col("l_linenumber") <= 2, 0).when(F.col("l_linenumber") <= 4, 1).otherwise(2)
+    flag = F.when(F.col("l_partkey") % 10 == 0, (clean + 1) % 3).otherwise(clean)
+    marks = [(F.col("l_linenumber") == i).cast("double").alias(f"line{i}") for i in range(1, 8)]
+    return table(spark, sf_dir, "lineitem").select(flag.alias("flag"), *marks)
+
+
+LINES = [f"line{i}" for i in range(1, 8)]
+
+
+def _whole(scored: DataFrame, names: list[str]) -> DataFrame:
+    """All of a scored table, the features as columns of their own."""
+    parts = scored.withColumn("features", vector_to_array("features"))
+    rest = [c for c in scored.columns if c != "features"]
+    return parts.select(*rest, *[_element("features", i, name, 6) for i, name in enumerate(names)])
+
+
 def _reloaded(spark, trained):
     return training.load_model(spark, trained.save(scratch_path(spark, trained.kind)))
 
@@ -469,33 +508,33 @@ def gbt_binary(spark, sf_dir):
     items = _big(spark, sf_dir)
     trained = training.train_gbt(items, "half", ["l_linenumber", "l_discount", "l_tax"],
                                  iterations=20, step=0.1, max_depth=5, min_instances_per_node=1, seed=1)
-    return scoring.predict(_reloaded(spark, trained), items, label="half").select("predicted_label", "label")
+    return _whole(scoring.predict(_reloaded(spark, trained), items, label="half"), ["l_linenumber", "l_discount", "l_tax"])
 
 
 def lr_binary(spark, sf_dir):
     items = _big(spark, sf_dir)
     trained = training.train_lr(items, "is_big", ["above_middle", "l_tax"], iterations="20", reg_param=0.0,
                                 elastic_net_param=0.0, tol=0.000006, fit_intercept="True", threshold=0.5)
-    return scoring.predict(_reloaded(spark, trained), items, label="is_big").select("prediction", "label")
+    return _whole(scoring.predict(_reloaded(spark, trained), items, label="is_big"), ["above_middle", "l_tax"])
 
 
 def lr_multi(spark, sf_dir):
-    items = _flag_marks(spark, sf_dir)
-    trained = training.train_lr_multi(items, "flag", ["is0", "is1", "l_tax"], iterations=20, tol=0.000006)
-    return scoring.predict(_reloaded(spark, trained), items, label="flag").select("prediction", "label")
+    items = _grouped(spark, sf_dir)
+    trained = training.train_lr_multi(items, "flag", LINES, iterations=20, tol=0.000006)
+    return _whole(scoring.predict(_reloaded(spark, trained), items, label="flag"), LINES)
 
 
 def mlp_multi(spark, sf_dir):
-    items = _flag_marks(spark, sf_dir)
-    trained = training.train_mlp(items, "flag", ["is0", "is1", "l_tax"], layers=[3, 4, 3], iterations=50, seed=1)
-    return scoring.predict(_reloaded(spark, trained), items, label="flag").select("prediction", "label")
+    items = _grouped(spark, sf_dir)
+    trained = training.train_mlp(items, "flag", LINES, layers=[7, 6, 3], iterations=60, seed=1)
+    return _whole(scoring.predict(_reloaded(spark, trained), items, label="flag"), LINES)
 
 
 def rf_multi(spark, sf_dir):
     items = _big(spark, sf_dir)
     trained = training.train_forest(items, "third", ["l_quantity", "l_discount"], num_trees=50, max_depth=5,
                                     max_bins=64, seed=1)
-    return scoring.predict(_reloaded(spark, trained), items, label="third").select("predicted_label", "label")
+    return _whole(scoring.predict(_reloaded(spark, trained), items, label="third"), ["l_quantity", "l_discount"])
 
 
 def predict_by_ordinal(spark, sf_dir):
@@ -533,20 +572,26 @@ def multiclass_metrics(spark, sf_dir):
 
 def evaluate_svm(spark, sf_dir):
     items = _big(spark, sf_dir)
-    trained = training.train_svm(items, "is_big", ["above_middle", "l_tax"], iterations=20)
-    return _metrics(scoring.evaluate(trained, items, "is_big"))
+    trained = training.train_svm(items, "noisy", ["above_middle"], iterations=20)
+    return _metrics(scoring.evaluate(trained, items, "noisy"))
 
 
 def evaluate_lr(spark, sf_dir):
     items = _big(spark, sf_dir)
-    trained = training.train_lr(items, "is_big", ["above_middle", "l_tax"], iterations=20)
-    return _metrics(scoring.evaluate(trained, items, "is_big"))
+    trained = training.train_lr(items, "noisy", ["above_middle"], iterations=20)
+    return _metrics(scoring.evaluate(trained, items, "noisy"))
+
+
+def evaluate_lr_raw(spark, sf_dir):
+    items = _big(spark, sf_dir)
+    trained = training.train_lr(items, "noisy", ["above_middle"], iterations=20)
+    return _metrics(scoring.evaluate(trained, items, "noisy", score="raw"))
 
 
 def evaluate_forest(spark, sf_dir):
     items = _big(spark, sf_dir)
-    trained = training.train_forest(items, "is_big", ["l_quantity", "l_tax"], num_trees=3, max_depth=4, max_bins=64, seed=1)
-    scored = scoring.predict(_reloaded(spark, trained), items, label="is_big")
+    trained = training.train_forest(items, "noisy", ["l_quantity"], num_trees=3, max_depth=4, max_bins=64, seed=1)
+    scored = scoring.predict(_reloaded(spark, trained), items, label="noisy")
     return _metrics(scoring.binary_metrics(scored, "label", "predicted_label"))
 
 
@@ -560,6 +605,15 @@ def model_inspect(spark, sf_dir):
     return training.inspect_model(trained)
 
 
+def model_parameters(spark, sf_dir):
+    """A saved model's columns and training parameters, and its metrics on a table that it hasn't seen."""
+    items = _big(spark, sf_dir)
+    trained = training.train_lr(items.where("l_orderkey % 2 = 0"), "noisy", ["above_middle"], iterations=20, elastic_net_param=0.5, threshold=0.4)
+    report = scoring.model_report(_reloaded(spark, trained), items.where("l_orderkey % 2 = 1"), "noisy")
+    number = F.col("value").try_cast("double")
+    return report.select("section", "term", F.when(number.isNull(), F.col("value")).alias("word"), F.round(number, 8).alias("number"))
+
+
 def lenient_features(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("value", "event_type", F.get_json_object("props", "$.k").alias("k"))
     return training.lenient_features(events, ["value", "k"], "event_type")
@@ -619,15 +673,15 @@ def flow_evaluate(spark, sf_dir):
     spec = {
         "data": {"name": code.READ, "config": {}, "next": ["train", "score"], "pre": []},
         "train": {"name": code.SVM,
-                  "config": {"parameter": {"label": "is_big", "features": ["above_middle", "l_tax"], "iterations": 20,
+                  "config": {"parameter": {"label": "noisy", "features": ["above_middle"], "iterations": 20,
                                            "step": 1.0, "regParam": 0.01, "regType": "l2", "convergenceTol": 0.001},
                              "fileUrl": [{"data": 0}]},
                   "next": ["score"], "pre": ["data"]},
         "score": {"name": code.PREDICT,
-                  "config": {"parameter": {"label": "is_big", "features": ["above_middle", "l_tax"]},
+                  "config": {"parameter": {"label": "noisy", "features": ["above_middle"]},
                              "fileUrl": [{"data": 0}, {"train": 0}]},
                   "next": ["judge"], "pre": ["train", "data"]},
-        "judge": {"name": code.EVALUATE, "config": {"parameter": {"label": "is_big"}, "fileUrl": []},
+        "judge": {"name": code.EVALUATE, "config": {"parameter": {"label": "noisy"}, "fileUrl": []},
                   "next": [], "pre": ["score"]},
     }
     return _metrics(build(spec, {"data": _big(spark, sf_dir)})["judge"])
@@ -636,17 +690,18 @@ def flow_evaluate(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        csv_roundtrip, csv_text_roundtrip, csv_headerless, json_roundtrip, text_length, preview_slice, head_json,
+        csv_roundtrip, csv_text_roundtrip, csv_headerless, json_roundtrip, text_length, preview_slice, preview_deep, head_json,
         column_listing, column_listing_numeric, filter_multi, filter_patterns, filter_dates, filter_number_in_text,
         filter_chain, sort_desc, sort_top, sort_asc_nulls, split_column, split_column_auto, split_rows,
         split_rows_delimiter, merge_columns, replace_values, fill_nulls_mean, fill_nulls_max, fill_nulls_min,
         map_columns, random_split, hash_split, scatter_sample, describe, describe_positions, describe_report,
         frequency, frequency_nulls, correlation, correlation_matrix, assemble_array, quantile_bins,
         quantile_bins_ties, quantile_bins_approx, vector_index, standard_scale, standard_scale_centred, pca,
-        pca_variance, pca_variance_all, string_index, string_index_join, one_hot, polynomial, chi_square_scores,
+        pca_variance, pca_variance_all, string_index, string_index_join, string_index_fitted,
+        scaled_and_saved, one_hot, polynomial, chi_square_scores,
         chi_square, svm_binary, svm_owlqn, gbt_binary, lr_binary, lr_multi, mlp_multi, rf_multi, predict_by_ordinal,
-        binary_metrics_hard, binary_metrics_raw, multiclass_metrics, evaluate_svm, evaluate_lr, evaluate_forest, feature_importance,
-        model_inspect, lenient_features, frequent_items, frequent_sequences, flow_demo, flow_from_node, flow_evaluate,
+        binary_metrics_hard, binary_metrics_raw, multiclass_metrics, evaluate_svm, evaluate_lr, evaluate_lr_raw,
+        evaluate_forest, feature_importance, model_inspect, model_parameters, lenient_features, frequent_items, frequent_sequences, flow_demo, flow_from_node, flow_evaluate,
     )
 }
 

@@ -6,23 +6,35 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The table in no fewer partitions than it has; one with fewer than the session has cores is dealt out to them."""
+    """The table in no fewer partitions than it has; one with rows in fewer than the session has cores is dealt out to them.
+
+    Counting the partitions reads no columns, but takes what the table is made from once.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    filled = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df.repartition(cores) if filled < cores else df
 
 
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
-    """The table spread and kept while several passes go over it, so that all of them see the same rows.
+    """The table spread and kept while several passes go over it.
 
-    The copy is as large as the columns chosen, in memory and on the executors' disks.
+    The copy is as large as the columns chosen, in memory and on the executors' disks. All passes see the same rows, also
+    after an executor is lost if the table's plan gives the same rows again; otherwise write it down first.
     """
-    kept = spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    first = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = first
     try:
+        kept = spread(first)
+        if kept is not first:
+            kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.count()
+            first.unpersist()
         yield kept
     finally:
         kept.unpersist()
+        first.unpersist()

@@ -7,11 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tablewright.functions.columns import holds_number, is_numeric, quoted, resolve
-from tablewright.operators.ranking import with_position
+from tablewright.functions.columns import balanced, holds_number, is_numeric, quoted, resolve
+from tablewright.operators.order_statistics import Place, between, keys_at, literal, precedes, reaches
 
-# Below this row number a page is a top-k job; pages beyond it are cut from a ranked table.
-SHALLOW_PAGE_END = 100_000
 FORMATS = ("csv", "parquet", "json", "orc")
 
 
@@ -83,30 +81,54 @@ class Page(NamedTuple):
 
 
 def preview(df: DataFrame, start: int, end: int, *, order_by: str | int | list[str]) -> DataFrame:
-    """Rows [start, end) in the order of a unique key.
+    """Rows [start, end) in the order of a key, nulls first.
 
-    Early pages are a top-k. Later ones would gather all rows before `end` in one task, so they
-    are cut out of the table ranked across range partitions instead.
+    The keys at both ends are searched by counting, then the page is a filter on the source and a sort of the page
+    alone: pages of any depth and width read what lies between two keys, and nothing else is sorted or written. Without a unique key rows of
+    equal keys come in any order. Places beyond the last row are left out.
     """
     if start < 0 or start > end:
         raise ValueError(f"illegal row range [{start}, {end})")
-    keys = _key_columns(df, order_by)
-    if end <= SHALLOW_PAGE_END:
-        return df.orderBy(*keys).offset(start).limit(end - start)
-    ranked, position = with_position(df, keys)
-    inside = (F.col(position) >= start) & (F.col(position) < end)
-    return ranked.where(inside).orderBy(position).drop(position)
+    length = df.count()
+    return _page(df, start, min(end, length), length, _key_names(df, order_by))
+
+
+def _page(df: DataFrame, start: int, end: int, length: int, names: list[str]) -> DataFrame:
+    if start >= end:
+        return df.limit(0)
+    ends = [place for place in (start, end) if 0 < place < length]
+    found = dict(zip(ends, keys_at(df, names, ends, length)))
+    low, high = found.get(start), found.get(end)
+    rows = between(df, names, low, high).orderBy(*[quoted(name) for name in names])
+    before = 0 if low is None else low.before
+    behind = length if high is None else high.before
+    if (before, behind) == (start, end):
+        return rows
+    # Equal keys at an end: the page starts or ends among them.
+    if high is not None and behind < end:
+        rows = df.where(~_beyond(df, names, low, high)).orderBy(*[quoted(name) for name in names])
+    return rows.offset(start - before).limit(end - start)
+
+
+def _beyond(df: DataFrame, names: list[str], low: Place | None, high: Place) -> Column:
+    """True for rows before the first key or after the last one."""
+    equal = [quoted(n).eqNullSafe(literal(df, n, v)) for n, v in zip(names, high.values)]
+    after = reaches(df, names, high.values) & ~balanced(Column.__and__, equal)
+    return after if low is None else after | precedes(df, names, low.values)
 
 
 def preview_page(df: DataFrame, start: int, end: int, *, order_by: str | int | list[str]) -> Page:
     """The table's row count and the rows [start, end), `end` clamped to the count."""
     length = df.count()
-    return Page(length, preview(df, start, min(end, length), order_by=order_by))
+    end = min(end, length)
+    if start < 0 or start > end:
+        raise ValueError(f"illegal row range [{start}, {end})")
+    return Page(length, _page(df, start, end, length, _key_names(df, order_by)))
 
 
-def _key_columns(df: DataFrame, order_by: str | int | list[str]) -> list[Column]:
+def _key_names(df: DataFrame, order_by: str | int | list[str]) -> list[str]:
     refs = order_by if isinstance(order_by, (list, tuple)) else [order_by]
-    return [quoted(resolve(df, ref)) for ref in refs]
+    return [resolve(df, ref) for ref in refs]
 
 
 def head_json(df: DataFrame, n: int = 50) -> DataFrame:

@@ -185,5 +185,6 @@ def test_fitted_features_apply_to_other_tables(numbered):
     row = fitted.transform(test).head()
     assert math.isclose(row["v"][0], row["l_quantity"] * factor, rel_tol=1e-6)
     assert features.fit_string_index(train, "l_returnflag").transform(test).columns[-1] == "l_returnflag_string_indexer"
-    with pytest.raises(ValueError):
-        features.fit_string_index(train, "l_returnflag", label_limit=2)
+    many = features.fit_string_index(train, "l_returnflag", label_limit=2)
+    few = features.fit_string_index(train, "l_returnflag")
+    assert many.transform(test).exceptAll(few.transform(test)).count() == 0

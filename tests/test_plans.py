@@ -66,6 +66,8 @@ def test_a_limit_on_a_sorted_table_is_a_top_k(orders):
 
 def test_sources_keep_to_the_rules():
     for path in Path(ROOT, "tablewright").rglob("*.py"):
+        if "llm" in path.parts:  # has its own rules in tests/llm
+            continue
         text = path.read_text(encoding="utf-8")
         for word in ("localCheckpoint", "toPandas", "crossJoin", ".rdd", "applyInPandas", "pandas_udf"):
             assert word not in text, f"{word} in {path.name}"

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import order_statistics
 from tablewright.operators.mining import frequent_itemsets, frequent_sequences
 from tablewright.sources import layout, tables
 from tablewright.sources.scratch import scratch_folder, scratch_path
@@ -45,7 +46,8 @@ def test_preview(orders, monkeypatch):
     expected = [tuple(r) for r in df.orderBy("o_orderkey").collect()]
     page = lambda: [tuple(r) for r in tables.preview(df, 700, 750, order_by="o_orderkey").collect()]
     assert page() == expected[700:750]
-    monkeypatch.setattr(tables, "SHALLOW_PAGE_END", 10)
+    for name, value in (("FETCHED", 5), ("SAMPLE", 40), ("PIVOTS", 7)):  # many rounds of the search
+        monkeypatch.setattr(order_statistics, name, value)
     assert page() == expected[700:750]
     whole = tables.preview_page(df, 1490, 10**6, order_by="o_orderkey")
     assert whole.length == len(expected) and whole.rows.count() == len(expected) - 1490
