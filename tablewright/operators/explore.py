@@ -6,8 +6,9 @@ import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions.columns import (
@@ -235,17 +236,18 @@ def _cell(i: int, j: int) -> str:
     return f"{min(i, j)},{max(i, j)}"
 
 
-# Products of pairs that one vector of sums holds; a column looks at so many rows for its shift.
+# Products of pairs that are written out as expressions; a column looks at so many rows for its shift.
 SUMS, SHIFT_ROWS = 1_200, 1_000
 # A side whose variance is below this share of its mean square about the shift counts as constant.
-CONSTANT = 1e-13
+CONSTANT, CONSTANT_WIDE = 1e-13, 1e-10
 
 
 def _correlations(df: DataFrame, columns: Sequence[str | int]) -> tuple[list[str], DataFrame]:
     """One row with a map from each unordered pair of columns to its correlation.
 
-    Every row gives the products of its pairs as vectors, 0 where a side is missing, which are summed place by
-    place. Rows are neither multiplied nor shuffled, and a task sends on one row. The columns are
+    Every row gives the products of its pairs as a vector, 0 where a side is missing, which is summed place by
+    place; with many columns the same sums are read off one matrix, see _wide(). Rows are neither multiplied nor
+    shuffled, and a task sends on one row. The columns are
     shifted by a median of some first rows, which changes no correlation but keeps the sums from cancelling.
     """
     names = resolve_all(df, columns)
@@ -263,15 +265,15 @@ def _correlations(df: DataFrame, columns: Sequence[str | int]) -> tuple[list[str
     present = [F.when(value.isNotNull(), 1.0).otherwise(0.0) for value in values]
     shifted = [F.coalesce(value - F.lit(float(shift)), F.lit(0.0)) for value, shift in zip(values, shifts)]
     parts = df.select(*[c.alias(f"m{i}") for i, c in enumerate(present)], *[c.alias(f"x{i}") for i, c in enumerate(shifted)])
+    if len(keys) * 6 > SUMS:
+        return names, _wide(parts, [places[name] for name in names], keys)
     products: list[Column] = []
     for i, j in combinations_with_replacement(range(len(names)), 2):
         m, x = F.col(f"m{places[names[i]]}"), F.col(f"x{places[names[i]]}")
         o, y = F.col(f"m{places[names[j]]}"), F.col(f"x{places[names[j]]}")
         products += [m * o, x * o, m * y, x * x * o, m * y * y, x * y]
-    blocks = [products[at : at + SUMS] for at in range(0, len(products), SUMS)]
-    vectors = parts.select(*[array_to_vector(F.array(*block)).alias(f"v{b}") for b, block in enumerate(blocks)])
-    sums = vectors.agg(*[Summarizer.sum(F.col(f"v{b}")).alias(f"s{b}") for b in range(len(blocks))])
-    sums = sums.select(F.concat(*[vector_to_array(F.col(f"s{b}")) for b in range(len(blocks))]).alias("sums"))
+    vectors = parts.select(array_to_vector(F.array(*products)).alias("v"))
+    sums = vectors.agg(Summarizer.sum(F.col("v")).alias("s")).select(vector_to_array("s").alias("sums"))
     found = F.transform(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda pair: _pearson([F.get("sums", pair * 6 + i) for i in range(6)]))
     itself = F.lit([_cell(i, i) for i in range(len(names))])
     cells = sums.select(F.map_from_arrays(F.lit(keys), found).alias("cells"))
@@ -279,6 +281,36 @@ def _correlations(df: DataFrame, columns: Sequence[str | int]) -> tuple[list[str
     return names, cells.select(exact.alias("cells"))
 
 
+def _wide(parts: DataFrame, places: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """The correlations of many columns from one Gramian.
+
+    A row's vector holds its marks of presence, its values and their squares, with 0 for what is missing. The
+    products of these three kinds, summed over all rows, are all pairwise counts, sums, squares and products. Spark
+    sums them as outer products in the JVM, one packed triangle for each task, whose size depends on the columns alone.
+    """
+    k = 1 + max(places)
+    cells = [F.col(f"m{i}") for i in range(k)] + [F.col(f"x{i}") for i in range(k)] + [F.col(f"x{i}") * F.col(f"x{i}") for i in range(k)]
+    blank = parts.sparkSession.range(2).select(array_to_vector(F.array_repeat(F.lit(0.0), 3 * k)).alias("z"))  # adds nothing to a product
+    vectors = parts.select(array_to_vector(F.array(*cells)).alias("z")).unionByName(blank)
+    with held(vectors) as rows:
+        found = rows.agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("z")).alias("s")).head()["s"]
+        related = np.nan_to_num(Correlation.corr(rows, "z").head()[0].toArray())
+    n, mean, spread = found["count"], found["mean"].toArray(), np.sqrt(found["variance"].toArray())
+    products = (n - 1) * related * np.outer(spread, spread) + n * np.outer(mean, mean)
+    np.fill_diagonal(products, (n - 1) * spread**2 + n * mean**2)
+    m, x, xx = (slice(a * k, (a + 1) * k) for a in range(3))
+    both, left, left_square, cross = np.rint(products[m, m]), products[x, m], products[xx, m], products[x, x]
+    with np.errstate(all="ignore"):
+        variance = left_square - left**2 / both
+        value = (cross - left * left.T / both) / np.sqrt(variance * variance.T)
+    varies = variance > CONSTANT_WIDE * left_square
+    value = np.where(varies & varies.T & (both > 0), np.clip(value, -1, 1), np.nan)
+    np.fill_diagonal(value, np.where(np.diag(varies), 1.0, np.nan))
+    pairs = combinations_with_replacement(range(len(places)), 2)
+    entries = {key: (None if np.isnan(v) else float(v)) for key, (i, j) in zip(keys, pairs) for v in [value[places[i], places[j]]]}
+    return parts.sparkSession.createDataFrame([(entries,)], "cells map<string,double>")
+
+
 def _pearson(sums: Sequence[Column]) -> Column:
     """The correlation from counts, sums, squares and products over the rows where both sides are present."""
     n, x, y, xx, yy, xy = sums
