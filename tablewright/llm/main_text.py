@@ -5,13 +5,14 @@ text length and the number of tags met since the line before; lines in boilerpla
 the article, footers, sidebars, adverts, notices, forms, comments) are left out from the start. Forms and elements
 marked by a class or id are left out by what they turn out to hold, see _void(). The text-to-tag ratios, smoothed with a Gaussian over neighbouring lines, are split by two-means clustering into a
 high and a low group; its border, held below MAX_BORDER, is the threshold. Lines above it vote, by the length of their text, for the
-elements around them. An outermost article or main element that lines above the threshold lie in is content, if these
-elements together have SHARE of the votes; all their lines are content, short ones as well. Otherwise the content
-region is the deepest element with NEARLY all votes, so that sections side by side stay together, and the lines above
-the threshold in it are content.
+elements around them. The outermost article and main elements that lines above the threshold lie in are content, with all
+their lines, short ones as well. Otherwise the content region is the deepest element with NEARLY all votes, so that
+sections side by side stay together. In it the lines above the threshold are content, and what stands between the first and
+the last of them: short lines, list items and headings, but for lines that are mostly links. Headings right before
+the first belong to it as well.
 
 Results by case: a null or empty page has an empty text; broken markup, missing end tags and cut-off
-references are read as browsers do; text of any length is kept whole; other columns are not looked at; repeated rows
+references are read as browsers do, a tag cut off at the end is no text; text of any length is kept whole; other columns are not looked at; repeated rows
 give repeated results; an empty table an empty result.
 """
 
@@ -29,7 +30,6 @@ from tablewright.llm.buffers import named
 SIGMA = 1.0
 RADIUS = 2
 MAX_BORDER = 20.0
-SHARE = 0.6
 NEARLY = 0.95
 
 # Element names of HTML by their part in a page.
@@ -53,6 +53,15 @@ MARKS = {
     "related-articles", "related-posts", "share-bar", "share-buttons", "share-links", "side-bar", "side-nav", "site-footer", "site-nav", "site-navigation",
     "social-links", "social-share", "sub-nav", "top-nav", "widget-area",
 }
+# First and last words of hyphenated classes and ids that mark boilerplate, such as comments-section or post-sidebar.
+LEADING = {
+    "ad", "ads", "advert", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "disqus", "footer", "nav", "navbar",
+    "newsletter", "pagination", "popup", "sidebar", "sponsor", "sponsored",
+}
+TRAILING = {"ad", "ads", "breadcrumb", "breadcrumbs", "comments", "footer", "nav", "navbar", "newsletter", "pagination", "sidebar"}
+# Words that tell of an element's state or make-up instead, such as has-sidebar or comments-open.
+STATES = {"active", "closed", "disabled", "enabled", "has", "is", "no", "not", "off", "on", "open", "with", "without"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Elements that no class or id marks.
 NEVER_MARKED = {"html", "body", "main", "article"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
@@ -62,8 +71,17 @@ CLOSED_BY = {
 }
 
 
+def _marks(value: str) -> bool:
+    """True for a class or id with a name that marks boilerplate."""
+    for name in value.lower().replace("_", "-").split():
+        parts = name.split("-")
+        if name in MARKS or ((parts[0] in LEADING or parts[-1] in TRAILING) and STATES.isdisjoint(parts)):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags before, boilerplate, regions around it, marks around it) of each block of text."""
+    """Collects (text, tags before, boilerplate, regions around it, marks around it, mostly links, heading) of each block of text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -75,13 +93,16 @@ class _Lines(HTMLParser):
         self.marked = 0
         self.text: list[str] = []
         self.tags = 0
+        self.links = self.linked = 0  # open links; signs of the block inside links
 
     def _break(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.lines.append((text, self.tags, bool(self.open) and self.open[-1][2], self.inside.copy(), self.open[-1][4] if self.open else ()))
+            heading = any(x[0] in HEADINGS for x in self.open)
+            self.lines.append((text, self.tags, bool(self.open) and self.open[-1][2], self.inside.copy(), self.open[-1][4] if self.open else (), 2 * self.linked > len(text), heading))
             self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -108,7 +129,7 @@ class _Lines(HTMLParser):
             if not value:
                 continue
             if name in ("class", "id"):
-                marked = marked or (tag not in NEVER_MARKED and not MARKS.isdisjoint(value.lower().replace("_", "-").split()))
+                marked = marked or (tag not in NEVER_MARKED and _marks(value))
             elif not plate and (
                 (name == "role" and value.lower() in ROLES and not (tag == "form" and value.lower() == "form"))
                 or name == "hidden"
@@ -121,6 +142,7 @@ class _Lines(HTMLParser):
             marks = (*marks, self.marked)
             self.marked += 1
         self.open.append((tag, silent, plate, container, marks))
+        self.links += tag == "a"
         if tag in REGIONS:
             self.inside.append(len(self.regions))
             self.regions.append(tag)
@@ -128,6 +150,7 @@ class _Lines(HTMLParser):
     def _drop(self, start: int) -> None:
         """Close the elements from this depth on."""
         gone = sum(x[0] in REGIONS for x in self.open[start:])
+        self.links -= sum(x[0] == "a" for x in self.open[start:])
         del self.open[start:]
         if gone:
             del self.inside[-gone:]
@@ -152,13 +175,18 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.open and self.open[-1][1]):
             self.text.append(data)
+            if self.links:
+                self.linked += len(data)
 
     def finish(self) -> list[tuple[str, int, bool, list[int]]]:
         """The lines; boilerplate are also those below a form or mark that is not void."""
+        # What html.parser makes of a tag cut off at the end depends on its release.
+        if self.rawdata.startswith("<") and (self.rawdata[1:2].isalpha() or self.rawdata[1:2] in ("/", "!", "?")):
+            self.rawdata = ""
         self.close()
         self._break()
         void = _void(self.lines, self.regions)
-        return [(text, tags, plate or not void.issuperset(marks), around) for text, tags, plate, around, marks in self.lines]
+        return [(text, tags, plate or not void.issuperset(marks), around, *more) for text, tags, plate, around, marks, *more in self.lines]
 
 
 def _void(lines: list[tuple[str, int, bool, list[int], tuple[int, ...]]], names: list[str]) -> set[int]:
@@ -167,7 +195,7 @@ def _void(lines: list[tuple[str, int, bool, list[int], tuple[int, ...]]], names:
     These are elements around a main or an article, as long as no other text of a main or of an article is free of
     them (comments below an article can be articles too); on a page with neither, elements around NEARLY all text. The outer ones are released first.
     """
-    soft = [(len(text), around, marks) for text, _, plate, around, marks in lines if not plate]
+    soft = [(len(text), around, marks) for text, _, plate, around, marks, *_ in lines if not plate]
     void: set[int] = set()
     if not any(marks for _, _, marks in soft):
         return void
@@ -221,28 +249,37 @@ def main_text(html: str) -> str:
     lines = [x for x in parser.finish() if not x[2]]
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
-    high = (ratio >= border(ratio)).tolist()
+    ratio = smoothed(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
+    edge = border(ratio)
+    high = (ratio >= edge).tolist()
     regions, whole = _regions(lines, high, parser.regions)
-    return " ".join(text for (text, _, _, around), up in zip(lines, high, strict=True) if (regions is None or not regions.isdisjoint(around)) and (whole or up))
+    inside = [(x, up) for x, up in zip(lines, high, strict=True) if regions is None or not regions.isdisjoint(x[3])]
+    if whole:
+        return " ".join(x[0] for x, _ in inside)
+    ups = [i for i, (_, up) in enumerate(inside) if up]
+    if not ups:
+        return ""
+    first, last = ups[0], ups[-1]
+    while first and inside[first - 1][0][5]:
+        first -= 1
+    return " ".join(x[0] for x, _ in inside[first : last + 1] if not x[4] or len(x[0]) >= edge * max(1, x[1]))
 
 
-def _regions(lines: list[tuple[str, int, bool, list[int]]], high: list[bool], names: list[str]) -> tuple[set[int] | None, bool]:
+def _regions(lines: list[tuple], high: list[bool], names: list[str]) -> tuple[set[int] | None, bool]:
     """The numbers of the content regions, None for the page, and whether all their lines are content."""
     votes: dict[int, int] = {}
-    total = held = 0
+    total = 0
     depth: dict[int, int] = {}
     outermost = set()
-    for text, _, _, around in (x for x, up in zip(lines, high, strict=True) if up):
+    for text, _, _, around, *_ in (x for x, up in zip(lines, high, strict=True) if up):
         total += len(text)
         for i, region in enumerate(around):
             votes[region] = votes.get(region, 0) + len(text)
             depth[region] = i
         container = next((r for r in around if names[r] in CONTAINERS), None)
         if container is not None:
-            held += len(text)
             outermost.add(container)
-    if outermost and held >= SHARE * total:
+    if outermost:
         return outermost, True
     ample = [r for r, n in votes.items() if n >= NEARLY * total]
     return ({max(ample, key=lambda r: (depth[r], r))} if ample else None), False
