@@ -213,3 +213,72 @@ def test_licenses_of_real_headers(spark):
     frame = spark.createDataFrame([(p, t) for p, t, _ in cases], "path string, text string")
     got = {r.path: r.license for r in licenses.scan(frame, "path", "text").collect()}
     assert got == {p: n for p, _, n in cases}
+
+
+LONG = "This sentence stands in the text of the page and is long enough to count as prose. " * 2
+
+
+@pytest.mark.parametrize(
+    "mark",
+    ['class="comments-section"', 'id="disqus_thread"', 'class="comments-area-wrap"', 'class="ad-unit"', 'class="sidebar-right"', 'class="cookie-message"', 'class="left-sidebar"', 'id="page_footer"'],
+)
+def test_marks_have_other_words_around_them(mark):
+    noise = f"<div {mark}><p>{LONG}noise</p></div>"
+    assert "noise" not in main_text(f"<article><p>{LONG}a</p>{noise}<p>{LONG}b</p></article>{noise * 3}")
+    assert "noise" not in main_text(f"<div id=content><p>{LONG}a</p><p>{LONG}b</p></div>{noise}")
+
+
+@pytest.mark.parametrize("mark", ["has-sidebar", "menu-open", "with-sidebar", "comments-open", "no-comments", "admin", "notes", "advice-column"])
+def test_states_and_other_words_mark_nothing(mark):
+    assert main_text(f"<div class='{mark}'><p>{LONG}a</p></div><div><p>{LONG}b</p></div>").split()[-1] == "b"
+
+
+def test_short_lines_of_the_content_stay():
+    items = "".join(f"<li>item {i}</li>" for i in range(8))
+    page = f"<body><div><p>{LONG}</p><ul>{items}</ul><p>Yes.</p><p>Why?</p><p>{LONG}end</p></div></body>"
+    text = main_text(page)
+    assert all(f"item {i}" in text for i in range(8)) and "Yes. Why?" in text and text.endswith("end")
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(8))
+    assert "link" not in main_text(f"<body><div><h2>Head</h2><p>{LONG}</p><ul>{links}</ul><p>{LONG}end</p></div><ul>{links}</ul></body>")
+    assert main_text(f"<body><div><h2>Head</h2><p>{LONG}</p></div></body>").startswith("Head This")
+
+
+def test_long_comments_don_t_hide_the_article():
+    page = f"<article><p>{LONG}article</p></article><div class=x>" + f"<p>{LONG}remark</p>" * 5 + "</div>"
+    assert "article" in main_text(page) and "remark" not in main_text(page)
+
+
+def test_mask_is_linear_and_right(spark):
+    texts = ["", None, "a@b.co", "x" * 1023 + " a@b.co " + "y" * 3000 + " 1.2.3.4", "é🙂 a@b.co 日本 +44 20 7946 0000" * 50, "a@1.2.3.4.5 1.2.3.4"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in personal_data.mask(frame).collect()}
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",")] if r.spans else [] for r in personal_data.find(frame).collect()}
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for kind, a, b in spans[i]:
+            if int(a) >= at:
+                out += text[at : int(a)] + f"[{kind.upper()}]"
+            at = max(at, int(b))
+        assert masked[i] == (None if text is None else out + text[at:])
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        many = spark.createDataFrame([(1, "mail a@b.co now " * n)], "doc_id long, text string")
+        start = time.time()
+        assert personal_data.mask(many).head().text.count("[EMAIL]") == n
+        took.append(time.time() - start)
+    assert took[1] < 12 * max(took[0], 1)
+
+
+def test_operators_keep_to_the_rules():
+    from pathlib import Path
+
+    for path in Path(personal_data.__file__).parent.rglob("*.py"):
+        text = path.read_text(encoding="utf-8")
+        for word in ("localCheckpoint", "toPandas", "crossJoin", ".rdd", "mapPartitions"):
+            assert word not in text, f"{word} in {path.name}"
+    for name in ("quality.py", "personal_data.py"):
+        text = Path(personal_data.__file__).with_name(name).read_text(encoding="utf-8")
+        for word in ("pandas", "pyarrow", "InArrow", "InPandas", "udf"):
+            assert word not in text, f"{word} in {name}"
