@@ -13,7 +13,7 @@ from tablewright.llm import personal_data, toxicity
 from tablewright.llm.line_duplicates import dedup_lines
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack
-from tablewright.llm.store import Stored
+from tablewright.llm.store import Stored, kept_tables, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,9 +67,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written and read again."""
-    stored = Stored(spark)
+    """All stages over the documents of sf_dir, each written and read again.
+
+    What a stage has kept on the way, and its input, is deleted once its output is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES:
-        docs = stored.keep(stage(spark, docs, sf_dir), name)
+        others = kept_tables(spark)
+        output = Stored(spark)
+        docs = output.keep(stage(spark, docs, sf_dir), name)
+        release(spark, {*(path for path in others if path not in before), *output.paths})
+        before = output.paths
     return docs

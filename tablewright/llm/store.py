@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.sources.scratch import checkpointed, scratch_path
@@ -11,7 +13,8 @@ class Stored:
     """Tables written as Parquet below spark.checkpoint.dir, dropped when no longer needed.
 
     A written table cuts the lineage: a lost executor costs only the tasks that it ran. keep() gives
-    the table as read back; drop() deletes its files once everything made from it is written too.
+    the table as read back; drop() deletes its files once everything made from it is written too. Tables that an
+    operator's lazy result reads can't be dropped by the operator: release() deletes them when the result is written.
     """
 
     def __init__(self, spark: SparkSession):
@@ -22,16 +25,41 @@ class Stored:
         path = scratch_path(self.spark, stem)
         df.write.parquet(path)
         self.paths.append(path)
+        _written.setdefault(self.spark.sparkContext.applicationId, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+        _delete(self.spark, self.paths)
         self.paths = []
 
 
+# Paths that keep() has written and nothing has deleted yet, by application.
+_written: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, paths: Collection[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    left = _written.get(spark.sparkContext.applicationId, [])
+    for path in list(paths):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        if path in left:
+            left.remove(path)
+
+
+def kept_tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that operators of this application have kept and nothing has deleted yet."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, but: Collection[str] = ()) -> None:
+    """Delete all tables that operators of this application have kept for their results, except some.
+
+    Call it when the results are written; results that are still lazy can't be computed afterwards.
+    """
+    _delete(spark, [path for path in kept_tables(spark) if path not in but])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); component: the smallest node reachable.
 

@@ -12,11 +12,12 @@ from tablewright.llm.line_duplicates import dedup_lines
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.packing import pack
 from tablewright.llm.queries import QUERIES
+from tablewright.llm.store import kept_tables, release
 
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(QUERIES) <= set(names)
 
 
@@ -45,3 +46,11 @@ def test_stages(spark, tiny, tmp_path):
     assert after.where("n_chars != length(text)").isEmpty()
     before, after = kept["packing"]
     assert after.count() == pack(before, public_tokenizers.path("byte_bpe_50k.json")).count()
+
+
+def test_run_leaves_only_its_result(spark, tiny):
+    before = set(kept_tables(spark))
+    out = corpus_pipeline.run(spark, tiny)
+    assert out.count() > 0 and len(set(kept_tables(spark)) - before) == 1
+    release(spark, before)
+    assert set(kept_tables(spark)) == before

@@ -77,7 +77,6 @@ def test_encode_and_decode(spark, reference):
 def check_pieces(rows, texts):
     """Every id of every row in exactly one piece, gapless sequences of at most 2048; gives the share of padding."""
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
