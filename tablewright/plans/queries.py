@@ -628,7 +628,7 @@ def frequent_items(spark, sf_dir):
         .groupBy("user_id", F.to_date("ts").alias("day"))
         .agg(F.collect_set("event_type").alias("items"))
     )
-    found = mining.frequent_itemsets(baskets, "items", min_support=0.05, num_partitions=8)
+    found = mining.frequent_itemsets(baskets, "items", min_support=0.05)
     return found.select(F.array_join("items", ",").alias("items"), "freq")
 
 
