@@ -17,7 +17,9 @@ def frequent_itemsets(
     """
     name = resolve(df, items)
     baskets = df.select(F.array_distinct(quoted(name)).alias("items")).where("items is not null")
-    growth = FPGrowth(itemsCol="items", minSupport=min_support, numPartitions=num_partitions)
+    growth = FPGrowth(itemsCol="items", minSupport=min_support)
+    if num_partitions is not None:
+        growth.setNumPartitions(num_partitions)
     found = growth.fit(baskets).freqItemsets
     return found.select(F.array_sort("items").alias("items"), "freq")
 

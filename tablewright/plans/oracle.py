@@ -203,7 +203,7 @@ def _report_rows() -> str:
     words = {("model", "kind"): "lr", ("model", "label"): "noisy", ("model", "feature[0]"): "above_middle", ("parameter", "family"): "auto",
              ("parameter", "fitIntercept"): "true", ("parameter", "standardization"): "true"}
     numbers = {("parameter", "aggregationDepth"): 2, ("parameter", "maxBlockSizeInMB"): 0, ("parameter", "elasticNetParam"): 0.5, ("parameter", "maxIter"): 20,
-               ("parameter", "regParam"): 0, ("parameter", "threshold"): 0.4, ("parameter", "tol"): 1e-6}
+               ("parameter", "regParam"): 0, ("parameter", "threshold"): 0.5, ("parameter", "tol"): 1e-6}
     rows = [f"SELECT '{s}' AS section, '{t}' AS term, '{w}' AS word, CAST(NULL AS DOUBLE) AS number" for (s, t), w in words.items()]
     rows += [f"SELECT '{s}', '{t}', NULL, CAST({n} AS DOUBLE)" for (s, t), n in numbers.items()]
     metrics = _curve(NOISY, IS_BIG, IS_BIG, "l_orderkey % 2 = 1")
@@ -351,8 +351,8 @@ ORACLE: dict[str, str] = {
         SELECT l_orderkey, l_linenumber, l_partkey, CAST(coalesce(i, (SELECT count(*) FROM k)) AS DOUBLE) AS part_index
         FROM lineitem LEFT JOIN k USING (l_partkey)""",
     "scaled_and_saved": """
-        SELECT l_orderkey, l_partkey, round((l_quantity - q) / qs, 3) AS quantity, round((l_extendedprice - p) / ps, 3) AS price
-        FROM lineitem, (SELECT avg(l_quantity) AS q, stddev_samp(l_quantity) AS qs, avg(l_extendedprice) AS p, stddev_samp(l_extendedprice) AS ps
+        SELECT l_orderkey, l_partkey, round((l_quantity - q) / qs, 5) AS quantity, round((l_tax - p) / ps, 5) AS tax
+        FROM lineitem, (SELECT avg(l_quantity) AS q, stddev_samp(l_quantity) AS qs, avg(l_tax) AS p, stddev_samp(l_tax) AS ps
                         FROM lineitem WHERE l_orderkey % 3 = 0)""",
     "one_hot": "SELECT l_orderkey, l_partkey, "
     + ", ".join(f"CAST(l_linenumber = {i} AS DOUBLE) AS a{i}" for i in range(7))

@@ -414,10 +414,10 @@ def string_index_fitted(spark, sf_dir):
 
 def scaled_and_saved(spark, sf_dir):
     """A scaling learned from early orders, saved, loaded and applied to all line items."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-    fitted = features.fit_standard_scale(items.where("l_orderkey % 3 = 0"), ["l_quantity", "l_extendedprice"], "v", with_mean=True)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_tax")
+    fitted = features.fit_standard_scale(items.where("l_orderkey % 3 = 0"), ["l_quantity", "l_tax"], "v", with_mean=True)
     scaled = features.load_feature(spark, fitted.save(scratch_path(spark, "scale"))).transform(items)
-    return scaled.select("l_orderkey", "l_partkey", _element("v", 0, "quantity", 3), _element("v", 1, "price", 3))
+    return scaled.select("l_orderkey", "l_partkey", _element("v", 0, "quantity", 5), _element("v", 1, "tax", 5))
 
 
 def one_hot(spark, sf_dir):
@@ -608,7 +608,7 @@ def model_inspect(spark, sf_dir):
 def model_parameters(spark, sf_dir):
     """A saved model's columns and training parameters, and its metrics on a table that it hasn't seen."""
     items = _big(spark, sf_dir)
-    trained = training.train_lr(items.where("l_orderkey % 2 = 0"), "noisy", ["above_middle"], iterations=20, elastic_net_param=0.5, threshold=0.4)
+    trained = training.train_lr(items.where("l_orderkey % 2 = 0"), "noisy", ["above_middle"], iterations=20, elastic_net_param=0.5, threshold=0.5)
     report = scoring.model_report(_reloaded(spark, trained), items.where("l_orderkey % 2 = 1"), "noisy")
     number = F.col("value").try_cast("double")
     return report.select("section", "term", F.when(number.isNull(), F.col("value")).alias("word"), F.round(number, 8).alias("number"))
