@@ -17,6 +17,7 @@ training; repeated labels of one id count once, as toxic if any is; empty tables
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,26 +169,32 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(words, pa.string())], names=["id", "toxic", "word"])
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, penalty: float, steps: int = 40) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss, by Newton steps over the support vectors."""
-    x1 = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    ridge = np.full(x1.shape[1], penalty)
+def _squared_hinge(x: np.ndarray, at: np.ndarray, y: np.ndarray, c: np.ndarray, penalty: float, steps: int = 40) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss, by Newton steps over the support vectors.
+
+    It learns from the rows `at` of x, which are gathered a few at a time: x is the only large array.
+    """
+    width = x.shape[1]
+    ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-6 * penalty
 
+    def gaps(w: np.ndarray) -> np.ndarray:
+        return 1 - y * ((x @ w[:-1].astype(x.dtype)).astype(np.float64)[at] + w[-1])
+
     def loss(w: np.ndarray) -> float:
-        return float((ridge * w * w).sum() + (c * np.maximum(0, 1 - y * (x1 @ w)) ** 2).sum())
+        return float((ridge * w * w).sum() + (c * np.maximum(0, gaps(w)) ** 2).sum())
 
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(width + 1)
     for _ in range(steps):
-        gap = 1 - y * (x1 @ w)
-        use = gap > 0
+        gap = gaps(w)
         slope, curve = ridge * w, np.diag(ridge)
-        rows = np.flatnonzero(use)
-        for a in range(0, len(rows), 4096):
-            at = rows[a : a + 4096]
-            some = x1[at].astype(np.float64)
-            slope = slope - some.T @ (c[at] * y[at] * gap[at])
-            curve = curve + (some * c[at, None]).T @ some
+        rows = np.flatnonzero(gap > 0)
+        for a in range(0, len(rows), 2048):
+            some = np.ones((len(rows[a : a + 2048]), width + 1))
+            some[:, :-1] = x[at[rows[a : a + 2048]]]
+            pull = c[rows[a : a + 2048]]
+            slope = slope - some.T @ (pull * y[rows[a : a + 2048]] * gap[rows[a : a + 2048]])
+            curve = curve + (some * pull[:, None]).T @ some
         move = np.linalg.solve(curve, slope)
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w - size * move) > now:
@@ -247,9 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep))], names=["word"])
 
     close = stats.select("word").mapInArrow(near, "word string")
-    rows = words.join(close, "word").groupBy("id", "toxic").agg(F.collect_set("word").alias("words")).collect()  # of the sample
+    bags: dict[int, tuple[int, list[str]]] = {}
+    for r in words.join(close, "word").select("id", "toxic", "word").distinct().orderBy("id").toLocalIterator():  # of the sample
+        bags.setdefault(r["id"], (r["toxic"], []))[1].append(sys.intern(r["word"]))
     stored.drop()
-    return _train(landmarks, [(r["toxic"], r["words"]) for r in rows], totals)
+    return _train(landmarks, list(bags.values()), totals)
 
 
 def _border(value: np.ndarray, toxic: np.ndarray) -> float:
@@ -293,20 +302,23 @@ def _train(landmarks: list[str], bags: list[tuple[int, list[str]]], totals: dict
             gram = kernel(landmarks, landmarks).astype(float)
             value, vector = np.linalg.eigh((gram + gram.T) / 2)
             root = vector / np.sqrt(np.maximum(value, RIDGE)) @ vector.T
-            x = kernel(vocabulary, landmarks) @ root.astype(np.float32)
-            more = kernel([w for w, _ in inserted], landmarks) @ root.astype(np.float32)
+            # the vocabulary, the inserted proofs, and a word unlike all landmarks
+            x = np.zeros((len(vocabulary) + len(inserted) + 1, len(landmarks)), dtype=np.float32)
+            everything = vocabulary + [w for w, _ in inserted]
+            for a in range(0, len(everything), 8192):
+                x[a : a + len(everything[a : a + 8192])] = kernel(everything[a : a + 8192], landmarks) @ root.astype(np.float32)
         # of each toxic document the worst word, and all that tell toxic from clean documents by themselves
         witness = np.concatenate([own[certain[own] | (current[own] == current[own].max())] for own in bad])
         proof, times = np.unique(witness, return_counts=True)
         # a proof that clean documents share is none
         fair = LIFT * good_count[proof] / totals[0] < bad_count[proof] / totals[1]
         proof, times = proof[fair], times[fair]
-        data = np.vstack([x[proof], more, x[negative], np.zeros((1, x.shape[1]), dtype=x.dtype)])  # the last: a word unlike all landmarks
-        y = np.concatenate([np.ones(len(proof) + len(more)), -np.ones(len(negative) + 1)])
+        rows = np.concatenate([proof, len(vocabulary) + np.arange(len(inserted)), negative, [len(x) - 1]]).astype(np.int64)
+        y = np.concatenate([np.ones(len(proof) + len(inserted)), -np.ones(len(negative) + 1)])
         c = np.concatenate([times, [n for _, n in inserted], good_count[negative], [totals[0]]])
         c[y > 0] *= c[y < 0].sum() / max(1e-9, c[y > 0].sum())
-        w, offset = _squared_hinge(data, y, c, PENALTY * c.sum())
-        current = x @ w + offset
+        w, offset = _squared_hinge(x, rows, y, c, PENALTY * c.sum())
+        current = (x @ w.astype(np.float32))[: len(vocabulary)].astype(float) + offset
     part, feature, weight, owner = subsequences(landmarks)
     linear = np.bincount(feature, weight * (root @ w)[owner[part]], minlength=CODES**3)
     highest = np.array([max(0.0, (current[[at[v] for v in words]] - offset).max()) if words else 0.0 for _, words in bags])
