@@ -145,7 +145,8 @@ def _sampled(keys: DataFrame, names: Sequence[str], search: _Search, size: int)
 
 
 def _counted(keys: DataFrame, names: Sequence[str], pivots: Sequence[tuple]) -> list[Place]:
-    counts = keys.agg(*[F.count_if(_key(keys, names) < _bound(keys, names, pivot)).alias(f"n{i}") for i, pivot in enumerate(pivots)]).head()
+    below = [F.count_if(F.col("key") < _bound(keys, names, pivot)).alias(f"n{i}") for i, pivot in enumerate(pivots)]
+    counts = keys.select(_key(keys, names).alias("key")).agg(*below).head()
     return [Place(pivot, counts[i]) for i, pivot in enumerate(pivots)]
 
 
