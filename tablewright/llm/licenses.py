@@ -64,6 +64,7 @@ _MIT_END = (
 _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
 _APACHE_END = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 _GENERAL, _LESSER, _AFFERO = "General Public License", "Lesser General Public License", "Affero General Public License"
+EITHER = "Apache-2.0 OR MIT"
 # Standard file headers and short licences.
 HEADERS = [
     *[(n, _GNU.format(k, v)) for n, k, v in (("GPL-2.0", _GENERAL, "2"), ("GPL-3.0", _GENERAL, "3"), ("LGPL-2.1", _LESSER, "2.1"), ("LGPL-3.0", _LESSER, "3"), ("AGPL-3.0", _AFFERO, "3"))],
@@ -75,6 +76,11 @@ HEADERS = [
     ("BSD-2-Clause", _BSD), ("BSD-3-Clause", _BSD + _BSD_3),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("MIT", "Licensed under the MIT license. See LICENSE file in the project root for full license information."), ("MIT", "Distributed under the MIT license."),
+    ("BSD-3-Clause", "Distributed under the BSD license."), ("BSD-3-Clause", "Licensed under the BSD license."),
+    *[(n, f"Licensed under {x}") for n, x in (("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"), ("LGPL-2.1", "LGPLv2.1"), ("LGPL-3.0", "LGPLv3"), ("AGPL-3.0", "AGPLv3"))],
+    (EITHER, "SPDX-License-Identifier: MIT OR Apache-2.0"), (EITHER, "SPDX-License-Identifier: Apache-2.0 OR MIT"),
+    (EITHER, "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
@@ -85,12 +91,14 @@ SPDX = [(n, f"{n}-{x}") for n in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1",
 def templates() -> list[tuple[str, str]]:
     """(name, text) of every template."""
     whole = [(x.stem, x.read_text(encoding="utf-8")) for x in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
-    names = sorted({*TEMPLATES, *(n for n, _ in HEADERS)})
+    names = sorted({*TEMPLATES, *(n for n, _ in HEADERS)} - {EITHER})
     spdx = [(n, f"SPDX-License-Identifier: {x}") for n, x in [*((n, n) for n in names), *SPDX]]
     return [*TEMPLATES.items(), *HEADERS, *spdx, *whole]
 
 
 HEADER_WORDS = r"(?i)licen[sc]e|copyright|public\x20domain|spdx|redistribution"
+# A text is a licence file by itself if its header blocks hold this share of it.
+MOSTLY = 0.5
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)(?:[.-][^/]*)?$"
 
 
@@ -115,6 +123,12 @@ def _blocks(lines: Column) -> Column:
     return F.filter(runs, lambda x: x.rlike(HEADER_WORDS))
 
 
+def mostly_license(text: Column) -> Column:
+    """True where header lines and what stands next to them make up most of a text; null and texts without such lines are none."""
+    held = F.aggregate(_blocks(F.split(text, "\n")), F.lit(0), lambda n, x: n + F.length(x))
+    return F.coalesce(F.when(text.rlike(HEADER_WORDS), held >= MOSTLY * F.length(text)), F.lit(False))
+
+
 def _vectors(counted: DataFrame, frequency: DataFrame, total: Column) -> DataFrame:
     """Unit TF-IDF rows (line, term, weight)."""
     weight = F.col("tf") * (F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1)
@@ -142,7 +156,9 @@ def scan(df: DataFrame, path: str, text: str, threshold: float = THRESHOLD) -> D
     is_file = F.coalesce(place.rlike(LICENCE_FILE), F.lit(False))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     every = F.split(whole, "\n")
+    # most texts have no such word at all and are looked through once
     lines = F.concat(F.filter(every, lambda x: x.rlike(HEADER_WORDS)), _blocks(every))
+    lines = F.when(whole.rlike(HEADER_WORDS), lines).otherwise(F.array().cast("array<string>"))
     heads = F.array_distinct(F.transform(F.when(is_file, F.concat(lines, F.array(whole))).otherwise(lines), lambda x: F.trim(x)))
     rows = df.withColumn("__path", place).withColumn("__heads", F.filter(heads, lambda x: x != "")).withColumn("__file", is_file).drop(text)
     rows = stored.keep(rows.withColumn("__row", F.xxhash64("__path", "__heads")), "heads")

@@ -51,10 +51,9 @@ def op5_main_text(spark, sf_dir):
 
 
 def op6_licenses(spark, sf_dir):
-    """Documents as files of a tree source/lang; a text with a license line is the licence file of its folder."""
+    """Documents as files of a tree source/lang; a text that is mostly license lines is the licence file of its folder."""
     docs = _table(spark, sf_dir, "documents")
-    named = F.col("text").rlike(licenses.HEADER_WORDS)
-    file = F.concat(F.when(named, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    file = F.concat(F.when(licenses.mostly_license(F.col("text")), F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
     tree = docs.select("doc_id", F.concat_ws("/", "source", "lang", file).alias("path"), "text")
     return licenses.scan(tree, "path", "text")
 

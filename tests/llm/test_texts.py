@@ -208,6 +208,8 @@ def test_licenses_of_real_headers(spark):
         ("a.py", "# SPDX-License-Identifier: MIT\ncode", "MIT"), ("b.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("c.lua", "-- SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
         ("d.py", gnu.format("Frob", "", 2), "GPL-2.0"), ("e.py", gnu.format("Frob", "", 3), "GPL-3.0"), ("f.py", gnu.format("Frob", "Lesser ", 3), "LGPL-3.0"), ("g.py", gnu.format("Frob", "Affero ", 3), "AGPL-3.0"),
         *[(f"{n}/LICENSE", "Copyright 2020 Someone\n\n" + t, n) for n, t in whole.items()],
+        ("j.ts", "// Licensed under the MIT license. See LICENSE file in the project root for full license information.", "MIT"), ("k.py", "# Distributed under the BSD license.", "BSD-3-Clause"),
+        ("l.py", "# Licensed under GPLv3", "GPL-3.0"), ("m.rs", "// SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0 OR MIT"), ("n.rs", "// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
         ("h.py", "# SPDX-License-Identifier: Own-Terms", None), ("i.py", "prose about a license fee\nin the city", None),
     ]
     frame = spark.createDataFrame([(p, t) for p, t, _ in cases], "path string, text string")
@@ -215,6 +217,41 @@ def test_licenses_of_real_headers(spark):
     assert got == {p: n for p, _, n in cases}
 
 
+def test_cosines_equal_brute_force(spark):
+    """Every header's best cosine, against vectors written out in numpy."""
+    import math
+    from collections import Counter
+
+    lines = ["# Released under the MIT License today.", "Copyright license of nobody", "Licensed under CC BY 4.0", "GNU General Public License, version 3", "license"]
+    frame = spark.createDataFrame([(f"{i}.py", x) for i, x in enumerate(lines)], "path string, text string")
+    got = {r.path: (r.license, r.cosine) for r in licenses.scan(frame, "path", "text", threshold=0.2).collect()}
+
+    def terms(text):
+        words = [w for w in re.split(r"[^a-z0-9.+-]+|[.](?=\W|$)", text.lower()) if re.search("[a-z0-9]", w)]
+        return Counter([*words, *map(" ".join, zip(words, words[1:]))])
+
+    own = [terms(x) for x in lines]
+    known = [(n, terms(t)) for n, t in licenses.templates()]
+    df = Counter(t for c in [*own, *(c for _, c in known)] for t in c)
+    total = len(own) + len(known)
+
+    def unit(c):
+        v = {t: n * (math.log((1 + total) / (1 + df[t])) + 1) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    for i, c in enumerate(own):
+        mine = unit(c)
+        best = max(((sum(w * mine.get(t, 0) for t, w in unit(k).items()), n) for n, k in known), key=lambda x: (round(x[0], 9), [-ord(y) for y in x[1]]))
+        assert got[f"{i}.py"] == ((best[1], pytest.approx(best[0], abs=2e-6)) if best[0] >= 0.2 else (None, None))
+
+
+def test_texts_that_are_mostly_license(spark):
+    texts = ["Licensed under the MIT License.", "prose\n" * 50 + "Licensed under the MIT License.", None, "", "no words", "Copyright me\nMIT License\nThe end"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", licenses.mostly_license(F.col("text")).alias("yes"))
+    assert [r.yes for r in frame.orderBy("i").collect()] == [True, False, False, False, False, True]
+
+
 LONG = "This sentence stands in the text of the page and is long enough to count as prose. " * 2
 
 
