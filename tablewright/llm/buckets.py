@@ -1,48 +1,70 @@
-"""From buckets of possible duplicates to components of confirmed ones, without all pairs of a bucket."""
+"""From buckets of possible duplicates to components of confirmed ones, without pairs as rows.
+
+A bucket's key carries, in its lowest bits, the place in the signature that made it (placed()), so that
+of several buckets that two members share one is the first.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.llm.buffers import named, slices, utf8
+from tablewright.llm.hashing import shared
 from tablewright.llm.store import Stored, components
 
 # Rounds in which each bucket has one pivot that its other members are held against.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+# Members and bytes of text in a block of a bucket; a task compares two blocks at once.
+BLOCK, BLOCK_BYTES = 2048, 1 << 23
+# Bits of the bitmaps that bound an intersection from above, for each shingle and at most.
+BITS, MAX_BITS = 8, 1 << 13
+PLACES = 64
+
+Sets = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
+Keys = Callable[[list[bytes]], np.ndarray]
+
 
-Confirm = Callable[[DataFrame], DataFrame]
+def placed(keys: np.ndarray) -> np.ndarray:
+    """Keys (rows x places) with their place in the lowest bits, as signed numbers."""
+    return (keys & ~np.uint64(PLACES - 1) | np.arange(keys.shape[1], dtype=np.uint64)).view(np.int64)
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
-    """Of entries (key, id, n), those whose key more than one id has."""
+    """Of entries (key, id, n), those whose key more than one id has; of buckets with the same members the first."""
     entries = entries.repartition("key")
-    ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("key")
-    return entries.join(ends, "key")
+    hashed = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")) for i in range(2)]
+    ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), hashed[0].alias("h0"), hashed[1].alias("h1")).where("lo != hi")
+    first = ends.groupBy("lo", "hi", "h0", "h1").agg(F.min_by("key", F.col("key").bitwiseAND(PLACES - 1)).alias("key")).select("key")
+    return entries.join(first, "key")
 
 
-def resolve(stored: Stored, buckets: DataFrame, percent: int, confirm: Confirm) -> DataFrame:
-    """(node, component) of the members of buckets (key, id, n) that confirmed links join.
+def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame, sets: Sets, keys: Keys) -> DataFrame:
+    """(node, component) of the members of buckets (key, id, n) that links join.
 
-    n is the size of a member's set; sizes too far apart for `percent` are never paired. confirm() keeps the
-    true links of pairs (a, b). In each of a few rounds a member meets one pivot of its buckets; links found make
-    components, and buckets of a single component are done. In the end members of different components that
-    still share a bucket are paired, so that every pair in a bucket has been confirmed, refused or made
-    superfluous by a component that holds both. A group of loose copies, near enough to share buckets but not to be
-    linked, costs as many pairs as it has there.
+    members: (id, text, sig) of every id in a bucket. sets() makes the shingle sets of texts, keys() the bucket keys of
+    signatures in the order of their places. n is the size of a member's set, or the same for all; sizes too far apart
+    for `percent` are never paired.
+
+    In each of two rounds a member meets one pivot of its buckets; links found make components, and buckets of a
+    single component are done. What is left is dealt into blocks, and pairs of blocks into tasks. A task compares
+    members of different components on their full sets, a pair only in the first bucket that it shares; a pair is
+    passed over if even an upper bound of its intersection, from bitmaps, is too small. Tasks return links that span what they
+    have found, so that nothing grows with the pairs but the comparing itself.
     """
     fit = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-    links: list[DataFrame] = []
-    tried: list[DataFrame] = []
+    found: list[DataFrame] = []
     labels: DataFrame | None = None
 
-    def follow(pairs: DataFrame) -> None:
-        nonlocal labels
-        links.append(stored.keep(confirm(pairs).distinct(), "links"))
-        every = links[0]
-        for more in links[1:]:
+    def follow(links: DataFrame) -> DataFrame:
+        found.append(stored.keep(links, "links"))
+        every = found[0]
+        for more in found[1:]:
             every = every.unionByName(more)
-        labels = stored.keep(components(every), "components")
+        return stored.keep(components(every), "components")
 
     def undecided() -> DataFrame:
         if labels is None:
@@ -50,8 +72,8 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, confirm: Confirm)
         own = labels.select(F.col("node").alias("id"), "component")
         with_label = buckets.join(own, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         with_label = stored.keep(with_label, "labelled")
-        keys = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        return stored.keep(with_label.join(keys, "key"), "undecided")
+        open_keys = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+        return stored.keep(with_label.join(open_keys, "key"), "undecided")
 
     for i in range(PIVOT_ROUNDS):
         now = undecided()
@@ -64,20 +86,119 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, confirm: Confirm)
         pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.pivot", "p.pivot_n", "p.pivot_label")
         met = now.join(pivots, "key").where("label != pivot_label").where(fit)
         pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        tried.append(stored.keep(pairs, "pivots"))
-        follow(tried[-1])
+        labels = follow(with_both(pairs, members, "text").mapInArrow(_confirmed(percent, sets), "a long, b long"))
     rest = undecided()
-    other = rest.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-    pairs = rest.join(other, "key").where("id < pivot and label != pivot_label").where(fit).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    for done in tried:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    pairs = stored.keep(pairs, "rest")
-    if labels is None or not pairs.isEmpty():
-        follow(pairs)
+    if labels is None or not rest.isEmpty():
+        labels = follow(_dealt(rest, members).mapInArrow(_compared(percent, sets, keys), "a long, b long").distinct())
     return labels
 
 
+def _dealt(rest: DataFrame, members: DataFrame) -> DataFrame:
+    """Entries with their texts, in the order of (key, low, high): every member with each block of its bucket."""
+    rest = rest.join(members.withColumn("bytes", F.octet_length("text")).select("id", "bytes"), "id")
+    sizes = rest.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label")
+    return dealt.join(members.select("id", "text", "sig"), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+
+
 def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Pairs (a, b) with a column of the table (id, column) for either side: column_a, column_b."""
     side = {x: table.select(F.col("id").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab"}
     return pairs.join(side["a"], "a").join(side["b"], "b")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = shared(x, y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirmed(percent: int, sets: Sets):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text_a"):
+                left, right = sets(*utf8(named(part, "text_a"))), sets(*utf8(named(part, "text_b")))
+                yes = [linked(x, y, percent) for x, y in zip(left, right, strict=True)]
+                yield pa.RecordBatch.from_arrays([named(part, "a"), named(part, "b")], names=["a", "b"]).filter(pa.array(yes))
+
+    return rows
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One bitmap (words of 64 bits) for each set of hashes: each hash sets a bit."""
+    most = max(len(s) for s in sets)
+    bits = min(MAX_BITS, max(64, 1 << (BITS * most - 1).bit_length()))
+    at = (np.concatenate(sets) >> np.uint64(20)) & np.uint64(bits - 1)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out = np.zeros((len(sets), bits), dtype=bool)
+    out[owner, at.astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def spanning(ids: np.ndarray, label: np.ndarray, block: np.ndarray, split: bool, place: int, sets: list[np.ndarray], keys: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the members of a bucket as far as links among them do.
+
+    Of members of one component no pair is looked at, of those that share an earlier bucket neither. If split, only pairs from
+    different blocks are.
+    """
+    n = np.array([len(s) for s in sets])
+    bits: np.ndarray | None = None
+    label, links = label.copy(), []
+    for i in range(len(ids) - 1):
+        near = label[i + 1 :] != label[i]
+        near &= 100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])
+        if split:
+            near &= block[i + 1 :] != block[i]
+        at = np.flatnonzero(near) + i + 1
+        if len(at) == 0:
+            continue
+        at = at[(keys[at, :place] != keys[i, :place]).all(axis=1)]
+        if len(at) > 1:
+            if bits is None:
+                bits, own = bitmaps(sets), None
+                own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            # every bit of one set that the other lacks stands for a hash the other lacks
+            both = np.bitwise_count(bits[at] & bits[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[at] - own[at] + both, n[i] - own[i] + both)
+            at = at[100 * most >= percent * (n[at] + n[i] - most)]
+        for j in at.tolist():
+            if label[j] != label[i] and linked(sets[i], sets[j], percent):
+                links.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _compared(percent: int, sets: Sets, keys: Keys):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def links_of(parts: list[tuple]) -> list[tuple[int, int]]:
+            ids, label, block, key, own = (parts[0][k] if len(parts) == 1 else np.concatenate([p[k] for p in parts]) for k in range(5))
+            bodies = [s for p in parts for s in p[5]]
+            _, place, low, high = parts[0][6]
+            return spanning(ids, label, block, low != high, place, bodies, own, percent) if len(ids) > 1 else []
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for part in slices(batch, "text"):
+                bodies = sets(*utf8(named(part, "text")))
+                own = keys(named(part, "sig").to_pylist())
+                ids, label, block, key, low, high = (named(part, c).to_numpy() for c in ("id", "label", "block", "key", "low", "high"))
+                new = (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
+                cuts = [0, *(np.flatnonzero(new) + 1).tolist(), part.num_rows]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    group = (int(key[a]), int(key[a]) & (PLACES - 1), int(low[a]), int(high[a]))
+                    if held and held[0][6] != group:
+                        out += links_of(held)
+                        held = []
+                    held.append((ids[a:b], label[a:b], block[a:b], key[a:b], own[a:b], bodies[a:b], group))
+            yield _pairs(out)
+        if held:
+            yield _pairs(links_of(held))
+
+    return rows
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])

@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.buckets import resolve, shared_buckets, with_both
+from tablewright.llm.buckets import placed, resolve, shared_buckets
 from tablewright.llm.buffers import named, slices, utf8
-from tablewright.llm.hashing import SEED, mixed, powers, shared
+from tablewright.llm.hashing import SEED, mixed, powers
 from tablewright.llm.store import Stored
 
 SHINGLE = 8  # a power of two
@@ -116,7 +116,11 @@ def band_keys(lines: Lines) -> np.ndarray:
     key = np.tile(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, 1))
     for j in range(ROWS):
         key = mixed(key ^ best[:, j::ROWS].astype(np.uint64))
-    return key
+    return placed(key)
+
+
+def _bucket_keys(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), dtype=np.int64).reshape(-1, BANDS)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +160,16 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of texts: (id, text) with the line's hash as id."""
+    """The wanted lines of texts: (id, text, sig) with the line's hash as id and its band keys as sig."""
     for batch in batches:
         for part in slices(batch, "text"):
             out = {}
             for text, wanted in zip(named(part, "text").to_pylist(), named(part, "wanted").to_pylist(), strict=True):
                 lines = text.split("\n")
                 out |= {w["line"]: lines[w["number"]] for w in wanted}
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.string())], names=["id", "text"])
+            texts = pa.array(list(out.values()), pa.string())
+            keys = band_keys(Lines(*utf8(texts)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), texts, pa.array([x.tobytes() for x in keys], pa.binary())], names=["id", "text", "sig"])
 
 
 def line_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -175,19 +181,6 @@ def line_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.unique(value[a:b]) for a, b in zip(np.searchsorted(line, np.arange(len(lines.start))), np.searchsorted(line, np.arange(len(lines.start)), side="right"), strict=True)]
 
 
-def _confirmed(percent: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a"):
-                yes = []
-                for x, y in zip(line_sets(*utf8(named(part, "text_a"))), line_sets(*utf8(named(part, "text_b"))), strict=True):
-                    both = shared(x, y)
-                    yes.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([named(part, "a"), named(part, "b")], names=["a", "b"]).filter(pa.array(yes))
-
-    return rows
-
-
 def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, gone = [], [], []
@@ -218,13 +211,10 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     members = buckets.select(F.col("id").alias("line")).distinct()
     homes = lines.join(members, "line").groupBy("line").agg(F.min(F.struct("row", "number")).alias("home"))
     wanted = homes.groupBy(F.col("home.row").alias("row")).agg(F.collect_set(F.struct("line", F.col("home.number").alias("number"))).alias("wanted"))
-    texts = docs.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(_picked, "id long, text string")
-    texts = stored.keep(texts.groupBy("id").agg(F.min("text").alias("text")), "line-texts")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return with_both(pairs, texts, "text").mapInArrow(_confirmed(percent), "a long, b long")
+    texts = docs.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(_picked, "id long, text string, sig binary")
+    texts = stored.keep(texts.groupBy("id").agg(F.min("text").alias("text"), F.min("sig").alias("sig")), "line-texts")
 
-    labels = resolve(stored, buckets, percent, confirm).withColumnRenamed("node", "line")
+    labels = resolve(stored, buckets, percent, texts, line_sets, _bucket_keys).withColumnRenamed("node", "line")
     grouped = lines.join(labels, "line", "left").withColumn("group", F.coalesce("component", "line"))
     grouped = stored.keep(grouped.select("group", "id", "row", "number"), "grouped")
     keepers = grouped.groupBy("group").agg(F.min(F.struct("id", "row", "number")).alias("kept"), F.count("*").alias("n")).where("n > 1")

@@ -8,8 +8,9 @@ pair at a similarity of exactly 0.75 meets with probability 1 - 4e-5 (a chunk ag
 with p = 0.63, ten chunks), a closer pair with more.
 
 Equal sets are one class from the start, so copies meet no bucket twice. In a bucket no pairs are
-enumerated blindly: its members are first held against one pivot per bucket, links are confirmed on the full
-sets, and only members of different components that still share a bucket are paired in the end.
+enumerated as rows: its members are first held against one pivot per bucket, links are confirmed on the full
+sets, and members of different components that still share a bucket are compared on their full sets inside
+tasks, in blocks, which return spanning links.
 
 Results by case: null, empty or blank text has no shingles and links with nothing; fewer than five words
 are one shingle; repeated rows and rows of equal id are one document; a null id is kept, with a null
@@ -24,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm.buckets import resolve, shared_buckets, with_both
+from tablewright.llm.buckets import placed, resolve, shared_buckets
 from tablewright.llm.buffers import named, slices, utf8
-from tablewright.llm.hashing import minima, mixed, shared, shingle_sets
+from tablewright.llm.hashing import minima, mixed, shingle_sets
 from tablewright.llm.store import Stored
 
 CHUNKS, CHUNK = 10, 5
@@ -54,49 +55,36 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def bucket_keys(signatures: list[bytes]) -> np.ndarray:
+    """The bucket keys (rows x places) of signatures: one for each chunk and each place of its error."""
+    chunks = np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
+    keys = []
+    for gone in range(CHUNK):
+        key = np.zeros(chunks.shape[:2], dtype=np.uint64)
+        for j in range(CHUNK):
+            if j != gone:
+                key = key << np.uint64(16) | chunks[:, :, j]
+        salt = mixed(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(gone + 1))
+        keys.append(mixed(key ^ salt))
+    return placed(np.stack(keys, axis=2).reshape(len(chunks), -1))
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, n): a bucket key for each chunk and each place of its error."""
+    """(key, id, n): a signature under each of its bucket keys."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        sig = np.frombuffer(b"".join(named(batch, "sig").to_pylist()), dtype=np.uint16)
-        chunks = sig.reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
-        keys = []
-        for gone in range(CHUNK):
-            key = np.zeros(chunks.shape[:2], dtype=np.uint64)
-            for j in range(CHUNK):
-                if j != gone:
-                    key = key << np.uint64(16) | chunks[:, :, j]
-            salt = mixed(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(gone + 1))
-            keys.append(mixed(key ^ salt))
-        keys = np.stack(keys, axis=2).reshape(len(chunks), -1)
-        for i in range(0, len(keys), 2000):
-            rows = keys[i : i + 2000]
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            keys = bucket_keys(named(part, "sig").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows.ravel().view(np.int64)),
-                    pa.array(np.repeat(named(batch, "id").to_numpy()[i : i + 2000], rows.shape[1])),
-                    pa.array(np.repeat(named(batch, "n").to_numpy()[i : i + 2000], rows.shape[1])),
+                    pa.array(keys.ravel()),
+                    pa.array(np.repeat(named(part, "id").to_numpy(), keys.shape[1])),
+                    pa.array(np.repeat(named(part, "n").to_numpy(), keys.shape[1])),
                 ],
                 names=["key", "id", "n"],
             )
 
 
-def _confirmed(percent: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a"):
-                left = shingle_sets(*utf8(named(part, "text_a")))
-                right = shingle_sets(*utf8(named(part, "text_b")))
-                yes = []
-                for x, y in zip(left, right, strict=True):
-                    both = shared(x, y)
-                    yes.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([named(part, "a"), named(part, "b")], names=["a", "b"]).filter(pa.array(yes))
-
-    return rows
-
-
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept.
 
@@ -113,12 +101,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     classes = stored.keep(classes, "classes")
 
     buckets = stored.keep(shared_buckets(classes.select("id", "n", "sig").mapInArrow(_entries, "key long, id long, n long")), "buckets")
-    texts = stored.keep(docs.join(buckets.select("id").distinct(), "id"), "texts")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return with_both(pairs, texts, "text").mapInArrow(_confirmed(percent), "a long, b long")
-
-    labels = resolve(stored, buckets, percent, confirm)
+    used = classes.select("id", "sig").join(buckets.select("id").distinct(), "id")
+    members = stored.keep(docs.join(used, "id").select("id", "text", "sig"), "texts")
+    labels = resolve(stored, buckets, percent, members, shingle_sets, bucket_keys)
     final = classes.select("h1", "h2", F.col("id").alias("node")).join(labels, "node", "left")
     final = lasting.keep(final.select("h1", "h2", F.coalesce("component", "node").alias("component")), "classes-of")
     stored.drop()
