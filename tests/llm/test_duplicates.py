@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from tablewright.llm import buckets
 from tablewright.llm.line_duplicates import dedup_lines
 from tablewright.llm.near_duplicates import near_duplicates
 from tablewright.llm.store import components
@@ -70,6 +72,31 @@ def test_near_duplicates_one_large_group(spark):
     assert got == expected(rows)
 
 
+def test_near_duplicates_in_split_blocks(spark, monkeypatch):
+    """The same answer without pivots, from buckets dealt into many small blocks."""
+    monkeypatch.setattr(buckets, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(buckets, "BLOCK", 16)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(w if (j * 7 + i) % 40 >= i % 6 else f"edit{i}x{j}" for j, w in enumerate(base))) for i in range(90)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected(rows)
+
+
+def test_bitmaps_never_rule_out_a_link():
+    random = np.random.default_rng(5)
+    pool = random.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for size in (1, 5, 60, 300):
+        sets = [np.unique(random.choice(pool, size)) for _ in range(30)]
+        keys = np.zeros((30, 1), dtype=np.int64)
+        links = buckets.spanning(np.arange(30), np.arange(30), np.zeros(30, np.int32), False, 0, sets, keys, 75)
+        union, want = Union(), Union()
+        for a, b in links:
+            union.join(a, b)
+        for a, b in linked_pairs({i: set(x.tolist()) for i, x in enumerate(sets)}, 75):
+            want.join(a, b)
+        assert [union.top(i) for i in range(30)] == [want.top(i) for i in range(30)]
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [
         (5, None, "x", 1), (6, "", "x", 1), (7, " \t\n", None, None), (8, "One two  THREE", "x", 1), (9, "one two three", "x", 1), (9, "one two three", "x", 1),
