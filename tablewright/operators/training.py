@@ -161,17 +161,22 @@ def train_svm(
     reg_type: str | None = "l2",
     convergence_tol: float = 0.001,
     engine: str = "sgd",
+    keep: str = "last",
 ) -> TrainedModel:
     """Linear support vector machine for a 0/1 label, without intercept.
 
-    `sgd` runs full-batch subgradient descent with the given step and penalty (l2, l1 or none).
+    `sgd` runs full-batch subgradient descent with the given step and penalty (l2, l1 or none). Its steps can overshoot
+    and turn the margin round: `keep="best"` returns the weights with the least loss and penalty among all that the steps
+    came to, for one more pass; `last` returns those of the last step, as Spark's SVMWithSGD does.
     `owlqn` is Spark's LinearSVC, which has an l2 penalty only and chooses its own steps.
     """
     iterations, step = _number(iterations, int), _number(step, float)
     reg_param, convergence_tol = _number(reg_param, float), _number(convergence_tol, float)
     names, target = resolve_all(df, features), resolve(df, label)
+    if keep not in ("last", "best"):
+        raise ValueError(f"keep must be 'last' or 'best', not {keep!r}")
     if engine == "sgd":
-        model = _descend(df, target, names, iterations, step, reg_param, reg_type, convergence_tol)
+        model = _descend(df, target, names, iterations, step, reg_param, reg_type, convergence_tol, keep == "best")
     elif engine == "owlqn":
         if reg_type != "l2":
             raise ValueError("the owlqn engine has an l2 penalty only")
@@ -198,8 +203,9 @@ def _descend(
     reg_param: float,
     reg_type: str | None,
     tolerance: float,
+    keep_best: bool,
 ) -> SgdSvmModel:
-    """Hinge-loss subgradient descent; each iteration is one aggregate of as many sums as features.
+    """Hinge-loss subgradient descent; each iteration is one aggregate of as many sums as features, and of the loss.
 
     The weights are one array constant that the generated code refers to, and no numbers written into it: the code of
     the first iteration serves all others.
@@ -214,25 +220,39 @@ def _descend(
         checked = rows.agg(F.count("*").alias("n"), F.count(F.when(bad, F.lit(1))).alias("bad")).head()
         if not checked["n"] or checked["bad"]:
             raise ValueError(f"{checked['bad']} of {checked['n']} rows have nulls or a label other than 0 and 1")
-        weights = [0.0] * len(inputs)
-        for turn in range(1, iterations + 1):
-            sums = _pulls(rows, inputs, weights).head()
+        weights = best = [0.0] * len(inputs)
+        least, still = math.inf, False
+        for turn in range(1, iterations + 2):
+            if not keep_best and (still or turn > iterations):
+                return SgdSvmModel(weights)
+            *sums, lost = _pulls(rows, inputs, weights).head()
+            if turn > 1:
+                cost = lost / checked["n"] + _penalty(weights, reg_param, reg_type)
+                if cost <= least:
+                    best, least = weights, cost
+            if still or turn > iterations:
+                break
             before = weights
             weights = _updated(before, [s / checked["n"] for s in sums], step / math.sqrt(turn), reg_param, reg_type)
-            moved = math.dist(before, weights)
-            if turn > 1 and moved < tolerance * max(math.hypot(*weights), 1.0):
-                break
-        return SgdSvmModel(weights)
+            still = turn > 1 and math.dist(before, weights) < tolerance * max(math.hypot(*weights), 1.0)
+        return SgdSvmModel(best)
+
+
+def _penalty(weights: Sequence[float], reg_param: float, reg_type: str | None) -> float:
+    if reg_type == "l2":
+        return reg_param / 2 * sum(w * w for w in weights)
+    return reg_param * sum(abs(w) for w in weights) if reg_type == "l1" else 0.0
 
 
 def _pulls(rows: DataFrame, inputs: Sequence[Column], weights: Sequence[float]) -> DataFrame:
-    """The subgradient's sums over all rows on the wrong side of the margin."""
+    """The subgradient's sums over all rows on the wrong side of the margin, and last their loss."""
     # The place depends on the row, where it is always the same, or the optimizer would write the number itself into the code.
     current, none = F.lit(list(weights)), F.col("y").isNull().cast("int")
     side = 2 * F.col("y") - 1
     margin = balanced(Column.__add__, [x * F.get(current, none + i) for i, x in enumerate(inputs)])
-    pulled = rows.select(*inputs, F.when(side * margin < 1, -side).otherwise(0.0).alias("pull"))
-    return pulled.agg(*[F.sum(F.col("pull") * x) for x in inputs])
+    pulled = rows.select(*inputs, F.when(side * margin < 1, -side).otherwise(0.0).alias("pull"), (side * margin).alias("reach"))
+    lost = F.sum(F.greatest(1 - F.col("reach"), F.lit(0.0)))
+    return pulled.agg(*[F.sum(F.col("pull") * x) for x in inputs], lost)
 
 
 def _updated(

@@ -263,7 +263,7 @@ OPERATORS: dict[int, Callable[[DataFrame, Mapping], Output]] = {
     code.SVM: lambda df, p: training.train_svm(
         df, p["label"], p["features"],
         **_given(p, iterations="iterations", step="step", reg_param="regParam", reg_type="regType",
-                 convergence_tol="convergenceTol", engine="engine"),
+                 convergence_tol="convergenceTol", engine="engine", keep="keep"),
     ),
     code.GBT: lambda df, p: training.train_gbt(
         df, p["label"], p["features"],

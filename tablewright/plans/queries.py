@@ -572,7 +572,7 @@ def multiclass_metrics(spark, sf_dir):
 
 def evaluate_svm(spark, sf_dir):
     items = _big(spark, sf_dir)
-    trained = training.train_svm(items, "noisy", ["above_middle"], iterations=20)
+    trained = training.train_svm(items, "noisy", ["above_middle"], iterations=20, keep="best")
     return _metrics(scoring.evaluate(trained, items, "noisy"))
 
 
@@ -674,7 +674,7 @@ def flow_evaluate(spark, sf_dir):
         "data": {"name": code.READ, "config": {}, "next": ["train", "score"], "pre": []},
         "train": {"name": code.SVM,
                   "config": {"parameter": {"label": "noisy", "features": ["above_middle"], "iterations": 20,
-                                           "step": 1.0, "regParam": 0.01, "regType": "l2", "convergenceTol": 0.001},
+                                           "step": 1.0, "regParam": 0.01, "regType": "l2", "convergenceTol": 0.001, "keep": "best"},
                              "fileUrl": [{"data": 0}]},
                   "next": ["score"], "pre": ["data"]},
         "score": {"name": code.PREDICT,

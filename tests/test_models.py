@@ -37,6 +37,20 @@ def test_svm_equals_stochastic_descent_over_all_rows(labelled, reg_type):
     assert ours.model.weights == pytest.approx(list(theirs.weights), rel=1e-9, abs=1e-12)
 
 
+def test_svm_keeps_the_best_weights_after_a_step_that_turns_the_margin_round(spark):
+    """Clear rows and three far wrong ones: the fourth and the eighth step overshoot, most rows would be wrong."""
+    clear = [(float(x), int(x > 0)) for x in range(-12, 13) if x]
+    rows = spark.createDataFrame(clear + [(20.0, 0), (22.0, 0), (24.0, 0)], "x double, y int")
+
+    def weight(last: int, keep: str) -> float:
+        return training.train_svm(rows, "y", ["x"], iterations=last, convergence_tol=0.0, keep=keep).model.weights[0]
+
+    assert weight(4, "last") < 0 < weight(4, "best") == pytest.approx(weight(3, "last"))
+    assert weight(8, "last") < 0 < weight(8, "best")
+    with pytest.raises(ValueError):
+        weight(2, "first")
+
+
 def test_svm_checks_its_input(labelled, spark):
     with pytest.raises(ValueError):
         training.train_svm(labelled, "three", FEATURES, iterations=2)
