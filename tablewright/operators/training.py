@@ -42,6 +42,12 @@ FEATURES, LABEL, INDEXED = "features", "label", "indexed"
 MAX_CLASSES = 1_000
 
 
+def _tree_row_bytes(rows: DataFrame, trees: int, boosted: bool = False) -> int:
+    """What a row takes in Spark's tree trainers: objects, the features, a count per tree, and when boosting its error."""
+    features = rows.schema[FEATURES].metadata["ml_attr"]["num_attrs"]
+    return 130 + 8 * features + 4 * trees + (110 if boosted else 0)
+
+
 @dataclass
 class SgdSvmModel:
     """A linear margin without intercept; above the threshold the prediction is 1."""
@@ -290,7 +296,7 @@ def train_gbt(
         minInstancesPerNode=_number(min_instances_per_node, int),
         seed=_number(seed, int),
     )
-    with held(rows) as kept:
+    with held(rows, _tree_row_bytes(rows, 1, boosted=True)) as kept:
         return TrainedModel("gbt", estimator.fit(indexer.transform(kept)), names, target, classes)
 
 
@@ -415,7 +421,7 @@ def train_forest(
         impurity=impurity,
         seed=seed,
     )
-    with held(rows) as kept:
+    with held(rows, _tree_row_bytes(rows, num_trees)) as kept:
         return TrainedModel("forest", estimator.fit(indexer.transform(kept)), names, target, classes)
 
 
