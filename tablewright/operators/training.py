@@ -33,7 +33,7 @@ from tablewright.functions.columns import (
     resolve,
     resolve_all,
 )
-from tablewright.sources.layout import held
+from tablewright.sources.layout import held, spread
 
 FEATURES, LABEL, INDEXED = "features", "label", "indexed"
 
@@ -395,8 +395,8 @@ def train_mlp(
         stepSize=_number(step_size, float),
         solver=solver,
     )
-    with held(points(df, names, target)) as rows:
-        return TrainedModel("mlp", estimator.fit(rows), names, target)
+    # Spark's trainer stacks the rows once and keeps the stacks itself: a copy of the rows beside them would only push them out of memory.
+    return TrainedModel("mlp", estimator.fit(spread(points(df, names, target))), names, target)
 
 
 def train_forest(
