@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
     LinearSVCModel,
     LogisticRegression,
     LogisticRegressionModel,
+    LogisticRegressionSummary,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
     RandomForestClassificationModel,
@@ -481,7 +482,7 @@ def inspect_model(trained: TrainedModel) -> DataFrame:
             rows.append(("intercept" + suffix, intercept))
         if model.hasSummary:
             rows.append(("iterations", model.summary.totalIterations))
-            rows.append(("accuracy", model.summary.accuracy))
+            rows.append(("accuracy", _accuracy(model.summary)))
             if trained.kind == "lr":
                 rows.append(("area_under_roc", model.summary.areaUnderROC))
     elif trained.kind in ("gbt", "forest"):
@@ -493,6 +494,12 @@ def inspect_model(trained: TrainedModel) -> DataFrame:
     return SparkSession.active().createDataFrame(typed, "term string, value double")
 
 
+def _accuracy(summary: LogisticRegressionSummary) -> float:
+    """The share of right predictions, as in the summary, whose own pass turns each row and its probabilities into objects."""
+    right = F.col(summary.predictionCol) == F.col(summary.labelCol)
+    return summary.predictions.agg(F.avg(right.cast("double"))).head()[0]
+
+
 def model_settings(trained: TrainedModel) -> DataFrame:
     """What a model was trained on and with: rows of section, term and value, all as text.
 
