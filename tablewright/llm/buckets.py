@@ -16,10 +16,12 @@ from tablewright.llm.buffers import named, slices, utf8
 from tablewright.llm.hashing import shared
 from tablewright.llm.store import Stored, components
 
-# Rounds in which each bucket has one pivot that its other members are held against.
-PIVOT_ROUNDS = 2
+# Rounds in which each bucket of more than SMALL members has one pivot that its other members are held against.
+PIVOT_ROUNDS, SMALL = 2, 32
 # Members and bytes of text in a block of a bucket; a task compares two blocks at once.
 BLOCK, BLOCK_BYTES = 2048, 1 << 23
+# Members of a bucket up to which its pairs are compared together with those of other buckets.
+FEW = 8
 # Bits of the bitmaps that bound an intersection from above, for each shingle and at most.
 BITS, MAX_BITS = 8, 1 << 13
 PLACES = 64
@@ -34,12 +36,20 @@ def placed(keys: np.ndarray) -> np.ndarray:
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
-    """Of entries (key, id, n), those whose key more than one id has; of buckets with the same members the first."""
-    entries = entries.repartition("key")
-    hashed = [F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")) for i in range(2)]
-    ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), hashed[0].alias("h0"), hashed[1].alias("h1")).where("lo != hi")
-    first = ends.groupBy("lo", "hi", "h0", "h1").agg(F.min_by("key", F.col("key").bitwiseAND(PLACES - 1)).alias("key")).select("key")
-    return entries.join(first, "key")
+    """Of entries (key, id, ...), those whose key more than one id has; of buckets with the same members the first.
+
+    An entry may come several times if it does so under all keys of its id. Members are told apart by four sums of 32-bit
+    hashes, which long integers hold for 2^31 entries.
+    """
+    # filtered here and hashed whole, both uses of the entries read the same: they are shuffled once
+    entries = entries.where("key is not null").repartition("key")
+    hashed = [F.xxhash64(*[c for c in entries.columns if c != "key"], F.lit(i)) for i in range(2)]
+    halves = [half for h in hashed for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    sums = [F.sum(x).alias(f"h{i}") for i, x in enumerate(halves)]
+    ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *sums).where("lo != hi")
+    first = ends.groupBy("lo", "hi", *[f"h{i}" for i in range(len(halves))]).agg(F.min_by("key", F.col("key").bitwiseAND(PLACES - 1)).alias("key")).select("key")
+    # few keys are left: a map of them spares a sort of all entries
+    return entries.join(first.hint("shuffle_hash"), "key").distinct()
 
 
 def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame, sets: Sets, keys: Keys) -> DataFrame:
@@ -49,7 +59,7 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
     signatures in the order of their places. n is the size of a member's set, or the same for all; sizes too far apart
     for `percent` are never paired.
 
-    In each of two rounds a member meets one pivot of its buckets; links found make components, and buckets of a
+    In each of two rounds a member meets one pivot of its larger buckets; links found make components, and buckets of a
     single component are done. What is left is dealt into blocks, and pairs of blocks into tasks. A task compares
     members of different components on their full sets, a pair only in the first bucket that it shares; a pair is
     passed over if even an upper bound of its intersection, from bitmaps, is too small. Tasks return links that span what they
@@ -75,8 +85,9 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
         open_keys = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
         return stored.keep(with_label.join(open_keys, "key"), "undecided")
 
+    large = stored.keep(buckets.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {SMALL}").select("key"), "large")
     for i in range(PIVOT_ROUNDS):
-        now = undecided()
+        now = undecided().join(large, "key", "left_semi")
         if now.isEmpty():
             break
         order = F.struct(
@@ -100,7 +111,7 @@ def _dealt(rest: DataFrame, members: DataFrame) -> DataFrame:
     dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label")
-    return dealt.join(members.select("id", "text", "sig"), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+    return dealt.hint("shuffle_hash").join(members.select("id", "text", "sig"), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
 
 
 def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -169,6 +180,37 @@ def spanning(ids: np.ndarray, label: np.ndarray, block: np.ndarray, split: bool,
     return links
 
 
+def few_pairs(group: np.ndarray, place: np.ndarray, label: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one group (numbered, in order, at most FEW members; -1: none) that may be linked.
+
+    Pairs of one component, or that share an earlier bucket than `place`, are left out, and those whose sizes or bitmaps
+    rule a link out.
+    """
+    n = np.array([len(s) for s in sets])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(FEW, len(group))):
+        i = np.flatnonzero((group[d:] == group[:-d]) & (group[d:] >= 0))
+        if len(i) == 0:
+            break
+        i = i[label[i] != label[i + d]]
+        i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
+        earlier = np.arange(keys.shape[1]) < place[i][:, None]
+        i = i[~((keys[i] == keys[i + d]) & earlier).any(axis=1)]
+        left.append(i)
+        right.append(i + d)
+    i, j = np.concatenate(left), np.concatenate(right)
+    if len(i) == 0:
+        return i, j
+    used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+    bits = bitmaps([sets[x] for x in used.tolist()])
+    spare = n[used] - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    a, b = where[: len(i)], where[len(i) :]
+    both = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+    most = both + np.minimum(spare[a], spare[b])
+    able = 100 * most >= percent * (n[i] + n[j] - most)
+    return i[able], j[able]
+
+
 def _compared(percent: int, sets: Sets, keys: Keys):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -186,8 +228,15 @@ def _compared(percent: int, sets: Sets, keys: Keys):
                 own = keys(named(part, "sig").to_pylist())
                 ids, label, block, key, low, high = (named(part, c).to_numpy() for c in ("id", "label", "block", "key", "low", "high"))
                 new = (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
-                cuts = [0, *(np.flatnonzero(new) + 1).tolist(), part.num_rows]
-                for a, b in zip(cuts, cuts[1:], strict=False):
+                cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [part.num_rows]])
+                size = np.diff(cuts)
+                # a group at either end of the part may go on beyond it
+                few = (size <= FEW) & (low == high)[cuts[:-1]]
+                few[[0, -1]] = False
+                number = np.repeat(np.where(few, np.arange(len(size)), -1), size)
+                i, j = few_pairs(number, key & (PLACES - 1), label, bodies, own, percent)
+                out += [(int(ids[x]), int(ids[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if linked(bodies[x], bodies[y], percent)]
+                for a, b in zip(cuts[:-1][~few].tolist(), cuts[1:][~few].tolist(), strict=True):
                     group = (int(key[a]), int(key[a]) & (PLACES - 1), int(low[a]), int(high[a]))
                     if held and held[0][6] != group:
                         out += links_of(held)

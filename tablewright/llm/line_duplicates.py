@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm.buckets import placed, resolve, shared_buckets
@@ -29,6 +30,8 @@ PERCENT = 80
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
 THROWS = 2
+# Bytes of text whose arrays of shingles a core's cache still holds.
+SLICE_BYTES = 1 << 17
 NEW = ["n_lines", "n_removed"]
 
 _random = np.random.default_rng(SEED)
@@ -66,9 +69,12 @@ class Lines:
         self.start[here] = solid[a[here]]
         self.end[here] = solid[b[here] - 1] + 1
         self.codes = low
+        self.hashes: tuple[np.ndarray, np.ndarray] | None = None
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of SHINGLE code points, and a hash of every line."""
+        if self.hashes is not None:
+            return self.hashes
         window = mixed(self.codes.astype(np.uint64) + np.uint64(1))
         total = np.zeros(len(window) + 1, dtype=np.uint64)
         up, down = powers(len(window) + 1)
@@ -78,41 +84,52 @@ class Lines:
             window = window[:-size] * _FACTORS[size.bit_length()] + window[size:] if len(window) > size else window[:0]
             size *= 2
         whole = mixed((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        return mixed(window), whole
+        self.hashes = mixed(window), whole
+        return self.hashes
 
     def sizes(self) -> np.ndarray:
         """How many windows lie in each line; a short line counts as one shingle."""
         return np.where(self.blank, 0, np.maximum(self.end - self.start - SHINGLE + 1, 1))
 
-    def spread(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, hash) of every shingle of every line."""
+    def spread(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash) of every shingle of every line, or of some lines."""
         window, whole = self.shingles()
-        many = np.where(self.end - self.start >= SHINGLE, self.sizes(), 0)
+        chosen = ~self.blank
+        if which is not None:
+            chosen[:] = False
+            chosen[which] = True
+        long = self.end - self.start >= SHINGLE
+        many = np.where(long & chosen, self.sizes(), 0)
         line = np.repeat(np.arange(len(many)), many)
-        place = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start, many)
-        short = np.flatnonzero(~self.blank & (many == 0))
+        place = np.arange(len(line)) + np.repeat(self.start - (np.cumsum(many) - many), many)
+        short = np.flatnonzero(chosen & ~long)
         return np.concatenate([line, short]), np.concatenate([window[place], whole[short]])
 
 
-def band_keys(lines: Lines) -> np.ndarray:
-    """The band keys (lines x BANDS) of one-permutation signatures; rows of blank lines mean nothing."""
+def band_keys(lines: Lines, which: np.ndarray | None = None) -> np.ndarray:
+    """The band keys (lines x BANDS) of one-permutation signatures, of all lines or of some; those of blank lines mean nothing."""
     n = len(lines.start)
     empty = np.uint32(0xFFFFFFFF)
     best = np.full(n * BINS, empty, dtype=np.uint32)
-    line, value = lines.spread()
+    line, value = lines.spread(which)
     for j in range(THROWS):
         x = mixed(value + _FACTORS[j])
         bin_of = ((x >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
         np.minimum.at(best, line * BINS + bin_of.astype(np.int64), (x & np.uint64(0xFFFFFFFE)).astype(np.uint32))
     best = best.reshape(n, BINS)
+    if which is not None:
+        best, n = best[which], len(which)
+    open_rows = np.flatnonzero((best == empty).any(axis=1))
     for donors in _DONORS:
-        gap = best == empty
-        if not gap.any():
+        if not len(open_rows):
             break
-        best = np.where(gap, best[:, donors], best)
-    gap = best == empty
-    if gap.any():
-        best = np.where(gap, best.min(axis=1, keepdims=True), best)
+        rows = best[open_rows]
+        rows = np.where(rows == empty, rows[:, donors], rows)
+        best[open_rows] = rows
+        open_rows = open_rows[(rows == empty).any(axis=1)]
+    if len(open_rows):
+        rows = best[open_rows]
+        best[open_rows] = np.where(rows == empty, rows.min(axis=1, keepdims=True), rows)
     key = np.tile(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, 1))
     for j in range(ROWS):
         key = mixed(key ^ best[:, j::ROWS].astype(np.uint64))
@@ -123,42 +140,24 @@ def _bucket_keys(signatures: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), dtype=np.int64).reshape(-1, BANDS)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line that isn't blank: its hash and place, and at its first place in a slice its band keys (elsewhere none)."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             lines = Lines(*utf8(named(part, "text")))
             use = np.flatnonzero(~lines.blank)
             doc = pa.array(lines.doc[use])
             whole = lines.shingles()[1][use]
+            first = np.sort(np.unique(whole, return_index=True)[1])
+            ends = np.zeros(len(use) + 1, dtype=np.int32)
+            ends[first + 1] = BANDS
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(band_keys(lines, use[first]).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)), named(part, "id").take(doc), named(part, "row").take(doc), pa.array(lines.number[use])],
-                names=["line", "id", "row", "number"],
+                [pa.array(whole.view(np.int64)), named(part, "id").take(doc), named(part, "row").take(doc), pa.array(lines.number[use]), keys],
+                names=["line", "id", "row", "number", "keys"],
             )
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            lines = Lines(*utf8(named(part, "text")))
-            use = np.flatnonzero(~lines.blank)
-            whole, first = np.unique(lines.shingles()[1][use], return_index=True)
-            use = use[first]
-            keys = band_keys(lines)[use]
-            # sizes of sets aren't known before lines are compared: all count as equal
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)), pa.array(np.ones(len(use), np.int64)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["id", "n", "keys"]
-            )
-
-
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = np.frombuffer(b"".join(named(batch, "keys").to_pylist()), dtype=np.int64)
-        for a in range(0, batch.num_rows, 4000):
-            part = batch.slice(a, 4000)
-            again = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a * BANDS : (a + part.num_rows) * BANDS]), named(part, "id").take(again), named(part, "n").take(again)], names=["key", "id", "n"])
-
-
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines of texts: (id, text, sig) with the line's hash as id and its band keys as sig."""
     for batch in batches:
@@ -178,19 +177,28 @@ def line_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line, value = lines.spread()
     order = np.argsort(line, kind="stable")
     line, value = line[order], value[order]
-    return [np.unique(value[a:b]) for a, b in zip(np.searchsorted(line, np.arange(len(lines.start))), np.searchsorted(line, np.arange(len(lines.start)), side="right"), strict=True)]
+    ends = np.searchsorted(line, np.arange(len(lines.start) + 1))
+    for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        value[a:b].sort()
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (line[1:] != line[:-1])
+    value = value[new]
+    ends = np.concatenate([[0], np.cumsum(new)])[ends].tolist()
+    return [value[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _without(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, counts, gone = [], [], []
-        for text, removed in zip(named(batch, "text").to_pylist(), named(batch, "removed").to_pylist(), strict=True):
-            drop = set(removed or ())
-            lines = [] if text is None else text.split("\n")
-            texts.append(text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
-            counts.append(len(lines))
-            gone.append(len(drop))
-        made = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
+        text, removed = named(batch, "text"), named(batch, "removed")
+        counts = pc.fill_null(pc.add(pc.count_substring(text, "\n").cast(pa.int64()), 1), 0)
+        gone = pc.fill_null(pc.list_value_length(removed).cast(pa.int64()), 0)
+        cut = pc.greater(gone, 0)
+        shorter = []
+        for whole, numbers in zip(text.filter(cut).to_pylist(), removed.filter(cut).to_pylist(), strict=True):
+            drop = set(numbers)
+            shorter.append("\n".join(x for i, x in enumerate(whole.split("\n")) if i not in drop))
+        texts = pc.replace_with_mask(text, cut, pa.array(shorter, text.type))
+        made = {"text": texts, "n_lines": counts, "n_removed": gone}
         yield pa.RecordBatch.from_arrays([made[c] if c in made else named(batch, c) for c in names], names=names)
 
 
@@ -204,26 +212,31 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     row = F.xxhash64(id, text)
     docs = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), row.alias("row"))
     kind = docs.schema["id"].dataType.simpleString()
-    lines = stored.keep(docs.mapInArrow(_occurrences, f"line long, id {kind}, row long, number long"), "lines")
-    classes = docs.select("text").mapInArrow(_signed, "id long, n long, keys binary").groupBy("id").agg(F.min("n").alias("n"), F.min("keys").alias("keys"))
-    buckets = stored.keep(shared_buckets(classes.mapInArrow(_entries, "key long, id long, n long")), "buckets")
+    lines = stored.keep(docs.mapInArrow(_lines, f"line long, id {kind}, row long, number long, keys array<long>"), "lines")
+    entries = lines.select(F.explode("keys").alias("key"), F.col("line").alias("id"))
+    # sizes of sets aren't known before lines are compared: all count as equal
+    buckets = stored.keep(shared_buckets(entries).withColumn("n", F.lit(1).cast("long")), "buckets")
+    lines = lines.drop("keys")
 
     members = buckets.select(F.col("id").alias("line")).distinct()
-    homes = lines.join(members, "line").groupBy("line").agg(F.min(F.struct("row", "number")).alias("home"))
+    # where one side is a small part of the other, a map of it spares the sort of lines and texts
+    homes = lines.join(members.hint("shuffle_hash"), "line").groupBy("line").agg(F.min(F.struct("row", "number")).alias("home"))
     wanted = homes.groupBy(F.col("home.row").alias("row")).agg(F.collect_set(F.struct("line", F.col("home.number").alias("number"))).alias("wanted"))
-    texts = docs.select("row", "text").join(wanted, "row").select("text", "wanted").mapInArrow(_picked, "id long, text string, sig binary")
+    texts = docs.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted").mapInArrow(_picked, "id long, text string, sig binary")
     texts = stored.keep(texts.groupBy("id").agg(F.min("text").alias("text"), F.min("sig").alias("sig")), "line-texts")
 
     labels = resolve(stored, buckets, percent, texts, line_sets, _bucket_keys).withColumnRenamed("node", "line")
     grouped = lines.join(labels, "line", "left").withColumn("group", F.coalesce("component", "line"))
     grouped = stored.keep(grouped.select("group", "id", "row", "number"), "grouped")
-    keepers = grouped.groupBy("group").agg(F.min(F.struct("id", "row", "number")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    gone = grouped.join(keepers, "group").where("not (row = kept.row and number = kept.number)")
+    several = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    repeated = stored.keep(grouped.join(several.hint("shuffle_hash"), "group"), "repeated")
+    keepers = repeated.groupBy("group").agg(F.min(F.struct("id", "row", "number")).alias("kept"))
+    gone = repeated.join(keepers.hint("shuffle_hash"), "group").where("not (row = kept.row and number = kept.number)")
     gone = lasting.keep(gone.groupBy("row").agg(F.collect_set("number").alias("removed")), "removed")
     stored.drop()
 
     names = [*df.columns, *NEW]
-    out = df.withColumn("row", row).join(gone, "row", "left").drop("row").withColumnRenamed(text, "text")
+    out = df.withColumn("row", row).join(gone.hint("shuffle_hash"), "row", "left").drop("row").withColumnRenamed(text, "text")
     fields = ", ".join(f"`{'text' if c == text else c}` {'string' if c == text else t}" for c, t in df.dtypes)
     inner = ["text" if c == text else c for c in names]
     done = out.mapInArrow(lambda batches: _without(batches, inner), f"{fields}, n_lines long, n_removed long")

@@ -171,3 +171,41 @@ def test_lines_edge_cases(spark):
     assert dedup_lines(frame.limit(0)).collect() == []
     with pytest.raises(ValueError):
         dedup_lines(frame.withColumnRenamed("line", "n_lines"))
+
+
+def test_entries_are_shuffled_once(spark):
+    """Entries that come several times give each bucket once, and one shuffle of them serves the count and the join."""
+    rows = [(k << 6 | p, i) for i in (1, 2, 2, 3) for p, k in enumerate((7, 8, 9 if i < 3 else 10))]
+    entries = spark.createDataFrame(rows, "key long, id long")
+    found = buckets.shared_buckets(entries)
+    assert sorted(tuple(r) for r in found.collect()) == [(7 << 6, 1), (7 << 6, 2), (7 << 6, 3), (9 << 6 | 2, 1), (9 << 6 | 2, 2)]
+    with_size = buckets.shared_buckets(entries.withColumn("n", entries.id + 1))
+    assert sorted(r.n for r in with_size.collect()) == [2, 2, 3, 3, 4]
+    for frame in (found, with_size):
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+        assert sum("REPARTITION_BY_COL" in x and "ReusedExchange" not in x for x in plan) == 1
+
+
+def test_few_pairs_are_those_of_the_full_comparison(monkeypatch):
+    """Small buckets compared together join the same members as each compared alone."""
+    random = np.random.default_rng(8)
+    pool = random.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets, group = [], []
+    for g in range(60):
+        base = random.choice(pool, int(random.integers(1, 60)), replace=False)
+        for _ in range(int(random.integers(1, buckets.FEW + 1))):
+            group.append(g)
+            sets.append(np.unique(np.concatenate([base[: max(1, int(len(base) * random.uniform(0.6, 1)))], random.choice(pool, int(random.integers(0, 8)))])))
+    group, n = np.array(group), len(sets)
+    keys = random.integers(0, 6, (n, 4))
+    label, place = random.integers(0, 3 * n, n), np.array([g % 4 for g in group])
+    i, j = buckets.few_pairs(group, place, label, sets, keys, 80)
+    got, want = Union(), Union()
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if buckets.linked(sets[a], sets[b], 80):
+            got.join(a, b)
+    for g in range(60):
+        at = np.flatnonzero(group == g)
+        for a, b in buckets.spanning(at, label[at], np.zeros(len(at), np.int32), False, g % 4, [sets[x] for x in at], keys[at], 80):
+            want.join(a, b)
+    assert len(i) and [got.top(x) for x in range(n)] == [want.top(x) for x in range(n)]
