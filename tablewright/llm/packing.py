@@ -28,14 +28,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm.buffers import named, slices, utf8
 from tablewright.llm.cutting_stock import GRAIN, solve
-from tablewright.llm.pretoken import split
+from tablewright.llm.hashing import mixed
+from tablewright.llm.pretoken import cuts
 from tablewright.llm.store import Stored
 
 LENGTH = 2048
 # Closes every document.
 END_ID = 1
-# Distinct pre-tokens that a task process remembers; beyond that it starts anew.
-CACHE_SLICES = 1 << 20
+# Places for pre-tokens that a task process remembers (a power of two), and how many of their ids; beyond that it starts anew.
+PLACES, IDS = 1 << 21, 1 << 22
+# Bytes of the longest pre-token that is remembered.
+LONGEST = 15
+
+_masks = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 
 @lru_cache(maxsize=2)
@@ -45,35 +50,100 @@ def tokenizer_of(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    """The pre-tokens that this process has met with a tokenizer file, in whatever task."""
+    return Words(path)
+
+
+class Words:
+    """The ids of pre-tokens. Those met before are looked up in a table, in which a later one takes the place of an earlier one."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        # what it gets are pre-tokens: it needn't look for their ends again
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ids = np.zeros(IDS, dtype=np.uint32)
+        self.low, self.high = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.uint64)
+        self.at, self.many = np.zeros(PLACES, dtype=np.int32), np.zeros(PLACES, dtype=np.uint8)
+        self.end = 0
+
+    def encoded(self, data: bytes, text: str, cut: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pre-tokens of a text, one after the other, and where those of each begin (len + 1)."""
+        start, size = places[:-1], np.diff(places)
+        # 15 bytes and the length, which is never 0, are the pre-token itself
+        padded = data + bytes(16)
+        words = np.ndarray(len(data) + 9, dtype="<u8", buffer=padded, strides=(1,))
+        low = words[start] & _masks[np.minimum(size, 8)]
+        high = words[np.minimum(start + 8, len(data))] & _masks[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+        hashed = mixed(low ^ mixed(high))
+        place = (hashed >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+        short = size <= LONGEST
+        hit = short & (self.low[place] == low) & (self.high[place] == high)
+
+        miss = np.flatnonzero(~hit)
+        first, which = np.unique(hashed[miss], return_index=True, return_inverse=True)[1:]
+        chosen = miss[first]
+        # long pre-tokens, and other ones of the same hash, stand for themselves
+        own = np.flatnonzero(~short[miss] | (low[chosen[which]] != low[miss]) | (high[chosen[which]] != high[miss]))
+        which[own] = len(chosen) + np.arange(len(own))
+        chosen = np.concatenate([chosen, miss[own]])
+        made, ends = self._made([text[a:b] for a, b in zip(cut[chosen].tolist(), cut[chosen + 1].tolist(), strict=True)])
+
+        many, at = np.empty(len(size), dtype=np.int64), np.empty(len(size), dtype=np.int64)
+        many[hit], at[hit] = self.many[place[hit]], self.at[place[hit]]
+        many[miss], at[miss] = np.diff(ends)[which], ends[which]
+        begin = np.concatenate([[0], np.cumsum(many)])
+        source = np.arange(begin[-1]) + np.repeat(at - begin[:-1], many)
+        known = np.repeat(hit, many)
+        out = np.empty(len(source), dtype="<u4")
+        out[known] = self.ids[source[known]]
+        out[~known] = made[source[~known]]
+
+        if self.end + len(made) > IDS:
+            self.high[:] = 0
+            self.end = 0
+        if len(made) <= IDS:
+            self.ids[self.end : self.end + len(made)] = made
+            new = np.flatnonzero(short[chosen])
+            kept = chosen[new]
+            # where two fall on one place, all columns take the same one
+            last = len(kept) - 1 - np.unique(place[kept][::-1], return_index=True)[1]
+            new, kept = new[last], kept[last]
+            there = place[kept]
+            self.low[there], self.high[there] = low[kept], high[kept]
+            self.at[there], self.many[there] = self.end + ends[new], np.diff(ends)[new]
+            self.end += len(made)
+        return out, begin
+
+    def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        done = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(done.ids, dtype=np.uint32), np.searchsorted(np.array(done.word_ids, dtype=np.int64), np.arange(len(words) + 1))
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Every batch in slices, with the id bytes of each text, the closing id included.
 
-    Ids are little-endian unsigned 32-bit integers. The tokenizer sees each distinct pre-token once, and
-    as a whole each text that holds one of its added tokens.
+    Ids are little-endian unsigned 32-bit integers. The tokenizer sees the pre-tokens that the process doesn't
+    remember, and as a whole each text that holds one of its added tokens.
     """
     tokenizer = tokenizer_of(path)
     added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
     sought = [x.encode("utf-8") for x in added]
-    known: dict[str, bytes] = {}
+    known = words_of(path)
     last = np.array([END_ID], dtype="<u4").tobytes()
     for batch in batches:
         for part in slices(batch, "text"):
             raw, offsets = utf8(named(part, "text"))
             data = raw.tobytes()
-            words, first = split(data, offsets)
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > CACHE_SLICES:
-                known.clear()
-                new = list(set(words))
-            if new:
-                done = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(done.ids, dtype="<u4")
-                ends = np.searchsorted(np.array(done.word_ids, dtype=np.int64), np.arange(len(new) + 1))
-                flat, at = ids.tobytes(), (4 * ends).tolist()
-                known.update(zip(new, [flat[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-            got = [known[w] for w in words]
-            at = first.tolist()
-            out = [b"".join(got[a:b]) + last for a, b in zip(at, at[1:], strict=False)]
+            text, cut, places, first = cuts(data, offsets)
+            ids, begin = known.encoded(data, text, cut, places)
+            at = begin[first].tolist()
+            out = [ids[a:b].tobytes() + last for a, b in zip(at, at[1:], strict=False)]
             if any(x in data for x in sought):
                 for i, text in enumerate(named(part, "text").to_pylist()):
                     if text and any(x in text for x in added):

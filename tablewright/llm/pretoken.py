@@ -151,19 +151,28 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins.ravel()[before * np.uint8(16) + symbol])
 
 
-def split(data: bytes, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The tokens of UTF-8 texts laid end to end, and for each text the index of its first token (len + 1)."""
+def cuts(data: bytes, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 texts laid end to end: the text, where tokens begin in code points and in bytes (both with the end), and for each text the index of its first token (len + 1)."""
     text = data.decode("utf-8")
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     raw = np.frombuffer(data, dtype=np.uint8)
-    if len(codes) == len(raw):
+    narrow = len(codes) == len(raw)
+    if narrow:
         at = offsets
     else:
+        head = (raw & 0xC0) != 0x80
         heads = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=heads[1:])
+        np.cumsum(head, out=heads[1:])
         at = heads[offsets]
     starts = np.unique(at[:-1][np.diff(at) > 0])
     cut = boundaries(codes, starts)
-    ends = [*cut[1:].tolist(), len(codes)]
-    words = [text[a:b] for a, b in zip(cut.tolist(), ends, strict=True)] if len(cut) else []
-    return words, np.searchsorted(cut, at)
+    first = np.searchsorted(cut, at)
+    places = cut if narrow else np.flatnonzero(head)[cut]
+    return text, np.append(cut, len(codes)), np.append(places, len(raw)), first
+
+
+def split(data: bytes, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The tokens of UTF-8 texts laid end to end, and for each text the index of its first token (len + 1)."""
+    text, cut, _, first = cuts(data, offsets)
+    at = cut.tolist()
+    return [text[a:b] for a, b in zip(at, at[1:], strict=False)], first

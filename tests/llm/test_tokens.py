@@ -143,3 +143,40 @@ def test_cutting_stock():
     assert np.allclose(uses @ patterns, counts, rtol=1e-3) and (patterns @ np.arange(1, 129) <= 128).all()
     assert uses.sum() <= 1.01 * (counts * np.arange(1, 129)).sum() / 128 + 1
     assert cutting_stock.best_pattern(np.array([0.0, 1.0, 1.6]), 7)[0] == pytest.approx(3.6)
+
+
+def encoded_by(known, texts):
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(x.encode()) for x in texts)])
+    text, cut, places, first = pretoken.cuts(data, offsets)
+    ids, begin = known.encoded(data, text, cut, places)
+    at = begin[first]
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from([*PARTS[:-1], "abcdefghijklmno", "pq"]), st.characters(exclude_categories=["Cs", "Cn", "Co"])), max_size=12), max_size=6))
+def test_remembered_words(parts):
+    """Ids by a table of few places, in which words take each other's place, are those of the tokenizer."""
+    texts = ["".join(x) for x in parts]
+    tokenizer = packing.tokenizer_of(JSON)
+    want = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "PLACES", 8)
+        patch.setattr(packing, "IDS", 40)
+        known = packing.Words(JSON)
+        assert encoded_by(known, texts) == want
+        assert encoded_by(known, texts[::-1]) == want[::-1]
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Pre-tokens that a process has met in another task don't go through the tokenizer again."""
+    sent = []
+    made = packing.Words._made
+    monkeypatch.setattr(packing.Words, "_made", lambda self, words: (sent.extend(words), made(self, words))[1])
+    texts = [f"einmal zweimal{i} dreimal übermäßigelangewörter" for i in range(40)] * 3
+    first = encoded_by(packing.words_of(JSON), texts)
+    assert len(sent) == len(set(sent) - {" übermäßigelangewörter"}) + sent.count(" übermäßigelangewörter")
+    sent.clear()
+    assert encoded_by(packing.words_of(JSON), texts) == first
+    assert len(sent) <= len(texts) + 4  # the words beyond 15 bytes, and ones that fell on one place
