@@ -16,8 +16,8 @@ from tablewright.llm.buffers import named, slices, utf8
 from tablewright.llm.hashing import shared
 from tablewright.llm.store import Stored, components
 
-# Rounds in which each bucket of more than SMALL members has one pivot that its other members are held against.
-PIVOT_ROUNDS, SMALL = 2, 32
+# Rounds in which each bucket has one pivot that its other members are held against.
+PIVOT_ROUNDS = 2
 # Members and bytes of text in a block of a bucket; a task compares two blocks at once.
 BLOCK, BLOCK_BYTES = 2048, 1 << 23
 # Members of a bucket up to which its pairs are compared together with those of other buckets.
@@ -52,14 +52,14 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
     return entries.join(first.hint("shuffle_hash"), "key").distinct()
 
 
-def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame, sets: Sets, keys: Keys) -> DataFrame:
+def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame, sets: Sets, keys: Keys, small: int = 1) -> DataFrame:
     """(node, component) of the members of buckets (key, id, n) that links join.
 
     members: (id, text, sig) of every id in a bucket. sets() makes the shingle sets of texts, keys() the bucket keys of
     signatures in the order of their places. n is the size of a member's set, or the same for all; sizes too far apart
     for `percent` are never paired.
 
-    In each of two rounds a member meets one pivot of its larger buckets; links found make components, and buckets of a
+    In each of two rounds a member meets one pivot of its buckets of more than `small` members; links found make components, and buckets of a
     single component are done. What is left is dealt into blocks, and pairs of blocks into tasks. A task compares
     members of different components on their full sets, a pair only in the first bucket that it shares; a pair is
     passed over if even an upper bound of its intersection, from bitmaps, is too small. Tasks return links that span what they
@@ -85,9 +85,12 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
         open_keys = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
         return stored.keep(with_label.join(open_keys, "key"), "undecided")
 
-    large = stored.keep(buckets.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {SMALL}").select("key"), "large")
+    # every bucket has two members at least
+    large = None
+    if small > 1:
+        large = stored.keep(buckets.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {small}").select("key"), "large")
     for i in range(PIVOT_ROUNDS):
-        now = undecided().join(large, "key", "left_semi")
+        now = undecided() if large is None else undecided().join(large, "key", "left_semi")
         if now.isEmpty():
             break
         order = F.struct(

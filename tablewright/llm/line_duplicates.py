@@ -30,6 +30,8 @@ PERCENT = 80
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
 THROWS = 2
+# Members of a bucket up to which lines are compared at once, without pivots.
+SMALL = 32
 # Bytes of text whose arrays of shingles a core's cache still holds.
 SLICE_BYTES = 1 << 17
 NEW = ["n_lines", "n_removed"]
@@ -225,7 +227,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     texts = docs.select("row", "text").join(wanted.hint("shuffle_hash"), "row").select("text", "wanted").mapInArrow(_picked, "id long, text string, sig binary")
     texts = stored.keep(texts.groupBy("id").agg(F.min("text").alias("text"), F.min("sig").alias("sig")), "line-texts")
 
-    labels = resolve(stored, buckets, percent, texts, line_sets, _bucket_keys).withColumnRenamed("node", "line")
+    labels = resolve(stored, buckets, percent, texts, line_sets, _bucket_keys, SMALL).withColumnRenamed("node", "line")
     grouped = lines.join(labels, "line", "left").withColumn("group", F.coalesce("component", "line"))
     grouped = stored.keep(grouped.select("group", "id", "row", "number"), "grouped")
     several = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
