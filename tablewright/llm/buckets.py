@@ -35,21 +35,40 @@ def placed(keys: np.ndarray) -> np.ndarray:
     return (keys & ~np.uint64(PLACES - 1) | np.arange(keys.shape[1], dtype=np.uint64)).view(np.int64)
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries in the order of their keys those whose key more than one id has."""
+    last: pa.RecordBatch | None = None
+    given = False  # whether `last`, an entry of the key that may go on, has been given already
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        key, ids = named(batch, "key").to_numpy(), named(batch, "id").to_numpy()
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        several = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
+        use = np.repeat(several, np.diff(heads, append=len(key)))
+        use[0] &= not given
+        given = bool(several[-1]) or (given and len(heads) == 1)
+        last = batch.slice(batch.num_rows - 1)
+        yield batch.filter(pa.array(use))
+
+
 def shared_buckets(entries: DataFrame) -> DataFrame:
     """Of entries (key, id, ...), those whose key more than one id has; of buckets with the same members the first.
 
-    An entry may come several times if it does so under all keys of its id. Members are told apart by four sums of 32-bit
-    hashes, which long integers hold for 2^31 entries.
+    Entries may come several times. Members are told apart by four sums of 32-bit hashes, which long integers hold for
+    2^31 entries.
     """
-    # filtered here and hashed whole, both uses of the entries read the same: they are shuffled once
-    entries = entries.where("key is not null").repartition("key")
+    entries = entries.where("key is not null").repartition("key").sortWithinPartitions("key")
+    # few entries are left; filtered here, both uses of them read the same, and what distinct() shuffles is made once
+    entries = entries.mapInArrow(_met, entries.schema).where("key is not null").distinct()
     hashed = [F.xxhash64(*[c for c in entries.columns if c != "key"], F.lit(i)) for i in range(2)]
     halves = [half for h in hashed for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
     sums = [F.sum(x).alias(f"h{i}") for i, x in enumerate(halves)]
-    ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *sums).where("lo != hi")
+    ends = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *sums)
     first = ends.groupBy("lo", "hi", *[f"h{i}" for i in range(len(halves))]).agg(F.min_by("key", F.col("key").bitwiseAND(PLACES - 1)).alias("key")).select("key")
-    # few keys are left: a map of them spares a sort of all entries
-    return entries.join(first.hint("shuffle_hash"), "key").distinct()
+    return entries.join(first.hint("shuffle_hash"), "key")
 
 
 def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame, sets: Sets, keys: Keys, small: int = 1) -> DataFrame:
@@ -76,7 +95,7 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
             every = every.unionByName(more)
         return stored.keep(components(every), "components")
 
-    def undecided() -> DataFrame:
+    def undecided(buckets: DataFrame) -> DataFrame:
         if labels is None:
             return buckets.withColumn("label", F.col("id"))
         own = labels.select(F.col("node").alias("id"), "component")
@@ -86,11 +105,12 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
         return stored.keep(with_label.join(open_keys, "key"), "undecided")
 
     # every bucket has two members at least
-    large = None
+    large = buckets
     if small > 1:
-        large = stored.keep(buckets.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {small}").select("key"), "large")
+        keys_of = buckets.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {small}").select("key")
+        large = stored.keep(buckets.join(keys_of, "key", "left_semi"), "large")
     for i in range(PIVOT_ROUNDS):
-        now = undecided() if large is None else undecided().join(large, "key", "left_semi")
+        now = undecided(large)
         if now.isEmpty():
             break
         order = F.struct(
@@ -101,7 +121,7 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
         met = now.join(pivots, "key").where("label != pivot_label").where(fit)
         pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         labels = follow(with_both(pairs, members, "text").mapInArrow(_confirmed(percent, sets), "a long, b long"))
-    rest = undecided()
+    rest = undecided(buckets)
     if labels is None or not rest.isEmpty():
         labels = follow(_dealt(rest, members).mapInArrow(_compared(percent, sets, keys), "a long, b long").distinct())
     return labels

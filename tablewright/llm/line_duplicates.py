@@ -39,26 +39,25 @@ NEW = ["n_lines", "n_removed"]
 _random = np.random.default_rng(SEED)
 _DONORS = np.array([_random.permutation(BINS) for _ in range(64)])
 _FACTORS = _random.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+# Hashes of the code points that most texts are made of.
+_MIXED_CODES = mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
 class Lines:
     """The lines of texts laid end to end, as spans of lowered code points without white space at their ends."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        text = raw.tobytes().decode("utf-8")
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        heads = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=heads[1:])
-        at = heads[offsets]
-        low = codes.copy()
-        low[(codes >= 65) & (codes <= 90)] += 32
-        breaks = np.flatnonzero(codes == 10)
+        # no byte of a longer character is a letter A-Z
+        low = np.frombuffer(raw.tobytes().translate(_LOWER).decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        at = offsets if len(low) == len(raw) else offsets - np.searchsorted(np.flatnonzero((raw & 0xC0) == 0x80), offsets)
+        breaks = np.flatnonzero(low == 10)
         # one line more than line breaks in every text
         starts = np.sort(np.concatenate([at[:-1], breaks + 1]), kind="stable")
         self.doc = np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(breaks, at)) + 1)
         first = np.searchsorted(self.doc, np.arange(len(at) - 1))
         self.number = np.arange(len(self.doc)) - first[self.doc] if len(self.doc) else np.zeros(0, np.int64)
-        ends = np.concatenate([starts[1:], [len(codes)]]) if len(starts) else starts
+        ends = np.concatenate([starts[1:], [len(low)]]) if len(starts) else starts
         inner = np.ones(len(starts), dtype=bool)
         inner[:-1] = self.doc[1:] == self.doc[:-1]
         inner[-1:] = False
@@ -71,53 +70,92 @@ class Lines:
         self.start[here] = solid[a[here]]
         self.end[here] = solid[b[here] - 1] + 1
         self.codes = low
-        self.hashes: tuple[np.ndarray, np.ndarray] | None = None
-
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of SHINGLE code points, and a hash of every line."""
-        if self.hashes is not None:
-            return self.hashes
-        window = mixed(self.codes.astype(np.uint64) + np.uint64(1))
-        total = np.zeros(len(window) + 1, dtype=np.uint64)
-        up, down = powers(len(window) + 1)
-        np.cumsum(window * up[: len(window)], out=total[1:])
-        size = 1
-        while size < SHINGLE:
-            window = window[:-size] * _FACTORS[size.bit_length()] + window[size:] if len(window) > size else window[:0]
-            size *= 2
-        whole = mixed((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        self.hashes = mixed(window), whole
-        return self.hashes
+        self._mixed: np.ndarray | None = None
+        self._whole: np.ndarray | None = None
+
+    def _mixed_codes(self) -> np.ndarray:
+        if self._mixed is None:
+            common = not len(self.codes) or self.codes.max() < len(_MIXED_CODES)
+            self._mixed = _MIXED_CODES[self.codes] if common else mixed(self.codes.astype(np.uint64) + np.uint64(1))
+        return self._mixed
+
+    def whole(self) -> np.ndarray:
+        """A hash of every line."""
+        if self._whole is None:
+            up, down = powers(len(self.codes) + 1)
+            here = np.flatnonzero(~self.blank)
+            total = np.zeros(len(self.start), dtype=np.uint64)
+            if len(here):
+                terms = np.zeros(len(self.codes) + 1, dtype=np.uint64)
+                np.multiply(self._mixed_codes(), up[: len(self.codes)], out=terms[:-1])
+                # sums from every start to its end; those from an end to the next start aren't looked at
+                total[here] = np.add.reduceat(terms, np.stack([self.start[here], self.end[here]], axis=1).ravel())[::2]
+            self._whole = mixed(total * down[self.start] + (self.end - self.start).astype(np.uint64))
+        return self._whole
+
+    def windows(self) -> np.ndarray:
+        """Hashes of all windows of SHINGLE code points."""
+        return mixed(_summed(self._mixed_codes()))
+
+    def rough_windows(self) -> np.ndarray:
+        """Hashes of 32 bits, for signatures: what meets by them is confirmed."""
+        x = _summed(self.codes)
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(0xC2B2AE35)
+        x ^= x >> np.uint32(16)
+        return x
 
     def sizes(self) -> np.ndarray:
         """How many windows lie in each line; a short line counts as one shingle."""
         return np.where(self.blank, 0, np.maximum(self.end - self.start - SHINGLE + 1, 1))
 
-    def spread(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(line, hash) of every shingle of every line, or of some lines."""
-        window, whole = self.shingles()
-        chosen = ~self.blank
-        if which is not None:
-            chosen[:] = False
-            chosen[which] = True
-        long = self.end - self.start >= SHINGLE
-        many = np.where(long & chosen, self.sizes(), 0)
+    def spread(self, window: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash) of every shingle of the chosen lines, in the order of lines, from the hashes of windows."""
+        many = np.where(chosen, self.sizes(), 0)
         line = np.repeat(np.arange(len(many)), many)
         place = np.arange(len(line)) + np.repeat(self.start - (np.cumsum(many) - many), many)
-        short = np.flatnonzero(chosen & ~long)
-        return np.concatenate([line, short]), np.concatenate([window[place], whole[short]])
+        short = chosen & (self.end - self.start < SHINGLE) & ~self.blank
+        if not short.any():
+            return line, window[place]
+        at = short[line]
+        place[at] = 0
+        value = window[place] if len(window) else np.zeros(len(line), dtype=window.dtype)
+        value[at] = self.whole()[line[at]].astype(window.dtype)
+        return line, value
+
+
+def _summed(window: np.ndarray) -> np.ndarray:
+    """For every window of SHINGLE values their sum with a factor for each place."""
+    size = 1
+    while size < SHINGLE:
+        if len(window) <= size:
+            return window[:0].copy()
+        longer = window[:-size] * _FACTORS[size.bit_length()].astype(window.dtype)
+        longer += window[size:]
+        window = longer
+        size *= 2
+    return window
 
 
 def band_keys(lines: Lines, which: np.ndarray | None = None) -> np.ndarray:
     """The band keys (lines x BANDS) of one-permutation signatures, of all lines or of some; those of blank lines mean nothing."""
+    chosen = ~lines.blank
+    if which is not None:
+        chosen[:] = False
+        chosen[which] = True
     n = len(lines.start)
     empty = np.uint32(0xFFFFFFFF)
     best = np.full(n * BINS, empty, dtype=np.uint32)
-    line, value = lines.spread(which)
+    line, value = lines.spread(lines.rough_windows(), chosen)
+    line *= BINS
     for j in range(THROWS):
-        x = mixed(value + _FACTORS[j])
-        bin_of = ((x >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-        np.minimum.at(best, line * BINS + bin_of.astype(np.int64), (x & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+        # hashes are mixed: a factor is enough for another bin and another order within it
+        x = value * _FACTORS[4 + j].astype(np.uint32)
+        bins = line + (((x >> np.uint32(16)) * np.uint32(BINS)) >> np.uint32(16))
+        x &= np.uint32(0xFFFFFFFE)
+        np.minimum.at(best, bins, x)
     best = best.reshape(n, BINS)
     if which is not None:
         best, n = best[which], len(which)
@@ -149,7 +187,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = Lines(*utf8(named(part, "text")))
             use = np.flatnonzero(~lines.blank)
             doc = pa.array(lines.doc[use])
-            whole = lines.shingles()[1][use]
+            whole = lines.whole()[use]
             first = np.sort(np.unique(whole, return_index=True)[1])
             ends = np.zeros(len(use) + 1, dtype=np.int32)
             ends[first + 1] = BANDS
@@ -176,9 +214,7 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of texts of one line each."""
     lines = Lines(raw, offsets)
-    line, value = lines.spread()
-    order = np.argsort(line, kind="stable")
-    line, value = line[order], value[order]
+    line, value = lines.spread(lines.windows(), ~lines.blank)
     ends = np.searchsorted(line, np.arange(len(lines.start) + 1))
     for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
         value[a:b].sort()

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablewright.llm import buckets
@@ -209,3 +210,23 @@ def test_few_pairs_are_those_of_the_full_comparison(monkeypatch):
         for a, b in buckets.spanning(at, label[at], np.zeros(len(at), np.int32), False, g % 4, [sets[x] for x in at], keys[at], 80):
             want.join(a, b)
     assert len(i) and [got.top(x) for x in range(n)] == [want.top(x) for x in range(n)]
+
+
+def test_entries_are_read_once(spark):
+    """Counting and choosing share one pass over the shuffled entries."""
+    rows = [(k << 6 | k, i) for i in range(4) for k in range(i, 9)]
+    found = buckets.shared_buckets(spark.createDataFrame(rows, "key long, id long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(k << 6 | k, i) for k in (1, 2, 3) for i in range(k + 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    assert sum("REPARTITION_BY_COL" in x for x in plan) == 1
+
+
+def test_keys_met_across_batches():
+    """Keys that go on over batches of any size, with entries that come several times."""
+    random = np.random.default_rng(3)
+    key, ids = np.sort(random.integers(0, 60, 200)), random.integers(0, 3, 200)
+    want = {(k, i) for k, i in zip(key.tolist(), ids.tolist(), strict=True) if len(set(ids[key == k].tolist())) > 1}
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "id"])
+    for size in (1, 2, 3, 7, 200):
+        got = [r for x in buckets._met(whole.slice(i, size) for i in range(0, 200, size)) for r in zip(x["key"].to_pylist(), x["id"].to_pylist(), strict=True)]
+        assert set(got) == want and all(got.count(r) <= int(((key == r[0]) & (ids == r[1])).sum()) for r in want)
