@@ -16,7 +16,7 @@ from tablewright.llm.buffers import named, slices, utf8
 from tablewright.llm.hashing import shared
 from tablewright.llm.store import Stored, components
 
-# Rounds in which each bucket has one pivot that its other members are held against.
+# Pivots of a bucket that its other members are held against.
 PIVOT_ROUNDS = 2
 # Members and bytes of text in a block of a bucket; a task compares two blocks at once.
 BLOCK, BLOCK_BYTES = 2048, 1 << 23
@@ -78,7 +78,8 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
     signatures in the order of their places. n is the size of a member's set, or the same for all; sizes too far apart
     for `percent` are never paired.
 
-    In each of two rounds a member meets one pivot of its buckets of more than `small` members; links found make components, and buckets of a
+    In each of two rounds a member meets one pivot of its buckets, with `small` above 1 in one round two pivots of its
+    buckets of more than `small` members; links found make components, and buckets of a
     single component are done. What is left is dealt into blocks, and pairs of blocks into tasks. A task compares
     members of different components on their full sets, a pair only in the first bucket that it shares; a pair is
     passed over if even an upper bound of its intersection, from bitmaps, is too small. Tasks return links that span what they
@@ -109,17 +110,24 @@ def resolve(stored: Stored, buckets: DataFrame, percent: int, members: DataFrame
     if small > 1:
         keys_of = buckets.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {small}").select("key")
         large = stored.keep(buckets.join(keys_of, "key", "left_semi"), "large")
-    for i in range(PIVOT_ROUNDS):
+    # where few buckets have pivots, a round costs more than what the links of the one before would spare it
+    pivots_of = range(PIVOT_ROUNDS)
+    for round_of in [[i] for i in pivots_of] if small == 1 else [[*pivots_of]]:
         now = undecided(large)
-        if now.isEmpty():
+        if not round_of or now.isEmpty():
             break
-        order = F.struct(
-            F.col("id") if i == 0 else F.xxhash64("id", F.lit(i)),
-            F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"),
-        )
-        pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.pivot", "p.pivot_n", "p.pivot_label")
+        orders = [
+            F.struct(
+                (F.col("id") if i == 0 else F.xxhash64("id", F.lit(i))).alias("order"),
+                F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.lit(i).alias("which"),
+            )
+            for i in round_of
+        ]
+        chosen = now.groupBy("key").agg(*[F.min(x).alias(f"p{i}") for i, x in zip(round_of, orders, strict=True)])
+        chosen = chosen.select("key", F.explode(F.array(*[f"p{i}" for i in round_of])).alias("p"))
+        pivots = chosen.select("key", "p.pivot", "p.pivot_n", "p.pivot_label", "p.which")
         met = now.join(pivots, "key").where("label != pivot_label").where(fit)
-        pairs = met.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pairs = met.groupBy("id", "which").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         labels = follow(with_both(pairs, members, "text").mapInArrow(_confirmed(percent, sets), "a long, b long"))
     rest = undecided(buckets)
     if labels is None or not rest.isEmpty():
