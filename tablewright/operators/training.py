@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -20,6 +22,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions.columns import (
@@ -35,13 +38,20 @@ from tablewright.functions.columns import (
     resolve_all,
 )
 from tablewright.sources.layout import held, spread
+from tablewright.sources.scratch import has_scratch, scratch_path
 
-FEATURES, LABEL, INDEXED = "features", "label", "indexed"
+FEATURES, LABEL, INDEXED, WEIGHT = "features", "label", "indexed", "weight"
 
 
 # A forest's label has at most so many classes; each leaf counts all of them.
 MAX_CLASSES = 1_000
 
+# Boosted trees are trained on groups of rows with equal bins from so many rows on, if a group stands for so many on average.
+GROUPED_FROM, LEAST_GROUP = 100_000, 4
+
+# On so many rows, or the square of the bins, Spark's tree trainers find the thresholds between bins.
+BIN_ROWS = 10_000
+
 
 def _tree_row_bytes(rows: DataFrame, trees: int, boosted: bool = False) -> int:
     """What a row takes in Spark's tree trainers: objects, the features, a count per tree, and when boosting its error."""
@@ -284,9 +294,14 @@ def train_gbt(
     min_instances_per_node: int = 1,
     seed: int | None = None,
 ) -> TrainedModel:
-    """Gradient-boosted trees for two classes of any type, indexed by frequency."""
+    """Gradient-boosted trees for two classes of any type, indexed by frequency.
+
+    The trainer passes over its rows some six times a tree and sees of a row only its class and the bins its features fall
+    into. Where the bins leave room for far fewer different rows than the table has, the rows are counted by bins and class
+    once, and the trainer gets the groups, weighted by their rows: the same trees, but for the last digits of their sums.
+    """
     names, target = resolve_all(df, features), resolve(df, label)
-    rows, indexer, classes = _indexed_points(df, names, target, 2)
+    rows, indexer, classes, count = _indexed_points(df, names, target, 2)
     if len(classes) != 2:
         raise ValueError(f"the label must have two classes, it has {len(classes)}")
     estimator = GBTClassifier(
@@ -297,18 +312,117 @@ def train_gbt(
         minInstancesPerNode=_number(min_instances_per_node, int),
         seed=_number(seed, int),
     )
+    cuts = _bin_cuts(df, names, rows, count, estimator)
+    if cuts is not None:
+        return TrainedModel("gbt", _fit_groups(estimator, indexer.transform(rows), cuts, count), names, target, classes)
     with held(rows, _tree_row_bytes(rows, 1, boosted=True)) as kept:
         return TrainedModel("gbt", estimator.fit(indexer.transform(kept)), names, target, classes)
 
 
-def _indexed_points(df: DataFrame, names: list[str], target: str, limit: int) -> tuple[DataFrame, StringIndexerModel, list[str]]:
-    """The points and what indexes their label; more classes than the limit are an error before any are gathered."""
+def _bin_cuts(
+    df: DataFrame, names: list[str], rows: DataFrame, count: int, estimator: GBTClassifier
+) -> list[list[float]] | None:
+    """The thresholds between each feature's bins, or nothing if grouping rows by bins would not pay or not give the same trees.
+
+    They come from as many rows as in Spark's trainer. The groups are counted by the bins alone, not by what the table holds.
+    """
+    most, known = count // (2 * LEAST_GROUP), rows.schema[FEATURES].metadata["ml_attr"]
+    if count < GROUPED_FROM or known["num_attrs"] >= most.bit_length() or not has_scratch(df.sparkSession):
+        return None
+    if {"nominal", "binary"} & set(known.get("attrs", {})) or _least_share(estimator, count) >= 0.5:
+        return None
+    bins = min(estimator.getMaxBins(), count)
+    share = max(bins * bins, BIN_ROWS) / count
+    taken = points(df.sample(share, estimator.getSeed()) if share < 1 else df, names)
+    sample = taken.select(vector_to_array(FEATURES)).collect()
+    cuts = [_cuts_between(Counter(values), bins) for values in zip(*[r[0] for r in sample])]
+    return cuts if cuts and math.prod(len(cut) + 1 for cut in cuts) <= most else None
+
+
+def _cuts_between(values: Counter[float], bins: int) -> list[float]:
+    """Thresholds by the rule of Spark's trees: between all values, or where they come closest to equal shares of the rows."""
+    found = sorted(values.items())
+    middles = [(a + b) / 2 for (a, _), (b, _) in pairwise(found)]
+    if len(middles) >= bins:
+        stride = goal = values.total() / bins
+        reached, every, middles = 0, middles, []
+        for middle, (_, n), (_, following) in zip(every, found, found[1:]):
+            reached += n
+            if abs(reached - goal) < abs(reached + following - goal):
+                middles.append(middle)
+                goal += stride
+    return sorted({m for m in middles if m < math.inf})
+
+
+def _least_share(estimator: GBTClassifier, count: int) -> float:
+    """The share of all weight that a node's rows have at least, in place of their number; weights are whole numbers."""
+    least = estimator.getMinInstancesPerNode()
+    return (least - 0.5) / count if least > 1 else 0.0
+
+
+def _fit_groups(estimator: GBTClassifier, rows: DataFrame, cuts: list[list[float]], count: int) -> GBTClassificationModel:
+    """The model of all rows, from one weighted row for each class and combination of bins."""
+    path = scratch_path(rows.sparkSession, "gbt")
+    names = [f"b{i}" for i in range(len(cuts))]
+    values = rows.select(vector_to_array(FEATURES).alias("v"), INDEXED)
+    values = values.select(*[_finite(F.get("v", F.lit(i))).alias(n) for i, n in enumerate(names)], INDEXED)
+    bins = [
+        balanced(Column.__add__, [(F.col(n) > t).cast("double") for t in cut]) if cut else F.col(n) * 0
+        for n, cut in zip(names, cuts)
+    ]
+    counted = values.select(*[b.alias(n) for b, n in zip(bins, names)], INDEXED).groupBy(*names, INDEXED)
+    groups = VectorAssembler(inputCols=names, outputCol=FEATURES).transform(
+        counted.agg(F.count("*").cast("double").alias(WEIGHT))
+    ).drop(*names)
+    # With this many bins allowed the trainer looks at all groups for the values a bin number takes.
+    wide = max(estimator.getMaxBins(), math.isqrt(2 * math.prod(len(cut) + 1 for cut in cuts)) + 1)
+    settings = {
+        estimator.weightCol: WEIGHT,
+        estimator.maxBins: wide,
+        estimator.minInstancesPerNode: 1,
+        estimator.minWeightFractionPerNode: _least_share(estimator, count),
+    }
+    with held(groups, _tree_row_bytes(groups, 1, boosted=True)) as kept:
+        model = estimator.fit(kept, settings)
+    model.write().save(f"{path}/bins")
+    moved = _with_cuts(rows.sparkSession, f"{path}/bins", f"{path}/model", cuts)
+    for param in settings:
+        moved.clear(moved.getParam(param.name))
+        if estimator.isSet(param):
+            moved.set(moved.getParam(param.name), estimator.getOrDefault(param))
+    return moved
+
+
+def _finite(value: Column) -> Column:
+    """The number, or the error that Spark's trainers make of an infinite one."""
+    wrong = F.raise_error(F.concat(F.lit("Vector values MUST NOT be NaN or Infinity, but got "), value.cast("string")))
+    return F.when(F.abs(value) < math.inf, value).otherwise(wrong.cast("double"))
+
+
+def _with_cuts(spark: SparkSession, source: str, target: str, cuts: list[list[float]]) -> GBTClassificationModel:
+    """A saved model over numbers of bins as one over the features, saved beside it: thresholds, and rows for groups."""
+    thresholds = F.array(*[F.lit(cut).cast("array<double>") for cut in cuts])
+    node = F.col("nodeData")
+    own = F.get(thresholds, node["split"]["featureIndex"])
+    moved = F.transform(node["split"]["leftCategoriesOrThreshold"], lambda at: F.get(own, F.floor(at).cast("int")))
+    nodes = node.withField("split.leftCategoriesOrThreshold", moved).withField("rawCount", node["impurityStats"][0].cast("long"))
+    spark.read.parquet(f"{source}/data").withColumn("nodeData", nodes).write.parquet(f"{target}/data")
+    spark.read.parquet(f"{source}/treesMetadata").write.parquet(f"{target}/treesMetadata")
+    spark.read.text(f"{source}/metadata").write.text(f"{target}/metadata")
+    return GBTClassificationModel.load(target)
+
+
+def _indexed_points(
+    df: DataFrame, names: list[str], target: str, limit: int
+) -> tuple[DataFrame, StringIndexerModel, list[str], int]:
+    """The points, what indexes their label, and their number; more classes than the limit are an error before any are gathered."""
     rows = points(df, names, target, label_text=True)
     labels = rows.select(LABEL)
-    if labels.distinct().limit(limit + 1).count() > limit:
+    classes, count = labels.groupBy(LABEL).count().agg(F.count("*"), F.sum("count")).head()
+    if classes > limit:
         raise ValueError(f"column {target!r} has more than {limit} classes")
     indexer = StringIndexer(inputCol=LABEL, outputCol=INDEXED).fit(labels)
-    return rows, indexer, list(indexer.labels)
+    return rows, indexer, list(indexer.labels), count or 0
 
 
 def train_lr(
@@ -413,7 +527,7 @@ def train_forest(
 ) -> TrainedModel:
     """Random forest for two or more classes of any type, indexed by frequency."""
     names, target = resolve_all(df, features), resolve(df, label)
-    rows, indexer, classes = _indexed_points(df, names, target, MAX_CLASSES)
+    rows, indexer, classes, _ = _indexed_points(df, names, target, MAX_CLASSES)
     estimator = RandomForestClassifier(
         labelCol=INDEXED,
         numTrees=num_trees,

@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def has_scratch(spark: SparkSession) -> bool:
+    """Whether intermediate results have a place: a folder that is named, or a temporary one of a local session."""
+    context = spark.sparkContext
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) or context.master.startswith("local")
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only for a local session without it."""
     context = spark.sparkContext
